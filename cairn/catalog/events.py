@@ -206,7 +206,7 @@ l AS (SELECT *, max(seq) FILTER (s <> 'B') OVER (PARTITION BY user_id ORDER BY s
   sum(value) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM e),
 m AS (SELECT c.user_id, a.ts AS path_start, c.ts AS path_end, c.seq - a.seq + 1 AS event_count_in_path,
   c.cum - a.cum + a.value AS total_value, 'A' || repeat('B', (c.seq - a.seq - 1)::INT) || 'C' AS path
- FROM l c JOIN e a ON a.user_id = c.user_id AND a.seq = c.p WHERE c.s = 'C' AND a.s = 'A')
+ FROM l c JOIN l a ON a.user_id = c.user_id AND a.seq = c.p WHERE c.s = 'C' AND a.s = 'A')
 """
 
 
@@ -271,11 +271,11 @@ lg AS (UNPIVOT a ON FIRST_TOUCH, LAST_TOUCH, LINEAR, U_SHAPED, TIME_DECAY INTO N
 """
 
 
-@query("evt16_attribution", _AT + """SELECT user_id, journey, pos AS position, n AS touches, channel, round(FIRST_TOUCH,4) AS FIRST_TOUCH, round(LAST_TOUCH,4) AS LAST_TOUCH,
- round(LINEAR,4) AS LINEAR, round(U_SHAPED,4) AS U_SHAPED, round(TIME_DECAY,4) AS TIME_DECAY FROM a""")
+@query("evt16_attribution", _AT + """SELECT user_id, journey, pos AS position, n AS touches, channel, round(FIRST_TOUCH,8) AS FIRST_TOUCH, round(LAST_TOUCH,8) AS LAST_TOUCH,
+ round(LINEAR,8) AS LINEAR, round(U_SHAPED,8) AS U_SHAPED, round(TIME_DECAY,8) AS TIME_DECAY FROM a""")
 def _(t):
     return pa.attribution(_touch(t)).select("user_id", "journey", "position", "touches", "channel",
-                                            *[F.round(m, 4).alias(m) for m in pa.MODELS])
+                                            *[F.round(m, 8).alias(m) for m in pa.MODELS])
 
 
 @query("evt17_channel_credit", _AT + """SELECT model, channel, count(*) AS touchpoint_count, count(DISTINCT user_id) AS unique_customers, round(sum(credit),3) AS total_credit,

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.functions.expr import band_le, flag, pct, rnd, tally
-from cairn.plans.ordered import block_of, running, sequence, sliding
+from cairn.plans.ordered import block_of, running, sequence, share, sliding
 from cairn.plans.quantiles import quantiles
 
 # Bands of the session and gap reports, in seconds.
@@ -132,10 +132,7 @@ def session_openers(sessions: DataFrame, top=20, user="user_id", event_type="eve
     first = sessions.filter(F.col("position") <= 3).groupBy(user, "session_id").agg(
         at(1).alias("first_event"), at(2).alias("second_event"), at(3).alias("third_event"))
     names = ["first_event", "second_event", "third_event"]
-    from pyspark.sql import Window
-    counts = first.groupBy(*names).agg(F.count(F.lit(1)).alias("session_count"))
-    counts = counts.withColumn("percentage", rnd(pct(
-        F.col("session_count"), F.sum("session_count").over(Window.partitionBy())), 4))
+    counts = share(first.groupBy(*names).agg(F.count(F.lit(1)).alias("session_count")), "session_count", "percentage")
     return counts.orderBy(F.desc("session_count"), *names).limit(top)
 
 
@@ -200,13 +197,11 @@ def event_path(sessions: DataFrame, user="user_id", event_type="event_type", sep
 
 def transitions(df: DataFrame, keys, event_type="event_type", seq="seq") -> DataFrame:
     """Counts of (current, next) with the share of each current state."""
-    from pyspark.sql import Window
     rows = sliding(df, keys, lambda w: {"next_state": F.lead(event_type).over(w)}, after=1, seq=seq)
     counts = rows.filter(F.col("next_state").isNotNull()) \
                  .groupBy(F.col(event_type).alias("current_state"), "next_state") \
                  .agg(F.count(F.lit(1)).alias("transition_count"))
-    return counts.withColumn("transition_pct", rnd(pct(F.col("transition_count"), F.sum("transition_count").over(
-        Window.partitionBy("current_state"))), 4))
+    return share(counts, "transition_count", "transition_pct", by=["current_state"])
 
 
 def timeout_compare(df: DataFrame, timeouts=(900, 1800, 3600), user="user_id", ts="ts",
@@ -240,14 +235,11 @@ def timeout_recommendation(compared: DataFrame) -> DataFrame:
 
 def session_transitions(sessions: DataFrame, n=20, user="user_id", event_type="event_type") -> DataFrame:
     """Most frequent event pairs inside sessions, share of all pairs."""
-    from pyspark.sql import Window
     rows = sliding(sessions, [user, "session_id"], lambda w: {"b": F.lead(event_type).over(w)}, after=1, seq="position")
     c = rows.filter(F.col("b").isNotNull()).groupBy(F.col(event_type).alias("event_type_1"),
                                                     F.col("b").alias("event_type_2")) \
             .agg(F.count(F.lit(1)).alias("occurrence_count"))
-    c = c.withColumn("percentage", rnd(pct(F.col("occurrence_count"), F.sum("occurrence_count").over(
-        Window.partitionBy())), 4))
-    return c.orderBy(F.desc("occurrence_count"), "event_type_1", "event_type_2").limit(n)
+    return share(c, "occurrence_count", "percentage").orderBy(F.desc("occurrence_count"), "event_type_1", "event_type_2").limit(n)
 
 
 def event_quality(df: DataFrame, user="user_id", ts="ts", event_type="event_type", event_id="event_id",

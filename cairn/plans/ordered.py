@@ -22,9 +22,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import as_number, col
+from cairn.functions.expr import as_number, col, pct, rnd
 
-__all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_of", "with_stats"]
+__all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_of", "with_stats", "share"]
 
 MAX_SLICES = 4096
 FAN = 64
@@ -182,3 +182,10 @@ def attach(df: DataFrame, values: DataFrame, keys, length: str, seq="seq", keep_
         wide = wide.drop(length)
     rows = df.withColumn("__block", block_of(df, seq))
     return null_safe_join(rows, wide, keys + ["__block"]).drop("__block")
+
+
+def share(df: DataFrame, value: str, name: str, by=(), places=4) -> DataFrame:
+    """Percentage of the total (per group). The total is a separate
+    aggregate, so rows are never gathered to form it."""
+    out = with_stats(df, [F.sum(value).alias("__total")], by)
+    return out.withColumn(name, rnd(pct(value, "__total"), places)).drop("__total")
