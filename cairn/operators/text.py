@@ -1,7 +1,210 @@
-from pyspark.sql import functions as F
+"""Text: cleaning, n-grams, TF-IDF, document similarity, quality."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
+from cairn.operators.vectors import top_k
+from cairn.plans.ordered import share, task_rows, with_stats
+from cairn.plans.skew import block_pairs, split_join
+
+BLANKS = r"[ \t\n\r\f]+"
 
 
 def word_count(column):
     """Words as blanks plus one."""
     c = F.col(column)
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+
+
+def text_clean(df: DataFrame, text="text") -> DataFrame:
+    """Lower case, trimmed, empty texts dropped."""
+    return df.withColumn(text, F.lower(F.trim(text))).filter(F.length(text) > 0)
+
+
+def tokens(text, delimiter=BLANKS):
+    return F.filter(F.split(text, delimiter), lambda w: w != "")
+
+
+def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
+    """(id, n, ngram, frequency) for every n in ``grams``."""
+    t = F.lower(text) if to_lower else F.col(text)
+    rows = df.select(id_col, *keep, tokens(t, delimiter).alias("__w"))
+    def of(n):
+        if n == 1:
+            made = F.col("__w")
+        else:
+            made = F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.array_join(F.slice("__w", i, n), " ")))
+        return F.struct(F.lit(n).alias("n"), F.coalesce(made, F.array().cast("array<string>")).alias("g"))
+    long = rows.select(id_col, *keep, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
+               .select(id_col, *keep, F.col("s.n").alias("n"), F.explode("s.g").alias("ngram"))
+    return long.groupBy(id_col, *keep, "n", "ngram").agg(F.count(F.lit(1)).alias("frequency"))
+
+
+def ngram_stats(grams: DataFrame) -> DataFrame:
+    """Per size: distinct n-grams and occurrences."""
+    g = grams.groupBy("n", "ngram").agg(F.sum("frequency").alias("f"))
+    return g.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("f").alias("total_occurrences"))
+
+
+def top_ngrams(grams: DataFrame, k=20) -> DataFrame:
+    """The k most frequent n-grams of each size with document frequency."""
+    g = grams.groupBy("n", "ngram").agg(F.sum("frequency").alias("frequency"), F.count(F.lit(1)).alias("doc_frequency"))
+    return top_k(g, ["n"], k, [-F.col("frequency"), F.col("ngram")])
+
+
+def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
+    """(id, term, count, length): length is the number of counted tokens."""
+    w = tokens(F.lower(text))
+    if stop_words:
+        w = F.filter(w, lambda x: ~x.isin(*stop_words))
+    rows = df.select(id_col, w.alias("__w"))
+    return rows.select(id_col, F.size("__w").alias("length"), F.explode("__w").alias("term")) \
+               .groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0, top=None, stop_words=()) -> DataFrame:
+    """(term, doc_freq, idf_weight) with idf = ln(N / doc_freq); ``max_df`` is
+    a share of the documents, ``top`` keeps the most frequent terms."""
+    c = term_counts(df, id_col, text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    n = df.agg(F.count(F.lit(1)).alias("__n"))
+    m = c.crossJoin(F.broadcast(n)).filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= max_df * F.col("__n")))
+    m = m.select("term", "doc_freq", F.ln(F.col("__n") / F.col("doc_freq")).alias("idf_weight"))
+    return m if top is None else m.orderBy(F.desc("doc_freq"), "term").limit(top)
+
+
+def tfidf_transform(df: DataFrame, model: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
+    """(id, term, tf, tfidf_value); tf = count / document length. Terms that
+    fill many documents are joined by broadcast, the rest by shuffle."""
+    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term", "doc_freq")
+    tf = F.col("n") / F.col("length")
+    return rows.select(id_col, "term", tf.alias("tf"), (tf * F.col("idf_weight")).alias("tfidf_value"))
+
+
+def out_of_vocabulary(df: DataFrame, model: DataFrame, id_col="doc_id", text="text") -> DataFrame:
+    """Documents none of whose terms are in the model."""
+    known = split_join(term_counts(df, id_col, text), model, "term", "doc_freq").select(id_col).distinct()
+    return df.join(known, id_col, "left_anti")
+
+
+def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -> DataFrame:
+    """For every document its ``top`` most similar ones with cosine at or
+    above the threshold (weights of ``tfidf_transform``), exact.
+
+    Terms are ordered from rare to frequent. Two unit vectors can only reach
+    the threshold if they share a term of both their prefixes, where a prefix
+    is cut once the norm of what follows is below the threshold (prefix
+    filter, Bayardo et al. 2007). Prefix terms held by few documents give
+    candidate pairs by an equi-join; documents holding a prefix term above
+    the bound are compared block by block, which keeps only the best."""
+    f = features.filter(F.col("tfidf_value") > 0)
+    norm = f.groupBy(id_col).agg(F.sqrt(F.sum(F.pow("tfidf_value", 2))).alias("__n"))
+    f = f.join(norm, id_col).select(id_col, "term", (F.col("tfidf_value") / F.col("__n")).alias("w"))
+    df_ = f.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = split_join(f, df_, "term", "df")
+    # a document's own terms, rare first: suffix energy decides the prefix
+    docs = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
+    # rest = squared norm of what follows; a term is in the prefix while rest
+    # before it is at least the threshold squared
+    cut = F.aggregate("v", F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<struct<term:string,w:double>>").alias("p")), lambda a, x: F.when(
+        a["rest"] >= threshold * threshold - 1e-9, F.struct((a["rest"] - x["w"] * x["w"]).alias("rest"), F.array_append(
+            a["p"], F.struct(x["term"].alias("term"), x["w"].alias("w"))).alias("p"))).otherwise(a))
+    docs = docs.withColumn("cut", cut)
+    posts = docs.select(id_col, F.sqrt(F.greatest("cut.rest", F.lit(0.0))).alias("tail"), F.explode("cut.p").alias("x")) \
+                .select(id_col, "tail", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    limit = min(task_rows(features), 5000)
+    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+    hot = counts.filter(F.col("k") > limit).select("term")
+    small = posts.join(counts.filter((F.col("k") > 1) & (F.col("k") <= limit)).select("term"), "term")
+    side = lambda n: small.select("term", F.col(id_col).alias(n), F.col("w").alias(f"w{n}"), F.col("tail").alias(f"t{n}"))
+    pairs = side("a").join(side("b"), "term").filter("a < b").groupBy("a", "b").agg(
+        F.sum(F.col("wa") * F.col("wb")).alias("s"), F.max("ta").alias("ta"), F.max("tb").alias("tb"))
+    # what lies beyond the shorter prefix adds at most its tail norm
+    pairs = pairs.filter(F.col("s") + F.greatest("ta", "tb") >= threshold - 1e-9).select("a", "b")
+    part = lambda n: f.select(F.col(id_col).alias(n), "term", F.col("w").alias(f"w{n}"))
+    found = pairs.join(part("a"), "a").join(part("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    if not hot.isEmpty():
+        crowd = docs.join(posts.join(hot, "term").select(id_col).distinct(), id_col).select(id_col, "v")
+        found = found.unionByName(_crowd_pairs(crowd, id_col, threshold, top))
+    found = found.filter(F.col("cosine") >= threshold).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    best = top_k(found, ["a"], top, [-F.round("cosine", 9), F.col("b")])
+    return best.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "cosine")
+
+
+def _crowd_pairs(docs: DataFrame, id_col: str, threshold: float, top: int) -> DataFrame:
+    kind = dict(docs.dtypes)[id_col]
+
+    def kernel(l, r):
+        words = {}
+        for row in [*l, *r]:
+            for x in row["v"]:
+                words.setdefault(x["term"], len(words))
+        def dense(rows):
+            m = np.zeros((len(rows), len(words)))
+            for i, row in enumerate(rows):
+                for x in row["v"]:
+                    m[i, words[x["term"]]] = x["w"]
+            return np.array([row["id"] for row in rows]), m
+        (ai, a), (bi, b) = dense(l), dense(r)
+        s, out = a @ b.T, []
+        s[ai[:, None] == bi[None, :]] = -1.0
+        for i in range(len(ai)):
+            ok = np.flatnonzero(s[i] >= threshold)
+            best = ok[np.lexsort((bi[ok], -np.round(s[i][ok], 9)))[:top]]
+            out.append(pd.DataFrame({"a": ai[i], "b": bi[best], "cosine": s[i][best]}))
+        return pd.concat(out) if out else pd.DataFrame()
+
+    return block_pairs(docs, docs, id_col, id_col, ["v"], kernel, f"a {kind}, b {kind}, cosine double", block_rows=128)
+
+
+DF_BINS = [(1, "1 document"), (5, "2-5 documents"), (10, "6-10 documents"), (50, "11-50 documents")]  # fixed values
+
+
+def vocabulary_bins(model: DataFrame) -> DataFrame:
+    return share(model.groupBy(band_le("doc_freq", DF_BINS, ">50 documents").alias("frequency_bin")).agg(F.count(F.lit(1)).alias("n_terms")), "n_terms", "percentage")
+
+
+def vocabulary_report(model: DataFrame) -> DataFrame:
+    v = F.col("vocabulary_size")
+    out = model.agg(F.count(F.lit(1)).alias("vocabulary_size"), F.min("doc_freq").alias("min_doc_freq"), F.max("doc_freq").alias("max_doc_freq"),
+                    F.avg("doc_freq").alias("avg_doc_freq"), F.min("idf_weight").alias("min_idf"), F.max("idf_weight").alias("max_idf"), F.avg("idf_weight").alias("avg_idf"))
+    return out.withColumn("status", band_ge(v, [(100, "PASS - Good vocabulary"), (50, "WARNING - Small vocabulary")], "FAIL - Very small vocabulary"))
+
+
+def sparsity(features: DataFrame, model: DataFrame, id_col="doc_id") -> DataFrame:
+    per = features.groupBy(id_col).agg(F.count(F.lit(1)).alias("k"))
+    a = per.agg(F.count(F.lit(1)).alias("n_documents"), F.sum("k").alias("non_zero_features"), F.avg("k").alias("avg_features_per_doc"), F.min("k").alias("min_features"), F.max("k").alias("max_features"))
+    out = a.crossJoin(model.agg(F.count(F.lit(1)).alias("vocabulary_size")))
+    d = F.col("non_zero_features") * 100.0 / (F.col("n_documents") * F.col("vocabulary_size"))
+    return out.withColumns({"density_pct": d, "sparsity_pct": 100.0 - d})
+
+
+def top_terms(features: DataFrame, k=20) -> DataFrame:
+    t = features.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("tfidf_value").alias("avg_tfidf"), F.max("tfidf_value").alias("max_tfidf"))
+    return t.orderBy(F.desc(F.round("avg_tfidf", 9)), "term").limit(k)
+
+
+def text_quality(df: DataFrame, text="text", short=20) -> DataFrame:
+    t = F.col(text)
+    return df.agg(F.count(F.lit(1)).alias("total_docs"), F.count(t).alias("non_null"), tally(F.length(F.trim(t)) == 0).alias("empty_texts"),
+                  tally(F.length(t) < short).alias("short_texts"), tally(t.rlike("[^a-zA-Z0-9 ]")).alias("non_alphanumeric"), F.avg(F.length(t)).alias("avg_length"))
+
+
+def ngram_config_compare(df: DataFrame, configs=((1,), (1, 2), (1, 2, 3)), **cols) -> DataFrame:
+    """Vocabulary size and occurrences per n-gram setting; the sizes are
+    counted once and added up per setting."""
+    s = ngram_stats(ngrams(df, grams=sorted({n for c in configs for n in c}), **cols))
+    cells = F.array(*[F.struct(F.lit("+".join(map(str, c))).alias("config"), F.array(*[F.lit(n) for n in c]).alias("ns")) for c in configs])
+    rows = s.select("n", "unique_ngrams", "total_occurrences", F.explode(cells).alias("c")).filter(F.array_contains("c.ns", F.col("n")))
+    return rows.groupBy(F.col("c.config").alias("config")).agg(F.sum("unique_ngrams").alias("vocabulary_size"), F.sum("total_occurrences").alias("total_occurrences"))
+
+
+def min_df_compare(df: DataFrame, min_dfs=(1, 2, 5, 10), **cols) -> DataFrame:
+    m = tfidf_fit(df, **cols)
+    cells = F.array(*[F.lit(k) for k in min_dfs])
+    rows = m.select("doc_freq", "idf_weight", F.explode(cells).alias("min_df")).filter(F.col("doc_freq") >= F.col("min_df"))
+    return rows.groupBy("min_df").agg(F.count(F.lit(1)).alias("vocabulary_size"), F.avg("idf_weight").alias("avg_idf"))

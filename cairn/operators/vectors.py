@@ -2,15 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from cairn.functions.expr import flag, pct, rnd, tally
+from cairn.plans.skew import block_pairs
+
+MEASURES = ("euclidean", "manhattan", "cosine")
 
 
 def top_k(df: DataFrame, keys, k: int, order) -> DataFrame:
-    """The k first rows of each key. Each partition first keeps its own k per
-    key and salt, so a hot key is cut down before it is brought together."""
-    from pyspark.sql import Window
+    """The k first rows of each key. Each key and salt first keeps its own k,
+    so a hot key is cut down before it is brought together."""
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
     w1 = Window.partitionBy(*keys, "__salt").orderBy(*order)
     w2 = Window.partitionBy(*keys).orderBy(*order)
     part = salted.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k).drop("__salt", "__r")
     return part.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= k).drop("__r")
+
+
+def _matrix(rows, measure):
+    m = np.array([r["v"] for r in rows], dtype=float)
+    if measure == "cosine":
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        m = m / np.where(n == 0, np.nan, n)
+    return np.array([r["id"] for r in rows]), m
+
+
+def _distances(a, b, measure):
+    if measure == "cosine":
+        return 1.0 - a @ b.T
+    out = np.empty((len(a), len(b)))
+    for i, x in enumerate(a):
+        d = b - x
+        out[i] = np.sqrt((d * d).sum(axis=1)) if measure == "euclidean" else np.abs(d).sum(axis=1)
+    return out
+
+
+def vector_distance(target: DataFrame, reference: DataFrame, id_col: str, vector: str, measure="euclidean", top=3,
+                    skip_self=True) -> DataFrame:
+    """The ``top`` nearest reference vectors of every target vector, exact.
+    Blocks are compared in numpy; each keeps its best few per target and the
+    survivors are merged. Ties go to the smaller id."""
+    kind = dict(target.dtypes)[id_col]
+
+    def kernel(l, r):
+        (ai, a), (bi, b) = _matrix(l, measure), _matrix(r, measure)
+        d = _distances(a, b, measure)
+        if skip_self:
+            d[ai[:, None] == bi[None, :]] = np.nan
+        rows = []
+        for i in range(len(ai)):
+            ok = np.flatnonzero(~np.isnan(d[i]))
+            best = ok[np.lexsort((bi[ok], d[i][ok]))[:top]]
+            rows.append(pd.DataFrame({"target_id": ai[i], "reference_id": bi[best], "distance": d[i][best]}))
+        return pd.concat(rows) if rows else pd.DataFrame()
+
+    found = block_pairs(target, reference, id_col, id_col, [F.col(vector).alias("v")], kernel,
+                        f"target_id {kind}, reference_id {kind}, distance double")
+    return top_k(found, ["target_id"], top, [F.round("distance", 9), F.col("reference_id")])
+
+
+def vector_normalize(df: DataFrame, vector: str, name="normalized") -> DataFrame:
+    """Unit length (L2); a zero vector gives nulls."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return df.withColumn("__n", F.nullif(norm, F.lit(0.0))).withColumn(name, F.transform(v, lambda x: x / F.col("__n"))).drop("__n")
+
+
+BINS = [(0.1, "Very close (<0.1)"), (0.5, "Close (0.1-0.5)"), (1.0, "Moderate (0.5-1.0)"), (2.0, "Far (1.0-2.0)")]  # fixed values
+LAST_BIN = "Very far (>2.0)"
+
+
+def distance_stats(df: DataFrame, id_col: str, vector: str, measure="cosine", radius=0.5) -> DataFrame:
+    """Per vector over all others: count, mean and minimum distance, squares
+    for the deviation, neighbours within the radius, and bin counts. Blocks
+    reduce to one partial row per vector, pairs are never listed."""
+    kind = dict(df.dtypes)[id_col]
+    edges = [-np.inf] + [b for b, _ in BINS] + [np.inf]
+
+    def kernel(l, r):
+        (ai, a), (bi, b) = _matrix(l, measure), _matrix(r, measure)
+        d = _distances(a, b, measure)
+        d[ai[:, None] == bi[None, :]] = np.nan
+        ok = ~np.isnan(d)
+        z = np.where(ok, d, 0.0)
+        out = pd.DataFrame({"id": ai, "n": ok.sum(1), "s": z.sum(1), "ss": (z * z).sum(1), "lo": np.where(ok, d, np.inf).min(1), "hi": np.where(ok, d, -np.inf).max(1),
+                            "near": (ok & (d < radius)).sum(1)})
+        out["bins"] = [[int(((row[m] >= edges[i]) & (row[m] < edges[i + 1])).sum()) for i in range(len(edges) - 1)] for row, m in zip(d, ok)]
+        return out
+
+    part = block_pairs(df, df, id_col, id_col, [F.col(vector).alias("v")], kernel,
+                       f"id {kind}, n long, s double, ss double, lo double, hi double, near long, bins array<long>")
+    k = len(edges) - 1
+    return part.groupBy(F.col("id").alias(id_col)).agg(
+        F.sum("n").alias("n"), F.sum("s").alias("total"), F.sum("ss").alias("squares"), F.min("lo").alias("min_distance"), F.max("hi").alias("max_distance"),
+        F.sum("near").alias("neighbours"), F.array(*[F.sum(F.col("bins")[i]) for i in range(k)]).alias("bins")) \
+        .withColumn("avg_distance", F.col("total") / F.nullif(F.col("n"), F.lit(0)))
+
+
+def distance_bins(stats: DataFrame) -> DataFrame:
+    """Ordered pairs per distance bin."""
+    labels = F.array(*[F.lit(lab) for _, lab in BINS], F.lit(LAST_BIN))
+    rows = stats.select(F.posexplode("bins").alias("i", "c"))
+    return rows.groupBy(F.element_at(labels, F.col("i") + 1).alias("distance_bin")).agg(F.sum("c").alias("pairs")).filter("pairs > 0")
+
+
+def distance_summary(stats: DataFrame) -> DataFrame:
+    n, s = F.sum("n"), F.sum("total")
+    return stats.agg(n.alias("n_pairs"), F.min("min_distance").alias("min_distance"), F.max("max_distance").alias("max_distance"), (s / n).alias("avg_distance"),
+                     F.sqrt((F.sum("squares") - s * s / n) / (n - 1)).alias("std_distance"), F.avg("min_distance").alias("mean_nn_distance"))
+
+
+def vector_quality(df: DataFrame, vector: str) -> DataFrame:
+    v = F.col(vector)
+    return df.agg(
+        F.count(F.lit(1)).alias("total_vectors"), tally(v.isNull()).alias("null_vectors"), tally(F.exists(vector, lambda x: x.isNull())).alias("vectors_with_null"),
+        tally(F.forall(vector, lambda x: x == 0)).alias("zero_vectors"), F.min(F.size(v)).alias("min_dimensions"), F.max(F.size(v)).alias("max_dimensions"))
+
+
+def dimension_stats(df: DataFrame, vector: str) -> DataFrame:
+    long = df.select(F.posexplode(vector).alias("dimension", "v")).withColumn("v", F.col("v").cast("double"))
+    return long.groupBy("dimension").agg(F.avg("v").alias("mean"), F.stddev("v").alias("std_dev"), F.min("v").alias("min"), F.max("v").alias("max"))

@@ -2,7 +2,7 @@ from pyspark.sql import SparkSession
 
 
 def make_session(conf=None):
-    b = (SparkSession.builder.master("local[8]").appName("cairn-tests")
+    b = (SparkSession.builder.config("spark.ui.showConsoleProgress", "false").master("local[8]").appName("cairn-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", "10g")
