@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
+from cairn.plans.lineage import cut_lineage
 from cairn.plans.ordered import share, task_rows, with_stats
 from cairn.plans.skew import block_pairs, split_join
 
@@ -112,7 +113,8 @@ def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -
     cut = F.aggregate("v", F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<struct<term:string,w:double>>").alias("p")), lambda a, x: F.when(
         a["rest"] >= threshold * threshold - 1e-9, F.struct((a["rest"] - x["w"] * x["w"]).alias("rest"), F.array_append(
             a["p"], F.struct(x["term"].alias("term"), x["w"].alias("w"))).alias("p"))).otherwise(a))
-    docs = docs.withColumn("cut", cut)
+    docs = cut_lineage(docs.withColumn("cut", cut))  # used several times below
+    f = docs.select(id_col, F.explode("v").alias("x")).select(id_col, F.col("x.term").alias("term"), F.col("x.w").alias("w"))
     posts = docs.select(id_col, F.sqrt(F.greatest("cut.rest", F.lit(0.0))).alias("tail"), F.explode("cut.p").alias("x")) \
                 .select(id_col, "tail", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
     limit = min(task_rows(features), 5000)
