@@ -1 +1,174 @@
+"""Queries of the models and clusters."""
 
+from pyspark.sql import functions as F
+
+from cairn.catalog.registry import query
+from cairn.functions.expr import rnd
+from cairn.operators import cluster as cl, models as ml
+
+FEATS = ["o_totalprice", "items", "quantity"]
+TEXT = ["n_chars", "toxic", "words"]
+
+
+def orders(t):
+    li = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("items"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"))
+    return t.orders.join(li, "o_orderkey").select("o_orderkey", "o_orderstatus", *FEATS, "price")
+
+
+def texts(t):
+    d = t.labels.join(t.documents, "doc_id")
+    return d.select("doc_id", "quality", "toxic", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).alias("words"))
+
+
+def r(df, places, *cols):
+    return df.select(*[rnd(c, places).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query("ml01_linear_regression", "SELECT unnest(['(Intercept)','l_quantity']) AS feature, unnest([round(regr_intercept(l_extendedprice,l_quantity),4), round(regr_slope(l_extendedprice,l_quantity),4)]) AS coefficient FROM lineitem")
+def _(t):
+    return r(ml.linear_regression(t.lineitem, "l_extendedprice", ["l_quantity"])[1], 4, "coefficient")
+
+
+@query("ml01_linear_regression_multi")
+def _(t):
+    return ml.linear_regression(orders(t), "price", FEATS)[1]
+
+
+@query("ml02_glm_poisson")
+def _(t):
+    return ml.glm(orders(t), "items", ["quantity"], "poisson", "log")[1]
+
+
+@query("ml02_glm_gamma_statistics")
+def _(t):
+    return ml.glm(orders(t).filter("price > 0"), "price", ["quantity"], "gamma", "log")[2]
+
+
+@query("ml02_elastic_net")
+def _(t):
+    return ml.linear_regression(orders(t), "price", FEATS, elastic=0.5, strength=0.1)[1]
+
+
+@query("ml03_logistic_binary")
+def _(t):
+    return ml.logistic_regression(texts(t), "quality", TEXT)[2]
+
+
+@query("ml03_logistic_multinomial")
+def _(t):
+    return ml.logistic_regression(orders(t), "o_orderstatus", FEATS)[2]
+
+
+def _tree(t):
+    m, labels = ml.decision_tree(orders(t), "o_orderstatus", FEATS, max_depth=5)
+    return ml.tree_nodes(m, FEATS, labels, t.spark)
+
+
+@query("ml04_decision_tree")
+def _(t):
+    return _tree(t)
+
+
+@query("ml05_random_forest")
+def _(t):
+    o = orders(t)
+    m, labels = ml.random_forest(o, "o_orderstatus", FEATS, trees=10)
+    return ml.predict(o, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
+
+
+@query("ml06_decision_forest")
+def _(t):
+    o = orders(t)
+    m, _ = ml.decision_forest(o, "price", ["items", "quantity"], regression=True)
+    return ml.predict(o, m, ["items", "quantity"], ["o_orderkey", "price"])
+
+
+@query("ml07_svm")
+def _(t):
+    d = texts(t)
+    m, labels = ml.svm(d, "quality", TEXT)
+    return ml.predict(d, m, TEXT, ["doc_id", "quality"], labels)
+
+
+_NB = """WITH li AS (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderstatus AS k, o_totalprice AS a, items AS b, quantity AS c FROM orders JOIN li ON l_orderkey=o_orderkey),
+ g AS (SELECT k, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM o GROUP BY 1), m AS (SELECT k, ln((n+1)/((SELECT count(*) FROM o)+3)) AS p, ln((a+1)/(a+b+c+3)) AS pa, ln((b+1)/(a+b+c+3)) AS pb, ln((c+1)/(a+b+c+3)) AS pc FROM g)"""
+
+
+@query("ml08_naive_bayes", _NB + " SELECT k AS class_label, unnest(['(prior)','o_totalprice','items','quantity']) AS feature, unnest([round(p,9),round(pa,9),round(pb,9),round(pc,9)]) AS log_prob FROM m")
+def _(t):
+    return r(ml.naive_bayes(orders(t), "o_orderstatus", FEATS), 9, "log_prob")
+
+
+@query("ml08_naive_bayes_predict", _NB + ", s AS (SELECT o_orderkey, m.k, p+o.a*pa+o.b*pb+o.c*pc AS s FROM o, m) SELECT o_orderkey, k AS prediction FROM s QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY s DESC, k DESC)=1")
+def _(t):
+    o = orders(t)
+    return ml.naive_bayes_predict(o, ml.naive_bayes(o, "o_orderstatus", FEATS), FEATS, ["o_orderkey"]).drop("confidence")
+
+
+@query("ml09_predict_tree")
+def _(t):
+    o = orders(t)
+    m, labels = ml.decision_tree(o, "o_orderstatus", FEATS, max_depth=4)
+    return ml.predict(o, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
+
+
+@query("ml09_predict_linear", "WITH f AS (SELECT regr_slope(l_extendedprice,l_quantity) AS b, regr_intercept(l_extendedprice,l_quantity) AS a FROM lineitem) SELECT l_linestatus, count(*) AS n, round(avg(a+b*l_quantity),5) AS mean_prediction FROM lineitem, f GROUP BY 1")
+def _(t):
+    m, _ = ml.linear_regression(t.lineitem, "l_extendedprice", ["l_quantity"])
+    p = ml.predict(t.lineitem, m, ["l_quantity"], ["l_linestatus"])
+    return p.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("prediction"), 5).alias("mean_prediction"))
+
+
+for _k, _f in {"ml11_tree_structure": ml.tree_structure, "ml11_leaf_quality": ml.leaf_quality, "ml12_feature_importance": ml.feature_importance,
+               "ml13_split_cooccurrence": ml.split_cooccurrence, "ml13_tree_complexity": ml.tree_complexity}.items():
+    @query(_k)
+    def _(t, f=_f):
+        return f(_tree(t))
+
+
+@query("ml14_coefficient_report")
+def _(t):
+    return ml.coefficient_report(ml.glm(orders(t), "price", FEATS)[1])
+
+
+@query("ml15_grid_tune")
+def _(t):
+    return ml.grid_tune(orders(t), "o_orderstatus", FEATS, depths=(3, 5), min_nodes=(5, 20), folds=2)
+
+
+@query("ml16_cross_validate")
+def _(t):
+    return ml.cross_validate(orders(t), "o_orderkey", "price", FEATS)
+
+
+@query("cl01_kmeans")
+def _(t):
+    return cl.kmeans(t.embeddings, "vec_id", "embedding")
+
+
+_CENT = """WITH v AS (SELECT vec_id, label, generate_subscripts(embedding,1) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, d, avg(v) AS v FROM v GROUP BY 1,2), p AS (SELECT vec_id, c.label AS k, sqrt(sum(pow(v.v-c.v,2))) AS dist FROM v JOIN c ON v.d=c.d GROUP BY 1,2),
+ b AS (SELECT vec_id, k, dist FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, k)=1)"""
+
+
+def assigned(t):
+    return cl.kmeans_predict(t.embeddings, cl.centroids(t.embeddings, "label", "embedding"), "vec_id", "label", "embedding")
+
+
+@query("cl02_kmeans_predict", _CENT + " SELECT vec_id, k AS cluster_id, round(dist,7) AS distance_to_centroid FROM b")
+def _(t):
+    return r(assigned(t), 7, "distance_to_centroid")
+
+
+@query("cl03_hierarchical")
+def _(t):
+    return cl.hierarchical_clustering(t.embeddings, "vec_id", "embedding")
+
+
+@query("cl04_cluster_report", _CENT + " SELECT k AS cluster_id, count(*) AS cluster_size, round(sum(dist*dist),6) AS wcss, round(sum(dist),6) AS sum_distance, round(max(dist),7) AS max_distance, round(100.0*count(*)/sum(count(*)) OVER (),4) AS percentage FROM b GROUP BY 1")
+def _(t):
+    return r(r(cl.cluster_report(assigned(t)), 6, "wcss", "sum_distance"), 7, "max_distance")
+
+
+@query("cl04_cluster_balance", _CENT + ", g AS (SELECT k, count(*) AS n, sum(dist*dist) AS w FROM b GROUP BY 1) SELECT count(*) AS clusters, round(max(n)/min(n),8) AS imbalance_ratio, round(sum(w),6) AS wcss, CASE WHEN max(n)/min(n)<=3 THEN 'Balanced' WHEN max(n)/min(n)<=10 THEN 'Moderate Imbalance' ELSE 'Severe Imbalance' END AS balance_status FROM g")
+def _(t):
+    return r(r(cl.cluster_balance(assigned(t)), 8, "imbalance_ratio"), 6, "wcss")

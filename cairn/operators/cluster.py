@@ -22,3 +22,61 @@ def centroid_pairs(cents: DataFrame, cluster: str) -> DataFrame:
     p = a.select("a", F.explode(F.filter("all", lambda b: b["id"] > F.col("a.id"))).alias("b"))
     dist = F.sqrt(F.aggregate(F.zip_with("a.c", "b.c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
     return p.select(F.col("a.id").alias(f"{cluster}_1"), F.col("b.id").alias(f"{cluster}_2"), rnd(dist, 5).alias("distance"))
+
+
+def vectors(df: DataFrame, vector: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    return df.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+
+
+def _tables(df, model, id_col):
+    """Centroid and assignment rows with the distance to the centroid."""
+    spark = df.sparkSession
+    cents = [[float(x) for x in c] for c in model.clusterCenters()]
+    cent = spark.createDataFrame([(i, c) for i, c in enumerate(cents)], "cluster_id int, centroid array<double>")
+    a = model.transform(df).select(id_col, "features", F.col("prediction").alias("cluster_id"))
+    from pyspark.ml.functions import vector_to_array
+    a = a.join(F.broadcast(cent), "cluster_id")  # k rows
+    d = F.aggregate(F.zip_with(vector_to_array("features"), "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    rows = a.select(F.lit("assignment").alias("result_type"), "cluster_id", F.col(id_col).cast("string").alias("id"), F.lit(None).cast("array<double>").alias("features"), F.sqrt(d).alias("distance_to_centroid"))
+    return rows.unionByName(cent.select(F.lit("centroid").alias("result_type"), "cluster_id", F.lit(None).cast("string").alias("id"), F.col("centroid").alias("features"), F.lit(None).cast("double").alias("distance_to_centroid")))
+
+
+def kmeans(df: DataFrame, id_col: str, vector: str, k=8, max_iter=100, tol=0.001, seed=42) -> DataFrame:
+    from pyspark.ml.clustering import KMeans
+    d = vectors(df, vector)
+    return _tables(d, KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed).fit(d), id_col)
+
+
+def hierarchical_clustering(df: DataFrame, id_col: str, vector: str, levels=(2, 4, 8), max_iter=20, seed=42) -> DataFrame:
+    """Top-down hierarchy: one bisecting k-means per level on the same seed."""
+    from pyspark.ml.clustering import BisectingKMeans
+    d, out = vectors(df, vector), None
+    for k in levels:
+        t = _tables(d, BisectingKMeans(k=k, maxIter=max_iter, seed=seed).fit(d), id_col).withColumn("level", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def kmeans_predict(df: DataFrame, cents: DataFrame, id_col: str, cluster: str, vector: str) -> DataFrame:
+    """Nearest of the given centroids (k rows, carried as one array); ties go
+    to the smaller cluster."""
+    one = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).alias("k"), F.col("centroid").alias("c")))).alias("__c"))
+    r = df.crossJoin(F.broadcast(one))
+    d = lambda c: F.sqrt(F.aggregate(F.zip_with(F.col(vector), c["c"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
+    best = F.array_min(F.transform("__c", lambda c: F.struct(d(c).alias("d"), c["k"].alias("k"))))
+    return r.select(id_col, best.alias("b")).select(id_col, F.col("b.k").alias("cluster_id"), F.col("b.d").alias("distance_to_centroid"))
+
+
+def cluster_report(assigned: DataFrame) -> DataFrame:
+    from cairn.plans.ordered import share
+    d = F.col("distance_to_centroid")
+    g = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.sum(d * d).alias("wcss"), F.sum(d).alias("sum_distance"), F.max(d).alias("max_distance"))
+    return share(g, "cluster_size", "percentage")
+
+
+def cluster_balance(assigned: DataFrame) -> DataFrame:
+    g = assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pow("distance_to_centroid", 2)).alias("w"))
+    out = g.agg(F.count(F.lit(1)).alias("clusters"), (F.max("n") / F.min("n")).alias("imbalance_ratio"), F.sum("w").alias("wcss"))
+    r = F.col("imbalance_ratio")
+    return out.withColumn("balance_status", F.when(r <= 3, "Balanced").when(r <= 10, "Moderate Imbalance").otherwise("Severe Imbalance"))

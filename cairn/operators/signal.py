@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cairn.functions.expr import band, band_gt, flag, pct, rnd, tally
 from cairn.operators import series as ts
 from cairn.operators.relational import nearest_match, ranked
+from cairn.plans.lineage import cut_lineage
 from cairn.plans.linear import dot, ols
 from cairn.plans.ordered import attach, null_safe_join, running, sequence, sliding
 from cairn.plans.quantiles import quantiles
@@ -340,12 +341,9 @@ def window_weight(kind: str, k: Column, n, beta=8.6) -> Column:
     if kind == "blackman":
         return 0.42 - 0.5 * F.cos(TAU * x) + 0.08 * F.cos(2 * TAU * x)
     if kind == "kaiser":
-        def bessel(z):  # power series of I0
-            q, term, total = z * z / 4.0, F.lit(1.0), F.lit(1.0)
-            for i in range(1, 30):
-                term = term * q / float(i * i)
-                total = total + term
-            return total
+        def bessel(z):  # power series of I0, innermost term first
+            steps = F.sequence(F.lit(30), F.lit(1), F.lit(-1))
+            return F.aggregate(steps, F.lit(1.0), lambda acc, i: 1.0 + acc * (z * z / 4.0) / (i * i))
         u = 2.0 * x - 1.0
         return bessel(beta * F.sqrt(F.greatest(1.0 - u * u, F.lit(0.0)))) / float(np.i0(beta))
     raise ValueError(kind)
@@ -596,9 +594,10 @@ def signal_workflow(df: DataFrame, cutoff=0.2) -> DataFrame:
     """Detrend, filter, window, transform, peaks, density, reconstruction;
     long rows (series_id, stage, item, value)."""
     d = detrend(df).select(*S, "ts", "seq", F.col("detrended").alias("value"))
-    f = fir_filter(d, "lowpass", cutoff).select(*S, "ts", "seq", F.col("filtered").alias("value"))
+    f = cut_lineage(fir_filter(d, "lowpass", cutoff).select(*S, "ts", "seq", F.col("filtered").alias("value")))
     w = window_apply(f, "hanning").select(*S, "ts", "seq", F.col("windowed").alias("value"))
-    spec = fft(w)
+    w = cut_lineage(w)
+    spec = cut_lineage(fft(w))
     long = lambda x, stage, item, value: x.select(*S, F.lit(stage).alias("stage"), F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"))
     st = spectral_stats(spec)
     parts = [long(dominant_frequencies(spec, 5), "peaks", "magnitude_rank", "frequency_hz"), long(spectral_density(f), "density", "bin", "density"),

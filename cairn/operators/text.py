@@ -108,14 +108,19 @@ def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -
     ranked = split_join(f, df_, "term", "df")
     # a document's own terms, rare first: suffix energy decides the prefix
     docs = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
-    # rest = squared norm of what follows; a term is in the prefix while rest
-    # before it is at least the threshold squared
-    cut = F.aggregate("v", F.struct(F.lit(1.0).alias("rest"), F.array().cast("array<struct<term:string,w:double>>").alias("p")), lambda a, x: F.when(
-        a["rest"] >= threshold * threshold - 1e-9, F.struct((a["rest"] - x["w"] * x["w"]).alias("rest"), F.array_append(
-            a["p"], F.struct(x["term"].alias("term"), x["w"].alias("w"))).alias("p"))).otherwise(a))
-    docs = cut_lineage(docs.withColumn("cut", cut))  # used several times below
+    # k terms form the prefix: the squared norm of the rest is below the threshold's
+    @F.pandas_udf("struct<k:int,tail:double>")
+    def prefix(v: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows in v:
+            rest = 1.0 - np.cumsum([x["w"] ** 2 for x in rows])
+            k = min(int(np.searchsorted(-rest, -(threshold ** 2 - 1e-9), side="right")) + 1, len(rows))
+            out.append((k, float(np.sqrt(max(rest[k - 1], 0.0)))))
+        return pd.DataFrame(out, columns=["k", "tail"])
+
+    docs = cut_lineage(docs.withColumn("cut", prefix("v")))  # used several times below
     f = docs.select(id_col, F.explode("v").alias("x")).select(id_col, F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    posts = docs.select(id_col, F.sqrt(F.greatest("cut.rest", F.lit(0.0))).alias("tail"), F.explode("cut.p").alias("x")) \
+    posts = docs.select(id_col, F.col("cut.tail").alias("tail"), F.explode(F.slice("v", F.lit(1), F.col("cut.k"))).alias("x")) \
                 .select(id_col, "tail", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
     limit = min(task_rows(features), 5000)
     counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
