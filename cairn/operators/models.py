@@ -126,7 +126,7 @@ def naive_bayes_predict(df: DataFrame, model: DataFrame, features, keep) -> Data
     """The class with the largest log posterior and its probability. The
     model (one row per class) is carried as one array."""
     per = model.groupBy("class_label").agg(F.map_from_entries(F.collect_list(F.struct("feature", "log_prob"))).alias("m"))
-    one = per.agg(F.array_sort(F.collect_list(F.struct("class_label", "m"))).alias("__m"))
+    one = per.agg(F.collect_list(F.struct("class_label", "m")).alias("__m"))
     def score(c):
         e = c["m"]["(prior)"]
         for f in features:
