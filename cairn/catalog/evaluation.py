@@ -95,9 +95,9 @@ def _(t):
     return r(ev.bias_split(reg(t), A, P), 5, "avg_absolute_error", "avg_signed_error")
 
 
-@query("ev07_homoscedasticity", R + ", d AS (SELECT *, ntile(10) OVER (ORDER BY predicted, " + ", ".join(IDS) + ") AS decile FROM e), g AS (SELECT decile, count(*) AS n_observations, avg(predicted) AS ap, avg(e) AS ae, stddev(e) AS se, avg(e*e) AS qe FROM d GROUP BY 1) SELECT decile, n_observations, round(ap,4) AS avg_predicted, round(ae,4) AS avg_residual, round(se,4) AS std_residual, round(qe,2) AS avg_squared_error, CASE WHEN decile=1 THEN 'Baseline' WHEN se>1.5*(SELECT se FROM g WHERE decile=1) THEN 'Higher variance' ELSE 'Similar variance' END AS variance_assessment, CASE WHEN abs(ae)<se/sqrt(n_observations) THEN 'PASS' ELSE 'WARNING - Possible Non-Linearity' END AS linearity_check FROM g")
+@query("ev07_homoscedasticity", R + ", d AS (SELECT *, ntile(10) OVER (ORDER BY predicted, " + ", ".join(IDS) + ") AS decile FROM e), g AS (SELECT decile, count(*) AS n_observations, avg(predicted) AS ap, avg(e) AS ae, stddev(e) AS se, avg(e*e) AS qe FROM d GROUP BY 1) SELECT decile, n_observations, round(ap,7) AS avg_predicted, round(ae,7) AS avg_residual, round(se,6) AS std_residual, round(qe,2) AS avg_squared_error, CASE WHEN decile=1 THEN 'Baseline' WHEN se>1.5*(SELECT se FROM g WHERE decile=1) THEN 'Higher variance' ELSE 'Similar variance' END AS variance_assessment, CASE WHEN abs(ae)<se/sqrt(n_observations) THEN 'PASS' ELSE 'WARNING - Possible Non-Linearity' END AS linearity_check FROM g")
 def _(t):
-    return r(r(ev.homoscedasticity(reg(t), A, P, IDS), 4, "avg_predicted", "avg_residual", "std_residual"), 2, "avg_squared_error")
+    return r(r(r(ev.homoscedasticity(reg(t), A, P, IDS), 7, "avg_predicted", "avg_residual"), 6, "std_residual"), 2, "avg_squared_error")
 
 
 @query("ev07_variance_halves", R + ", m AS (SELECT quantile_cont(predicted,.5) AS m FROM p), v AS (SELECT variance(e) FILTER (predicted<=m) AS a, variance(e) FILTER (predicted>m) AS b FROM e, m) SELECT round(a,2) AS lower_variance, round(b,2) AS upper_variance, round(greatest(a,b)/least(a,b),6) AS variance_ratio, CASE WHEN greatest(a,b)/least(a,b)<2 THEN 'PASS - Homoscedastic' WHEN greatest(a,b)/least(a,b)<4 THEN 'WARNING - Possible Heteroscedasticity' ELSE 'FAIL - Heteroscedastic' END AS homoscedasticity_check FROM v")

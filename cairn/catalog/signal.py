@@ -299,13 +299,13 @@ def _(t):
 def _rs(kind):
     v = {"linear": "v0+coalesce((v1-v0)*(g-t0)/nullif(t1-t0,0),0)", "previous": "v0", "nearest": "CASE WHEN coalesce((g-t0)/nullif(t1-t0,0),0)>0.5 THEN v1 ELSE v0 END"}[kind]
     return H + f""", p AS (SELECT series_id, epoch_us(ts) AS t, value AS v FROM ser), b AS (SELECT series_id, min(t) AS lo, max(t) AS hi FROM p GROUP BY 1), gr AS (SELECT series_id, lo, unnest(range(0, (hi-lo)//2700000000+1)) AS k FROM b), q AS (SELECT series_id, k+1 AS seq, lo+k*2700000000 AS g FROM gr),
- iv AS (SELECT series_id, t AS t0, v AS v0, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM p WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT q.series_id, q.seq, q.g AS us, round({v},8) AS value FROM q JOIN iv ON iv.series_id=q.series_id AND g>=t0 AND (g<t1 OR t1 IS NULL)"""
+ iv AS (SELECT series_id, t AS t0, v AS v0, lead(t) OVER w AS t1, lead(v) OVER w AS v1 FROM p WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT q.series_id, q.seq, q.g AS us, round({v},11) AS value FROM q JOIN iv ON iv.series_id=q.series_id AND g>=t0 AND (g<t1 OR t1 IS NULL)"""
 
 
 for _k in ("linear", "previous", "nearest"):
     @query(f"sp24_resample_{_k}", _rs(_k))
     def _(t, k=_k):
-        return sg.resample(hours(t), 2700.0, k).select("series_id", "seq", F.unix_micros("ts").alias("us"), rnd("value", 8).alias("value"))
+        return sg.resample(hours(t), 2700.0, k).select("series_id", "seq", F.unix_micros("ts").alias("us"), rnd("value", 11).alias("value"))
 
 
 @query("sp24_resample_cubic")
