@@ -75,14 +75,20 @@ def volume_assessment(df: DataFrame) -> DataFrame:
                                                             (100, "MANY - Comprehensive profiling")], "VERY MANY - Consider focused profiling")})
 
 
+def distinct_counts(df: DataFrame, cols) -> DataFrame:
+    """Distinct values per column. Kept apart from other aggregates, which
+    would be carried through the expansion that several distincts need."""
+    return summarise(df, cols, {"distinct_count": F.countDistinct})
+
+
 def numeric_profile(df: DataFrame, cols) -> DataFrame:
     """One row per numeric column."""
     n = F.count(F.lit(1))
     base = summarise(df, cols, {
-        "total_count": lambda c: n, "non_null_count": F.count, "distinct_count": F.countDistinct, "min_value": lambda c: F.min(F.col(c).cast("double")),
+        "total_count": lambda c: n, "non_null_count": F.count, "min_value": lambda c: F.min(F.col(c).cast("double")),
         "max_value": lambda c: F.max(F.col(c).cast("double")), "mean_value": F.avg, "std_dev": F.stddev, "variance_value": F.variance})
     q = quantile_rows(df, cols, {"q1": .25, "median": .5, "q3": .75})
-    out = base.join(q, "column_name")
+    out = base.join(q, "column_name").join(distinct_counts(df, cols), "column_name")
     return out.withColumns({
         "null_count": F.col("total_count") - F.col("non_null_count"),
         "null_percentage": pct(F.col("total_count") - F.col("non_null_count"), "total_count"),

@@ -10,7 +10,7 @@ from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
 from cairn.plans.lineage import cut_lineage
 from cairn.plans.ordered import share, task_rows, with_stats
-from cairn.plans.skew import block_pairs, split_join
+from cairn.plans.skew import block_pairs, split_join, spread
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -27,19 +27,19 @@ def text_clean(df: DataFrame, text="text") -> DataFrame:
 
 
 def tokens(text, delimiter=BLANKS):
-    return F.filter(F.split(text, delimiter), lambda w: w != "")
+    return F.array_remove(F.split(text, delimiter), "")
 
 
 def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
     """(id, n, ngram, frequency) for every n in ``grams``."""
-    t = F.lower(text) if to_lower else F.col(text)
-    rows = df.select(id_col, *keep, tokens(t, delimiter).alias("__w"))
-    def of(n):
-        if n == 1:
-            made = F.col("__w")
-        else:
-            made = F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.array_join(F.slice("__w", i, n), " ")))
-        return F.struct(F.lit(n).alias("n"), F.coalesce(made, F.array().cast("array<string>")).alias("g"))
+    rows = spread(df.select(id_col, *keep, F.col(text).alias("__t"))).withColumn(
+        "__g1", tokens(F.lower("__t") if to_lower else F.col("__t"), delimiter)).drop("__t")
+    # the n-grams of size n are those of size n - 1, each with one more word
+    for n in range(2, max(grams) + 1):
+        more = F.greatest(F.size("__g1") - (n - 1), F.lit(0))
+        rows = rows.withColumn(f"__g{n}", F.zip_with(F.slice(f"__g{n - 1}", F.lit(1), more), F.slice("__g1", F.lit(n), more),
+                                                     lambda a, b: F.concat(a, F.lit(" "), b)))
+    of = lambda n: F.struct(F.lit(n).alias("n"), F.col(f"__g{n}").alias("g"))
     long = rows.select(id_col, *keep, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
                .select(id_col, *keep, F.col("s.n").alias("n"), F.explode("s.g").alias("ngram"))
     return long.groupBy(id_col, *keep, "n", "ngram").agg(F.count(F.lit(1)).alias("frequency"))
@@ -62,7 +62,7 @@ def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> D
     w = tokens(F.lower(text))
     if stop_words:
         w = F.filter(w, lambda x: ~x.isin(*stop_words))
-    rows = df.select(id_col, w.alias("__w"))
+    rows = spread(df.select(id_col, text)).select(id_col, w.alias("__w"))
     return rows.select(id_col, F.size("__w").alias("length"), F.explode("__w").alias("term")) \
                .groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -80,14 +80,15 @@ def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0,
 def tfidf_transform(df: DataFrame, model: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
     """(id, term, tf, tfidf_value); tf = count / document length. Terms that
     fill many documents are joined by broadcast, the rest by shuffle."""
-    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term", "doc_freq")
+    # no term can fill more rows than there are documents
+    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term", "doc_freq", most=df.count())
     tf = F.col("n") / F.col("length")
     return rows.select(id_col, "term", tf.alias("tf"), (tf * F.col("idf_weight")).alias("tfidf_value"))
 
 
 def out_of_vocabulary(df: DataFrame, model: DataFrame, id_col="doc_id", text="text") -> DataFrame:
     """Documents none of whose terms are in the model."""
-    known = split_join(term_counts(df, id_col, text), model, "term", "doc_freq").select(id_col).distinct()
+    known = split_join(term_counts(df, id_col, text), model, "term", "doc_freq", most=df.count()).select(id_col).distinct()
     return df.join(known, id_col, "left_anti")
 
 
@@ -101,7 +102,7 @@ def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -
     filter, Bayardo et al. 2007). Prefix terms held by few documents give
     candidate pairs by an equi-join; documents holding a prefix term above
     the bound are compared block by block, which keeps only the best."""
-    f = features.filter(F.col("tfidf_value") > 0)
+    f = cut_lineage(features.filter(F.col("tfidf_value") > 0).select(id_col, "term", "tfidf_value"))
     norm = f.groupBy(id_col).agg(F.sqrt(F.sum(F.pow("tfidf_value", 2))).alias("__n"))
     f = f.join(norm, id_col).select(id_col, "term", (F.col("tfidf_value") / F.col("__n")).alias("w"))
     df_ = f.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -20,7 +20,12 @@ def quantiles(df: DataFrame, wanted: dict, by=()) -> DataFrame:
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     peak = sizes.agg(F.max("n")).first()[0] or 0
     if peak <= task_rows(df):
-        return df.groupBy(*by).agg(*[F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in wanted.items()])
+        # one buffer per column, whatever the number of probabilities
+        cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+        probs = {c: [p for k, p in wanted.values() if k == c] for c in cols}
+        one = df.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs[c]])).alias(f"__q{i}")
+                                    for i, c in enumerate(cols)])
+        return one.select(*by, *[F.col(f"__q{cols.index(c)}")[probs[c].index(p)].alias(n) for n, (c, p) in wanted.items()])
     out = df.select(*by).distinct() if by else None
     for c in dict.fromkeys(c for c, _ in wanted.values()):
         probs = {n: p for n, (k, p) in wanted.items() if k == c}

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cairn.plans.ordered import task_rows
 
-__all__ = ["split_join", "block_pairs"]
+__all__ = ["split_join", "block_pairs", "spread"]
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
     """Inner join of many rows with a lookup table of one row per key.
 
     ``weight`` is the number of rows of each key. Keys above the row bound
     are few (at most rows / bound), so their part of the table is broadcast
-    and their rows stay where they are; the rest is an ordinary join."""
+    and their rows stay where they are; the rest is an ordinary join.
+    ``most`` is a known upper bound of the weight, if there is one."""
     limit = task_rows(rows)
+    if most is not None and most <= limit:
+        return rows.join(table, key)
     hot = table.filter(F.col(weight) > limit)
     if hot.isEmpty():
         return rows.join(table, key)
@@ -25,6 +28,15 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> Data
     return a.unionByName(b)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows over all cores if they come from fewer files than there
+    are cores (metadata only); large inputs pass unchanged. For work that is
+    heavy per row, such as tokenising."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns, kernel, schema: str,
                 block_rows=1024) -> DataFrame:
     """Every left block against every right block, one task item per pair of
