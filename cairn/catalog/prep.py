@@ -91,7 +91,7 @@ def _(t):
     return fp.imputed_rows(q, fp.impute_transform(q, fp.impute_fit(q, ["balance"]), ["balance"]), ["balance"])
 
 
-_SPLIT = "WITH k AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42-' || o_orderkey), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), s AS (SELECT o_orderkey, o_orderstatus, (r <= round(n*0.8::DOUBLE))::INT AS is_train FROM k)"
+_SPLIT = "WITH k AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42-' || o_orderkey), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), s AS (SELECT o_orderkey, o_orderstatus, (r*20 <= n*16+10)::INT AS is_train FROM k)"
 
 
 def split(t):
@@ -103,7 +103,7 @@ def _(t):
     return split(t)
 
 
-@query("fp09_split_unstratified", "WITH k AS (SELECT event_id, row_number() OVER (ORDER BY md5('7-' || event_id), event_id) AS r, count(*) OVER () AS n FROM events) SELECT event_id, (r <= round(n*0.7::DOUBLE))::INT AS is_train FROM k")
+@query("fp09_split_unstratified", "WITH k AS (SELECT event_id, row_number() OVER (ORDER BY md5('7-' || event_id), event_id) AS r, count(*) OVER () AS n FROM events) SELECT event_id, (r*20 <= n*14+10)::INT AS is_train FROM k")
 def _(t):
     return fp.train_test_split(t.events.select("event_id"), "event_id", 0.7, 7)
 

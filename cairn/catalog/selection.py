@@ -16,7 +16,7 @@ def r(df, places, *cols):
     return df.select(*[rnd(c, places).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-@query("ms01_time_split", H + " SELECT series_id, seq, CASE WHEN seq<=floor(n*0.6::DOUBLE) THEN 'train' WHEN seq<=floor(n*0.8::DOUBLE) THEN 'validation' ELSE 'test' END AS role FROM s")
+@query("ms01_time_split", H + " SELECT series_id, seq, CASE WHEN seq*10<=n*6 THEN 'train' WHEN seq*10<=n*8 THEN 'validation' ELSE 'test' END AS role FROM s")
 def _(t):
     return ms.time_split(hours(t)).select("series_id", "seq", "role")
 
@@ -115,7 +115,7 @@ def _(t):
     return s.select("series_id", "model", "aic_rank", "bic_rank", "rmse_rank", "mae_rank", "adjusted_r2_rank", "consensus")
 
 
-@query("ms10_selection_stability", _SEL + f", rk AS (SELECT *, {_RK} FROM me), l AS (UNPIVOT (SELECT series_id, model, aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank FROM rk) ON aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank INTO NAME criterion VALUE rank) SELECT model, round(avg(rank),8) AS mean_rank, round(stddev(rank),8) AS rank_sd, count(*) FILTER (rank=1) AS wins, CASE WHEN stddev(rank)<.5 THEN 'Very stable' WHEN stddev(rank)<1 THEN 'Stable' ELSE 'Unstable' END AS stability FROM l GROUP BY 1")
+@query("ms10_selection_stability", _SEL + f", rk AS (SELECT *, {_RK} FROM me), l AS (UNPIVOT (SELECT series_id, model, aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank FROM rk) ON aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank INTO NAME criterion VALUE rank) SELECT model, round(avg(rank),8) AS mean_rank, round(stddev(rank),8) AS rank_sd, count(*) FILTER (rank=1) AS wins, CASE WHEN round(stddev(rank),9)<.5 THEN 'Very stable' WHEN round(stddev(rank),9)<1 THEN 'Stable' ELSE 'Unstable' END AS stability FROM l GROUP BY 1")
 def _(t):
     return r(ms.selection_stability(ms.model_selection(ms.candidate_forecasts(hours(t)))), 8, "mean_rank", "rank_sd")
 

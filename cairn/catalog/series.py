@@ -457,7 +457,7 @@ def _(t):
 
 @query("ts33_lag_features", H + f""" SELECT series_id, seq, round(lag(value,1) OVER w,8) AS lag1, round(lag(value,7) OVER w,8) AS lag7, round(lag(value,30) OVER w,8) AS lag30, round(avg(value) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),9) AS ma7,
  round(stddev(value) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),7) AS volatility30, round(value-lag(value,1) OVER w,8) AS diff1, month(ts)::INT AS month, (dayofweek(ts)+1)::INT AS day_of_week,
- CASE WHEN seq <= 0.7*max(seq) OVER (PARTITION BY series_id) THEN 'train' WHEN seq <= 0.85*max(seq) OVER (PARTITION BY series_id) THEN 'validation' ELSE 'test' END AS split FROM ser WINDOW w AS {W}""")
+ CASE WHEN seq*100 <= 70*max(seq) OVER (PARTITION BY series_id) THEN 'train' WHEN seq*100 <= 85*max(seq) OVER (PARTITION BY series_id) THEN 'validation' ELSE 'test' END AS split FROM ser WINDOW w AS {W}""")
 def _(t):
     return r(r(r(ts.lag_features(hours(t)), 8, "lag1", "lag7", "lag30", "diff1"), 9, "ma7"), 7, "volatility30").drop("ts", "value")
 

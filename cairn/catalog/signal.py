@@ -169,10 +169,18 @@ def _(t):
     return e.select("series_id", "n", (F.col("max_error") < 1e-8).cast("int").alias("exact"))
 
 
-def _welch(size, step, win, center):
+def _i0(z):
+    """The Bessel function I0 by its series."""
+    return f"list_sum([pow(({z})*({z})/4.0, j)/pow(gamma(j+1), 2) for j in range(0, 40)])"
+
+
+def _welch(size, step, win, center, line=False):
     x = f"(i/{size - 1}.0)"
-    wt = {"hanning": f"(0.5-0.5*cos(2*pi()*{x}))", "rectangular": "1.0::DOUBLE"}[win]
-    d = "v - avg(v) OVER (PARTITION BY series_id, g)" if center else "v"
+    wt = {"hanning": f"(0.5-0.5*cos(2*pi()*{x}))", "rectangular": "1.0::DOUBLE", "kaiser": "(" + _i0(f"8.6*sqrt(greatest(1-(2*{x}-1)*(2*{x}-1),0))") + "/" + _i0("8.6") + ")"}[win]
+    part = "OVER (PARTITION BY series_id, g)"
+    d = f"v - avg(v) {part}" if center else "v"
+    if line:
+        d += f" - regr_slope(v, i) {part} * (i - avg(i) {part})"
     return H + f""", n AS (SELECT series_id, max(seq) AS n FROM ser GROUP BY 1), sg AS (SELECT series_id, unnest(range(0, ((n-{size})//{step})+1)) AS g FROM n WHERE n>={size}),
  s AS (SELECT sg.series_id, g, seq-1-g*{step} AS i, value AS v FROM sg JOIN ser ON ser.series_id=sg.series_id AND seq-1 BETWEEN g*{step} AND g*{step}+{size - 1}), c AS (SELECT series_id, g, i, ({d})*1.0 AS v FROM s), w AS (SELECT series_id, g, i, v*{wt} AS v FROM c),
  sc AS (SELECT sum({wt}*{wt}) AS u FROM range({size}) r(i)), k AS (SELECT unnest(range(0,{size // 2 + 1})) AS bin), y AS (SELECT series_id, g, bin, sum(v*cos(2*pi()*((bin*i)%{size})/{size}.0)) AS a, sum(v*sin(2*pi()*((bin*i)%{size})/{size}.0)) AS b FROM w, k GROUP BY 1,2,3)
@@ -189,6 +197,16 @@ def _(t):
     return r(r(sg.spectral_density(hours(t)), 5, "density"), 9, "frequency_hz")
 
 
+@query("sp16_spectral_density_linear", _welch(64, 32, "hanning", True, True))
+def _(t):
+    return r(r(sg.spectral_density(hours(t), detrend="linear"), 5, "density"), 9, "frequency_hz")
+
+
+@query("sp16_spectral_density_kaiser", _welch(64, 32, "kaiser", True))
+def _(t):
+    return r(r(sg.spectral_density(hours(t), kind="kaiser"), 5, "density"), 9, "frequency_hz")
+
+
 _WX = {"rectangular": "1.0::DOUBLE", "hamming": "0.54-0.46*cos(2*pi()*x)", "hanning": "0.5-0.5*cos(2*pi()*x)", "blackman": "0.42-0.5*cos(2*pi()*x)+0.08*cos(4*pi()*x)"}
 for _k, _e in _WX.items():
     @query(f"sp17_window_{_k}", H + f", w AS (SELECT *, (seq-1)/(count(*) OVER (PARTITION BY series_id)-1) AS x FROM ser) SELECT series_id, seq, round({_e},9) AS weight, round(value*({_e}),8) AS windowed FROM w")
@@ -196,9 +214,12 @@ for _k, _e in _WX.items():
         return r(r(sg.window_apply(hours(t), k), 9, "weight"), 8, "windowed").drop("ts", "value")
 
 
-@query("sp17_window_kaiser")
+_KW = _i0("8.6*sqrt(greatest(1-(2*x-1)*(2*x-1),0))") + "/" + _i0("8.6")
+
+
+@query("sp17_window_kaiser", H + f", w AS (SELECT *, (seq-1)/(count(*) OVER (PARTITION BY series_id)-1) AS x FROM ser), k AS (SELECT series_id, seq, value, {_KW} AS k FROM w), m AS (SELECT *, k/avg(k) OVER (PARTITION BY series_id) AS weight FROM k) SELECT series_id, seq, round(weight,9) AS weight, round(value*weight,7) AS windowed FROM m")
 def _(t):
-    return sg.window_apply(hours(t), "kaiser", normalise=True)
+    return r(r(sg.window_apply(hours(t), "kaiser", normalise=True), 9, "weight"), 7, "windowed").drop("ts", "value")
 
 
 @query("sp18_leakage_risk", H + """, a AS (SELECT series_id, arg_min(value,seq) AS f, arg_max(value,seq) AS l, stddev(value) AS s, avg(value) AS m, max(value) AS x, min(value) AS mn, count(*) AS n FROM ser GROUP BY 1), b AS (SELECT series_id, n, abs(f-l)/s AS e, s/(greatest(abs(x-m),abs(mn-m))+0.0001) AS c FROM a)
@@ -223,9 +244,24 @@ for _k, _c in {"lowpass": 0.1, "highpass": 0.1, "bandpass": (0.05, 0.2), "bandst
         return r(sg.fir_filter(hours(t), k, c), 7, "filtered").drop("ts", "value")
 
 
-@query("sp19_filter_butterworth")
-def _(t):
-    return sg.butterworth(hours(t), 0.1)
+def _biquad(source, to, cutoff, kind, damping="sqrt(2.0)"):
+    """One second-order section as a recursion over the positions of a series."""
+    b = ("w*w*q", "2*w*w*q", "w*w*q") if kind == "lowpass" else ("q", "-2*q", "q")
+    return f""", {to}_c AS (SELECT {b[0]} AS b0, {b[1]} AS b1, {b[2]} AS b2, 2*(w*w-1)*q AS a1, (1-d*w+w*w)*q AS a2 FROM (SELECT w, d, 1/(1+d*w+w*w) AS q FROM (SELECT tan(pi()*{cutoff}) AS w, {damping} AS d))),
+ {to} AS (SELECT series_id, seq, b0*value AS value, (b1-a1*b0)*value AS s1, (b2-a2*b0)*value AS s2 FROM {source}, {to}_c WHERE seq=1
+ UNION ALL SELECT x.series_id, x.seq, b0*x.value+y.s1, b1*x.value-a1*(b0*x.value+y.s1)+y.s2, b2*x.value-a2*(b0*x.value+y.s1) FROM {to} y JOIN {source} x ON x.series_id=y.series_id AND x.seq=y.seq+1, {to}_c)"""
+
+
+_HR = H.replace("WITH ", "WITH RECURSIVE ", 1)
+_BW = {"": (0.1, "lowpass", 2, _biquad("ser", "f", 0.1, "lowpass") + " SELECT series_id, seq, round(value,7) AS filtered FROM f"),
+       "_highpass": (0.1, "highpass", 2, _biquad("ser", "f", 0.1, "highpass") + " SELECT series_id, seq, round(value,7) AS filtered FROM f"),
+       "_bandpass": ((0.05, 0.2), "bandpass", 2, _biquad("ser", "e", 0.05, "highpass") + _biquad("e", "f", 0.2, "lowpass") + " SELECT series_id, seq, round(value,7) AS filtered FROM f"),
+       "_bandstop": ((0.05, 0.2), "bandstop", 2, _biquad("ser", "e", 0.05, "lowpass") + _biquad("ser", "f", 0.2, "highpass") + " SELECT series_id, seq, round(e.value+f.value,7) AS filtered FROM e JOIN f USING (series_id, seq)"),
+       "_order4": (0.1, "lowpass", 4, _biquad("ser", "e", 0.1, "lowpass", "2*sin(pi()/8)") + _biquad("e", "f", 0.1, "lowpass", "2*sin(3*pi()/8)") + " SELECT series_id, seq, round(value,7) AS filtered FROM f")}
+for _k, (_c, _b, _o, _s) in _BW.items():
+    @query(f"sp19_filter_butterworth{_k}", _HR + _s)
+    def _(t, c=_c, b=_b, o=_o):
+        return r(sg.butterworth(hours(t), c, kind=b, order=o), 7, "filtered").drop("ts", "value")
 
 
 @query("sp20_filter_recommend", H + f""", d AS (SELECT *, value-lag(value) OVER {W} AS d, (epoch_us(ts)-epoch_us(lag(ts) OVER {W}))/1e6 AS g FROM ser), a AS (SELECT series_id, abs(avg(value))/stddev(value) AS dc, stddev(d)/stddev(value) AS nr, 0.5/avg(g) AS ny FROM d GROUP BY 1)
@@ -256,22 +292,24 @@ def _(t):
 
 
 def pair(t):
+    """Every pair of event types, hour by hour."""
     h = ts.hourly_means(t.events)
-    x = h.filter("series_id = 'click'").select("ts", F.col("value").alias("x"))
-    y = h.filter("series_id = 'view'").select("ts", F.col("value").alias("y"))
+    x = h.select("ts", F.col("series_id").alias("a"), F.col("value").alias("x"))
+    y = h.select("ts", F.col("series_id").alias("b"), F.col("value").alias("y"))
     from cairn.plans.ordered import sequence
-    return sequence(x.join(y, "ts").select(F.lit("click-view").alias("series_id"), "ts", "x", "y"), ["series_id"], ["ts"])
+    both = x.join(y, "ts").filter("a < b").select(F.concat_ws("-", "a", "b").alias("series_id"), "ts", "x", "y")
+    return sequence(both, ["series_id"], ["ts"])
 
 
-_PAIR = H + ", pr AS (SELECT a.ts, a.value AS x, b.value AS y, row_number() OVER (ORDER BY a.ts) AS seq FROM hourly a JOIN hourly b ON a.ts=b.ts WHERE a.series_id='click' AND b.series_id='view'), lg AS (SELECT (b.seq-a.seq)::INT AS lag, corr(a.x,b.y) AS c FROM pr a JOIN pr b ON b.seq-a.seq BETWEEN -10 AND 10 GROUP BY 1)"
+_PAIR = H + ", pr AS (SELECT a.series_id || '-' || b.series_id AS p, a.value AS x, b.value AS y, row_number() OVER (PARTITION BY a.series_id, b.series_id ORDER BY a.ts) AS seq FROM hourly a JOIN hourly b ON a.ts=b.ts AND a.series_id<b.series_id), lg AS (SELECT a.p, (b.seq-a.seq)::INT AS lag, corr(a.x,b.y) AS c FROM pr a JOIN pr b ON a.p=b.p AND b.seq-a.seq BETWEEN -10 AND 10 GROUP BY 1,2)"
 
 
-@query("sp22_cross_correlate", _PAIR + " SELECT 'click-view' AS series_id, lag, round(c,8) AS correlation FROM lg")
+@query("sp22_cross_correlate", _PAIR + " SELECT p AS series_id, lag, round(c,8) AS correlation FROM lg")
 def _(t):
     return r(sg.cross_correlate(pair(t)), 8, "correlation")
 
 
-@query("sp22_delay_at_peak", _PAIR + " SELECT 'click-view' AS series_id, lag AS delay, round(c,8) AS peak FROM lg ORDER BY round(abs(c),12) DESC, abs(lag), lag LIMIT 1")
+@query("sp22_delay_at_peak", _PAIR + " SELECT p AS series_id, lag AS delay, round(c,8) AS peak FROM lg QUALIFY row_number() OVER (PARTITION BY p ORDER BY round(abs(c),12) DESC, abs(lag), lag) = 1")
 def _(t):
     return r(sg.delay_at_peak(sg.cross_correlate(pair(t))), 8, "peak")
 

@@ -30,7 +30,7 @@ def _(t):
 
 @query("tx03_ngram_stats", G + " SELECT n, count(DISTINCT ngram) AS unique_ngrams, sum(frequency)::BIGINT AS total_occurrences FROM g GROUP BY 1")
 def _(t):
-    return tx.ngram_stats(tx.ngrams(t.documents))
+    return tx.ngram_stats(tx.ngram_rows(t.documents))
 
 
 @query("tx03_top_ngrams", G + ", s AS (SELECT n, ngram, sum(frequency)::BIGINT AS frequency, count(*) AS doc_frequency FROM g GROUP BY 1,2) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY n ORDER BY frequency DESC, ngram) <= 20")
@@ -62,7 +62,7 @@ def _(t):
 
 @query("tx05_out_of_vocabulary", C + r""", b AS (SELECT item_id, unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')) AS term FROM benchmark) SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM b JOIN m USING (term) WHERE doc_freq >= 40)""")
 def _(t):
-    return tx.out_of_vocabulary(t.benchmark, tx.tfidf_fit(t.documents).filter("doc_freq >= 40"), "item_id").select("item_id")
+    return tx.out_of_vocabulary(t.benchmark, tx.tfidf_fit(t.documents, min_df=40), "item_id").select("item_id")
 
 
 _DIST = {"euclidean": "list_distance(a.v,b.v)", "cosine": "1-list_cosine_similarity(a.v,b.v)", "manhattan": "list_sum(list_transform(list_zip(a.v,b.v), lambda p: abs(p[1]-p[2])))"}

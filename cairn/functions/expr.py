@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 __all__ = [
     "band", "band_ge", "band_gt", "band_le", "rnd", "pct", "flag", "tally",
-    "normal_cdf", "as_number", "standardised", "all_of", "col",
+    "normal_cdf", "as_number", "standardised", "all_of", "col", "exact_share",
 ]
 
 
@@ -82,6 +83,13 @@ def as_number(column: str, dtype: str) -> Column:
     return c.cast("double")
 
 
+def exact_share(value) -> tuple[int, int]:
+    """A share such as 0.7 as two whole numbers (7, 10), as it is written, so
+    that positions are compared without binary fractions."""
+    f = Fraction(str(value))
+    return f.numerator, f.denominator
+
+
 def normal_cdf(z) -> Column:
     """Standard normal CDF, error function by Abramowitz-Stegun 7.1.26."""
     z = col(z)

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cairn.functions.expr import band_ge, flag, pct, rnd, tally
+from cairn.functions.expr import band_ge, exact_share, flag, pct, rnd, tally
 from cairn.operators import profiling as pr
 from cairn.operators.relational import mode
 from cairn.plans.ordered import null_safe_join, sequence, share, with_stats
@@ -52,13 +52,15 @@ def onehot_fit(df: DataFrame, cols) -> DataFrame:
     return pr.value_counts(df, cols).select("column_name", "value")
 
 
-def onehot_transform(df: DataFrame, fit: DataFrame, cols, max_categories=1000) -> DataFrame:
-    """One 0/1 column per category in sorted order; a value not in the fit
-    gives zeros and sets ``has_unknown``. The categories become columns, so
-    their number is checked."""
-    found = fit.filter(F.col("column_name").isin(*cols)).orderBy("column_name", "value").limit(max_categories + 1).collect()
-    if len(found) > max_categories:
-        raise ValueError(f"more than {max_categories} categories")
+def onehot_transform(df: DataFrame, fit: DataFrame, cols, categories: dict | None = None) -> DataFrame:
+    """One 0/1 column per category in sorted order; a value that is none of
+    them gives zeros and sets ``has_unknown``. ``categories`` maps a column to
+    its values, else they are those of the fit. Each becomes a column, so their
+    number is that of the columns wanted; ``onehot_rows`` takes any number."""
+    if categories is None:
+        found = fit.filter(F.col("column_name").isin(*cols)).orderBy("column_name", "value").collect()
+    else:
+        found = [{"column_name": c, "value": v} for c in cols for v in sorted(categories[c])]
     out, unknown = {}, F.lit(False)
     for c in cols:
         values = [r["value"] for r in found if r["column_name"] == c]
@@ -69,6 +71,17 @@ def onehot_transform(df: DataFrame, fit: DataFrame, cols, max_categories=1000) -
     return df.withColumns({**out, "has_unknown": flag(unknown)})
 
 
+def onehot_rows(df: DataFrame, fit: DataFrame, cols, ids) -> DataFrame:
+    """(ids, column_name, value) for each category a row holds, the sparse form
+    of ``onehot_transform`` for any number of categories; ``value`` is null where
+    the fit does not know it."""
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("__v")) for c in cols])
+    long = df.select(*ids, F.explode(each).alias("__e")).select(*ids, "__e.*").filter("__v IS NOT NULL")
+    known = fit.filter(F.col("column_name").isin(*cols)).select("column_name", "value").distinct()
+    same = (long["column_name"] == known["column_name"]) & (long["__v"] == known["value"])
+    return long.join(known, same, "left").select(*ids, long["column_name"], "value")
+
+
 def impute_fit(df: DataFrame, cols, strategy="mean", constant=None) -> DataFrame:
     """(column_name, fill_value as string) by mean, median, mode, constant."""
     if strategy == "mean":
@@ -110,14 +123,14 @@ def keyed_hash(id_col: str, seed: int):
 
 def train_test_split(df: DataFrame, id_col: str, train=0.8, seed=42, stratify: str | None = None) -> DataFrame:
     """``is_train`` by rank of a keyed hash inside each stratum: exact sizes,
-    the same rows on every run. The rank of a hot stratum is taken in slices
-    along the hash."""
+    the same rows on every run. The train side has ``train`` of the rows,
+    rounded half up in whole numbers."""
     keys = [stratify] if stratify else []
+    part, whole = exact_share(train)
     rows = df.withColumn("__h", keyed_hash(id_col, seed))
-    lead = F.conv(F.substring("__h", 1, 12), 16, 10).cast("double")
-    rows = sequence(rows, keys, ["__h", id_col], "__r", lead=lead)
+    rows = sequence(rows, keys, ["__h", id_col], "__r")
     rows = with_stats(rows, [F.count(F.lit(1)).alias("__n")], keys)
-    return rows.withColumn("is_train", flag(F.col("__r") <= F.round(F.col("__n") * train))).drop("__h", "__r", "__n")
+    return rows.withColumn("is_train", flag(F.col("__r") * 2 * whole <= 2 * part * F.col("__n") + whole)).drop("__h", "__r", "__n")
 
 
 def split_report(df: DataFrame, id_col: str, label: str) -> DataFrame:

@@ -47,16 +47,15 @@ def ranked(df: DataFrame, keys, column: str, descending=False) -> DataFrame:
     """Each distinct value of a key with its count and its ``rank``,
     ``dense_rank`` and ``average_rank``."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
-    lead = (-F.col(column) if descending else F.col(column)).cast("double")
-    rows = sequence(counts, keys, [F.desc(column) if descending else F.asc(column)], "dense_rank", lead=lead)
+    rows = sequence(counts, keys, [(column, "desc") if descending else column], "dense_rank")
     rows = running(rows, keys, {"__upto": "n"}, seq="dense_rank")
     rows = rows.withColumn("rank", (F.col("__upto") - F.col("n") + 1).cast("bigint"))
     return rows.withColumn("average_rank", F.col("rank") + (F.col("n") - 1) / 2.0).drop("__upto")
 
 
-def ntile(df: DataFrame, keys, order, buckets: int, name="tile", lead=None) -> DataFrame:
+def ntile(df: DataFrame, keys, order, buckets: int, name="tile") -> DataFrame:
     """Equal-count buckets numbered from 1, larger buckets first."""
-    rows = sequence(df, keys, order, "__seq", lead=lead)
+    rows = sequence(df, keys, order, "__seq")
     sizes = rows.groupBy(*keys).agg(F.max("__seq").alias("__n"))
     rows = attach(rows, sizes, keys, "__n", seq="__seq", keep_length=True)
     q, r = F.floor(F.col("__n") / buckets), F.col("__n") % buckets
@@ -101,7 +100,7 @@ def cumulative_share(df: DataFrame, column: str, top: int | None = None) -> Data
     """Frequency, share and cumulative share by falling frequency."""
     counts = share(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("frequency")),
                    "frequency", "percentage")
-    rows = sequence(counts, [], [F.desc("frequency"), F.asc(column)], "position", lead=-F.col("frequency").cast("double"))
+    rows = sequence(counts, [], [("frequency", "desc"), column], "position")
     rows = running(rows, [], {"cumulative": "frequency"}, seq="position")
     rows = with_stats(rows, [F.sum("frequency").alias("__t")])
     out = rows.withColumn("cumulative_percentage", F.round(F.col("cumulative") * 100.0 / F.col("__t"), 4)).drop("__t", "cumulative")

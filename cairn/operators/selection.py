@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import band, band_gt, flag, rnd, tally
+from cairn.functions.expr import band, band_gt, exact_share, flag, rnd, tally
 from cairn.operators import arima as ar, series as ts
 from cairn.operators.relational import rolling
 from cairn.plans.lineage import cut_lineage
@@ -28,8 +28,9 @@ def with_length(df: DataFrame) -> DataFrame:
 def time_split(df: DataFrame, train=0.6, validation=0.2) -> DataFrame:
     """Role by position; the rest after train and validation is test."""
     r = with_length(df)
-    p = F.col("seq")
-    role = F.when(p <= F.floor(F.col("n") * train), "train").when(p <= F.floor(F.col("n") * (train + validation)), "validation").otherwise("test")
+    (a, b), (c, d) = exact_share(train), exact_share(validation)
+    p, n = F.col("seq"), F.col("n")
+    role = F.when(p * b <= n * a, "train").when(p * (b * d) <= n * (a * d + b * c), "validation").otherwise("test")
     return r.withColumn("role", role).drop("n")
 
 
@@ -177,7 +178,7 @@ def selection_stability(selected: DataFrame) -> DataFrame:
     ranks = ["aic_rank", "bic_rank", "rmse_rank", "mae_rank", "adjusted_r2_rank"]
     long = selected.unpivot([*S, "model"], ranks, "criterion", "rank")
     g = long.groupBy("model").agg(F.avg("rank").alias("mean_rank"), F.stddev("rank").alias("rank_sd"), tally(F.col("rank") == 1).alias("wins"))
-    return g.withColumn("stability", band("rank_sd", [(0.5, "Very stable"), (1.0, "Stable")], "Unstable"))
+    return g.withColumn("stability", band(F.round("rank_sd", 9), [(0.5, "Very stable"), (1.0, "Stable")], "Unstable"))
 
 
 def overfitting_risk(selected: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import band, band_ge, band_gt, band_le, flag, pct, rnd, tally
+from cairn.functions.expr import band, band_ge, band_gt, band_le, exact_share, flag, pct, rnd, tally
 from cairn.operators.relational import ntile, rolling, rolling_median
 from cairn.plans.lineage import cut_lineage
 from cairn.plans.linear import dot, ols
@@ -722,7 +722,8 @@ def lag_features(df: DataFrame, train=0.70, validation=0.85) -> DataFrame:
                 "volatility30": F.stddev("value").over(w.rowsBetween(-29, 0)), "diff1": F.col("value") - lag(1)}
     n = df.groupBy(*S).agg(F.max("seq").alias("__n"))
     rows = attach(sliding(df, S, build, before=30), n, S, "__n", keep_length=True)
-    part = F.when(F.col("seq") <= F.col("__n") * train, "train").when(F.col("seq") <= F.col("__n") * validation, "validation").otherwise("test")
+    upto = lambda share: F.col("seq") * share[1] <= F.col("__n") * share[0]
+    part = F.when(upto(exact_share(train)), "train").when(upto(exact_share(validation)), "validation").otherwise("test")
     return rows.withColumns({"month": F.month("ts"), "day_of_week": F.dayofweek("ts"), "split": part}).drop("__n")
 
 

@@ -57,23 +57,17 @@ def dft(df: DataFrame, value="value", bins: int | None = None) -> DataFrame:
     return r.groupBy(*S, "bin").agg(F.sum(F.col("x") * F.cos(a)).alias("real"), F.sum(F.col("x") * F.sin(a)).alias("imag"), F.max("n").alias("n"))
 
 
-SHORT = 65536
-
-
-def fft(df: DataFrame, value="value", pad=True, short=SHORT) -> DataFrame:
+def fft(df: DataFrame, value="value", pad=True) -> DataFrame:
     """Fast transform of every series, zero padded to a power of two.
 
-    Up to ``short`` samples one numpy call per series. A longer series of
-    N = n1 n2 samples takes the four-step form: n1 transforms over strided
-    samples, a twiddle factor, n2 transforms across them; each piece holds
-    about sqrt(N) samples, so no task sees the whole series."""
+    A series of N = n1 n2 samples takes the four-step form: n1 transforms over
+    strided samples, a twiddle factor, n2 transforms across them; each piece
+    holds about sqrt(N) samples, so no task sees the whole series. Without
+    padding the length need not factor, and a series is one piece."""
     size = next_power(F.col("n")) if pad else F.col("n")
     ln = lengths(df).withColumn("size", size)
     r = attach(df.select(*S, (F.col("seq")).alias("seq"), F.col(value).cast("double").alias("x")), ln, S, "n")
-    r = r.withColumn("n1", F.when(F.col("size") <= short, F.lit(1).cast("bigint")).otherwise(
-        F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double")) / 2)).cast("bigint")))
-    if not pad:  # lengths need not factor: one piece per series
-        r = r.withColumn("n1", F.lit(1).cast("bigint"))
+    r = r.withColumn("n1", F.pow(F.lit(2.0), F.floor(F.round(F.log2(F.col("size").cast("double")), 9) / 2)).cast("bigint") if pad else F.lit(1).cast("bigint"))
     t = F.col("seq") - 1
     r = r.withColumn("j1", t % F.col("n1")).withColumn("j2", F.floor(t / F.col("n1")).cast("bigint"))
     pieces = r.groupBy(*S, "size", "n1", "j1").agg(F.collect_list(F.struct("j2", "x")).alias("p"))
@@ -208,7 +202,7 @@ def frequency_band(f="frequency_hz") -> Column:
 
 def with_rank(pos: DataFrame) -> DataFrame:
     """Magnitude rank (largest first) of each bin in its series."""
-    r = sequence(pos, S, [F.desc("magnitude"), F.asc("bin")], "magnitude_rank", lead=-F.col("magnitude"))
+    r = sequence(pos, S, [("magnitude", "desc"), "bin"], "magnitude_rank")
     return r
 
 
@@ -376,8 +370,8 @@ def segments(df: DataFrame, size: int, overlap: float) -> DataFrame:
     return r.withColumn("offset", p - F.col("segment") * step).drop("n")
 
 
-def spectral_density(df: DataFrame, size=64, overlap=0.5, kind="hanning", detrend="constant", rate=1.0) -> DataFrame:
-    """Welch: window and transform every segment, average the one-sided
+def spectral_density(df: DataFrame, size=64, overlap=0.5, kind="hanning", detrend="constant", rate=1.0, beta=8.6) -> DataFrame:
+    """Welch: remove mean or line, window and transform every segment, average the one-sided
     periodograms. Segments are the unit of work, so one long series is
     spread like many short ones."""
     r = segments(df, size, overlap)
@@ -385,7 +379,11 @@ def spectral_density(df: DataFrame, size=64, overlap=0.5, kind="hanning", detren
     k = np.arange(size)
     x = k / (size - 1)
     win = {"rectangular": np.ones(size), "hamming": 0.54 - 0.46 * np.cos(TAU * x), "hanning": 0.5 - 0.5 * np.cos(TAU * x),
-           "blackman": 0.42 - 0.5 * np.cos(TAU * x) + 0.08 * np.cos(2 * TAU * x)}[kind]
+           "blackman": 0.42 - 0.5 * np.cos(TAU * x) + 0.08 * np.cos(2 * TAU * x), "kaiser": np.kaiser(size, beta)}
+    if kind not in win or detrend not in ("none", "constant", "linear"):
+        raise ValueError(f"{kind}, {detrend}")
+    win, line = win[kind], k - k.mean()
+    line = line / np.sqrt((line ** 2).sum())
     scale = 1.0 / (rate * float((win ** 2).sum()))
 
     @F.pandas_udf("array<double>")
@@ -394,8 +392,10 @@ def spectral_density(df: DataFrame, size=64, overlap=0.5, kind="hanning", detren
         for i, rows in enumerate(p):
             for e in rows:
                 m[i, e["offset"]] = e["value"]
-        if detrend == "constant":
+        if detrend != "none":
             m = m - m.mean(axis=1, keepdims=True)
+        if detrend == "linear":
+            m = m - (m @ line)[:, None] * line[None, :]
         y = np.abs(np.fft.rfft(m * win, axis=1)) ** 2 * scale
         y[:, 1:(size + 1) // 2] *= 2.0
         return pd.Series(list(y))
@@ -459,17 +459,44 @@ def fir_filter(df: DataFrame, kind="lowpass", cutoff=0.1, rate=1.0, order=20, pa
     return out if passes == "forward" else convolve(out.withColumnRenamed(name, "__once"), taps, "same", name=name, column="__once").drop("__once")
 
 
-def butterworth(df: DataFrame, cutoff=0.1, rate=1.0, kind="lowpass", name="filtered") -> DataFrame:
-    """Second-order recursive Butterworth by the bilinear transform, run as a
-    linear recursion over blocks."""
-    w = math.tan(math.pi * cutoff / rate)
-    q = 1.0 / (1.0 + math.sqrt(2.0) * w + w * w)
+def _section(df: DataFrame, w: float, damping: float, kind: str, column: str, name: str) -> DataFrame:
+    """One second-order section by the bilinear transform."""
+    q = 1.0 / (1.0 + damping * w + w * w)
     b = np.array([w * w, 2 * w * w, w * w]) * q if kind == "lowpass" else np.array([1.0, -2.0, 1.0]) * q
-    a1, a2 = 2 * (w * w - 1) * q, (1 - math.sqrt(2.0) * w + w * w) * q
+    a1, a2 = 2 * (w * w - 1) * q, (1 - damping * w + w * w) * q
     # transposed direct form II: y = b0 x + s1
     A, g = [[-a1, 1.0], [-a2, 0.0]], [b[1] - a1 * b[0], b[2] - a2 * b[0]]
-    r = affine_scan(df, S, A, g, [0.0, 0.0], before=[1.0, 0.0])
-    return r.withColumn(name, F.col("__before") + float(b[0]) * F.col("value")).drop("__before", "__after", "__state")
+    r = affine_scan(df, S, A, g, [0.0, 0.0], before=[1.0, 0.0], value=column)
+    return r.withColumn(name, F.col("__before") + float(b[0]) * F.col(column)).drop("__before", "__after", "__state")
+
+
+def butterworth(df: DataFrame, cutoff=0.1, rate=1.0, kind="lowpass", order=2, name="filtered") -> DataFrame:
+    """Recursive Butterworth filter of even order, as second-order sections run
+    as linear recursions over blocks. A band takes two cutoffs: a band pass is
+    the high pass at the lower one and then the low pass at the upper one, a band
+    stop the sum of the low pass at the lower and the high pass at the upper one."""
+    if order < 2 or order % 2:
+        raise ValueError("order must be even")
+    if kind in ("bandpass", "bandstop"):
+        low, high = cutoff
+        if kind == "bandpass":
+            once = butterworth(df, low, rate, "highpass", order, "__once")
+            return _sections(once, high, rate, "lowpass", order, "__once", name).drop("__once")
+        both = _sections(butterworth(df, low, rate, "lowpass", order, "__low"), high, rate, "highpass", order, "value", "__high")
+        return both.withColumn(name, F.col("__low") + F.col("__high")).drop("__low", "__high")
+    if kind not in ("lowpass", "highpass"):
+        raise ValueError(kind)
+    return _sections(df, cutoff, rate, kind, order, "value", name)
+
+
+def _sections(df: DataFrame, cutoff: float, rate: float, kind: str, order: int, column: str, name: str) -> DataFrame:
+    w, at = math.tan(math.pi * cutoff / rate), column
+    for k in range(order // 2):
+        to = name if k == order // 2 - 1 else f"__section{k}"
+        df = _section(df, w, 2.0 * math.sin((2 * k + 1) * math.pi / (2 * order)), kind, at, to)
+        df = df if at == column else df.drop(at)
+        at = to
+    return df
 
 
 def filter_recommend(df: DataFrame) -> DataFrame:

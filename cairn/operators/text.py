@@ -10,7 +10,7 @@ from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
 from cairn.plans.lineage import cut_lineage
 from cairn.plans.ordered import share, task_rows, with_stats
-from cairn.plans.skew import block_pairs, split_join, spread
+from cairn.plans.skew import block_pairs, split_join
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -30,9 +30,9 @@ def tokens(text, delimiter=BLANKS):
     return F.array_remove(F.split(text, delimiter), "")
 
 
-def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
-    """(id, n, ngram, frequency) for every n in ``grams``."""
-    rows = spread(df.select(id_col, *keep, F.col(text).alias("__t"))).withColumn(
+def ngram_rows(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
+    """(id, n, ngram) for every place of every n-gram."""
+    rows = df.select(id_col, *keep, F.col(text).alias("__t")).withColumn(
         "__g1", tokens(F.lower("__t") if to_lower else F.col("__t"), delimiter)).drop("__t")
     # the n-grams of size n are those of size n - 1, each with one more word
     for n in range(2, max(grams) + 1):
@@ -40,14 +40,20 @@ def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimit
         rows = rows.withColumn(f"__g{n}", F.zip_with(F.slice(f"__g{n - 1}", F.lit(1), more), F.slice("__g1", F.lit(n), more),
                                                      lambda a, b: F.concat(a, F.lit(" "), b)))
     of = lambda n: F.struct(F.lit(n).alias("n"), F.col(f"__g{n}").alias("g"))
-    long = rows.select(id_col, *keep, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
+    return rows.select(id_col, *keep, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
                .select(id_col, *keep, F.col("s.n").alias("n"), F.explode("s.g").alias("ngram"))
+
+
+def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
+    """(id, n, ngram, frequency) for every n in ``grams``."""
+    long = ngram_rows(df, id_col, text, grams, delimiter, to_lower, keep)
     return long.groupBy(id_col, *keep, "n", "ngram").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def ngram_stats(grams: DataFrame) -> DataFrame:
-    """Per size: distinct n-grams and occurrences."""
-    g = grams.groupBy("n", "ngram").agg(F.sum("frequency").alias("f"))
+    """Per size: distinct n-grams and occurrences, of ``ngrams`` or, without
+    counting per document first, of ``ngram_rows``."""
+    g = grams.groupBy("n", "ngram").agg((F.sum("frequency") if "frequency" in grams.columns else F.count(F.lit(1))).alias("f"))
     return g.groupBy("n").agg(F.count(F.lit(1)).alias("unique_ngrams"), F.sum("f").alias("total_occurrences"))
 
 
@@ -62,7 +68,7 @@ def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> D
     w = tokens(F.lower(text))
     if stop_words:
         w = F.filter(w, lambda x: ~x.isin(*stop_words))
-    rows = spread(df.select(id_col, text)).select(id_col, w.alias("__w"))
+    rows = df.select(id_col, text).select(id_col, w.alias("__w"))
     return rows.select(id_col, F.size("__w").alias("length"), F.explode("__w").alias("term")) \
                .groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,7 +76,8 @@ def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> D
 def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0, top=None, stop_words=()) -> DataFrame:
     """(term, doc_freq, idf_weight) with idf = ln(N / doc_freq); ``max_df`` is
     a share of the documents, ``top`` keeps the most frequent terms."""
-    c = term_counts(df, id_col, text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
+    # reads n, so that the counts are the same exchange as those of a transform beside it
+    c = term_counts(df, id_col, text, stop_words).groupBy("term").agg(F.sum((F.col("n") > 0).cast("long")).alias("doc_freq"))
     n = df.agg(F.count(F.lit(1)).alias("__n"))
     m = c.crossJoin(F.broadcast(n)).filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= max_df * F.col("__n")))
     m = m.select("term", "doc_freq", F.ln(F.col("__n") / F.col("doc_freq")).alias("idf_weight"))
@@ -79,16 +86,15 @@ def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0,
 
 def tfidf_transform(df: DataFrame, model: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
     """(id, term, tf, tfidf_value); tf = count / document length. Terms that
-    fill many documents are joined by broadcast, the rest by shuffle."""
-    # no term can fill more rows than there are documents
-    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term", "doc_freq", most=df.count())
+    fill many documents are salted."""
+    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term")
     tf = F.col("n") / F.col("length")
     return rows.select(id_col, "term", tf.alias("tf"), (tf * F.col("idf_weight")).alias("tfidf_value"))
 
 
 def out_of_vocabulary(df: DataFrame, model: DataFrame, id_col="doc_id", text="text") -> DataFrame:
     """Documents none of whose terms are in the model."""
-    known = split_join(term_counts(df, id_col, text), model, "term", "doc_freq", most=df.count()).select(id_col).distinct()
+    known = split_join(term_counts(df, id_col, text), model, "term").select(id_col).distinct()
     return df.join(known, id_col, "left_anti")
 
 
@@ -106,7 +112,7 @@ def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -
     norm = f.groupBy(id_col).agg(F.sqrt(F.sum(F.pow("tfidf_value", 2))).alias("__n"))
     f = f.join(norm, id_col).select(id_col, "term", (F.col("tfidf_value") / F.col("__n")).alias("w"))
     df_ = f.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = split_join(f, df_, "term", "df")
+    ranked = split_join(f, df_, "term")
     # a document's own terms, rare first: suffix energy decides the prefix
     docs = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
     # k terms form the prefix: the squared norm of the rest is below the threshold's
@@ -205,7 +211,7 @@ def text_quality(df: DataFrame, text="text", short=20) -> DataFrame:
 def ngram_config_compare(df: DataFrame, configs=((1,), (1, 2), (1, 2, 3)), **cols) -> DataFrame:
     """Vocabulary size and occurrences per n-gram setting; the sizes are
     counted once and added up per setting."""
-    s = ngram_stats(ngrams(df, grams=sorted({n for c in configs for n in c}), **cols))
+    s = ngram_stats(ngram_rows(df, grams=sorted({n for c in configs for n in c}), **cols))
     cells = F.array(*[F.struct(F.lit("+".join(map(str, c))).alias("config"), F.array(*[F.lit(n) for n in c]).alias("ns")) for c in configs])
     rows = s.select("n", "unique_ngrams", "total_occurrences", F.explode(cells).alias("c")).filter(F.array_contains("c.ns", F.col("n")))
     return rows.groupBy(F.col("c.config").alias("config")).agg(F.sum("unique_ngrams").alias("vocabulary_size"), F.sum("total_occurrences").alias("total_occurrences"))

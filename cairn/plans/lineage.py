@@ -1,17 +1,31 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and the folder for it."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["cut_lineage"]
+__all__ = ["cut_lineage", "shared_folder"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that the session names in
+    ``spark.checkpoint.dir`` (or that its context has already). A local session
+    without one gets a temporary folder; on a cluster, where executors would not
+    see each other's files, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="cairn-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -4,9 +4,9 @@ A window over ``partitionBy(key)`` puts a whole key into one task, which
 fails when one key holds a large part of the data. The helpers here keep
 every window partition below a row bound (``spark.cairn.taskRows``):
 
-* ``sequence``  numbers the rows of each key. Keys above the bound are cut
-  into slices along the order column, numbered per slice, and shifted by
-  the row counts of the earlier slices.
+* ``sequence``  numbers the rows of each key. The order is cut into slices at
+  rows picked by a hash, numbered per slice, and shifted by the row counts of
+  the earlier slices.
 * ``sliding``   evaluates lag/lead/rolling frames. With a dense position the
   rows of a key fall into equal blocks; rows near a block edge are copied
   into the neighbour block, so no block needs another one.
@@ -22,13 +22,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import as_number, col, pct, rnd
+from cairn.functions.expr import col, pct, rnd
 
 __all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_of", "with_stats", "share"]
 
-MAX_SLICES = 4096
-FAN = 64
-
 
 def task_rows(df: DataFrame) -> int:
     """Largest number of rows one window partition may hold."""
@@ -56,67 +53,70 @@ def with_stats(df: DataFrame, aggs, by=()) -> DataFrame:
     return null_safe_join(df, stats, by, "left" if by else "inner")
 
 
-def _slices(df, keys, lead, hot, peak, limit):
-    """Literal table (hot key, split points) and the slice expression.
-
-    The split points are fetched to the driver, at most rows/limit of them,
-    so that every reference to the slice agrees on them."""
-    count = min(MAX_SLICES, max(2, -(-2 * peak // limit)))
-    probs = [i / count for i in range(1, count)]
-    rows = null_safe_join(df.select(*keys, lead.alias("__x")), F.broadcast(hot), keys)
-    step = F.greatest(F.lit(1), F.floor(F.lit(count) * limit / (2 * F.max("__n")))).cast("int")
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("__x", probs, 10000).alias("s"), step.alias("step"))
-    cuts = cuts.select(*keys, F.array_sort(F.array_distinct(
-        F.filter("s", lambda v, i: (i + 1) % F.col("step") == 0))).alias("s"))
-    found = cuts.collect()
-    schema = cuts.select(*keys).schema
-    nested = []
-    for r in found:
-        s = r["s"]
-        fine = [s[i:i + FAN] for i in range(0, len(s), FAN)] or [[]]
-        nested.append(tuple(r[k] for k in keys) + ([f[0] for f in fine[1:]], fine))
-    names = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-                      + ["`__coarse` array<double>", "`__fine` array<array<double>>"])
-    table = df.sparkSession.createDataFrame(nested, names)
-    coarse = F.size(F.filter("__coarse", lambda v: v <= F.col("__x")))
-    fine = F.size(F.filter(F.element_at("__fine", F.col("__c") + 1), lambda v: v <= F.col("__x")))
-    return table, coarse, fine
-
-
-def sequence(df: DataFrame, keys, order, name="seq", lead: Column | None = None) -> DataFrame:
+def _direction(order) -> list[tuple[str, bool]]:
+    """(column, whether it falls) for names and ``(name, "desc")`` pairs."""
+    return [(o, False) if isinstance(o, str) else (o[0], o[1] == "desc") for o in order]
+
+
+def _not_after(a: Column, b: Column, falls: list[bool]) -> Column:
+    """Whether tuple ``a`` stands at or before ``b``; nulls come first in a
+    rising column and last in a falling one, as in ``orderBy``."""
+    if not any(falls):
+        return a <= b
+    out = F.lit(True)
+    for i in reversed(range(len(falls))):
+        x, y = F.struct(a[f"o{i}"]), F.struct(b[f"o{i}"])
+        out = (x > y if falls[i] else x < y) | ((x == y) & out)
+    return out
+
+
+def _splits(df: DataFrame, columns: list[str], falls: list[bool], every: int) -> DataFrame:
+    """One row: split points of the order, about ``every`` rows apart, in
+    chunks of about the square root of their number, and the chunks' heads.
+
+    They are rows picked by a hash of their order tuple, so they fall evenly
+    whatever the values are."""
+    tuple_ = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(columns)])
+    found = df.filter(F.pmod(F.xxhash64(*columns), F.lit(every)) == 0).select(tuple_.alias("s")).distinct().agg(F.collect_list("s").alias("s"))
+    if any(falls):
+        found = found.select(F.array_sort("s", lambda a, b: F.when(_not_after(a, b, falls), F.when(_not_after(b, a, falls), 0).otherwise(-1)).otherwise(1)).alias("s"))
+    else:
+        found = found.select(F.array_sort("s").alias("s"))
+    wide = F.greatest(F.ceil(F.sqrt(F.size("s"))), F.lit(1)).cast("int")
+    chunks = F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / wide).cast("int")), lambda i: F.slice("s", i * wide + 1, wide)))
+    return found.select(F.coalesce(chunks, F.array().cast(f"array<{dict(found.dtypes)['s']}>")).alias("__chunks"), wide.alias("__wide")) \
+                .withColumn("__heads", F.transform("__chunks", lambda c: c[0]))
+
+
+def sequence(df: DataFrame, keys, order, name="seq") -> DataFrame:
     """Dense 1-based position of each row within its key.
 
     ``order`` must be a total order within the key (end it with a unique
-    column). ``lead`` is a numeric column that never falls along ``order``;
-    by default the first order column. One small action measures the largest
-    key; only keys above the bound take the sliced form."""
-    keys, order = list(keys), [col(o) for o in order]
-    if lead is None:
-        first = df.select(order[0]).columns[0]
-        lead = as_number(first, dict(df.dtypes)[first])
-    limit = task_rows(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    peak = sizes.agg(F.max("__n")).first()[0] or 0
-    if peak <= limit:
-        # an empty partition list is safe here: the whole input is below the bound
-        return df.withColumn(name, F.row_number().over(
-            Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    hot = sizes.filter(F.col("__n") > limit)
-    table, coarse, fine = _slices(df, keys, lead, hot, peak, limit)
-    rows = df.withColumn("__x", lead)
-    rows = null_safe_join(rows, F.broadcast(table), keys, "left" if keys else "inner")
-    rows = rows.withColumn("__c", F.when(F.col("__coarse").isNull(), 0).otherwise(coarse)) \
-               .withColumn("__slice", F.when(F.col("__fine").isNull(), 0)
-                           .otherwise(F.col("__c") * FAN + fine)) \
-               .drop("__coarse", "__fine", "__c", "__x")
-    part = Window.partitionBy(*keys, "__slice")
-    rows = rows.withColumn("__rn", F.row_number().over(part.orderBy(*order)))
-    counts = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__k"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__slice", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
-    out = null_safe_join(rows, offsets, keys + ["__slice"])
-    return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off", "__slice")
+    column); it has column names, or ``(name, "desc")`` for a falling one.
+
+    One form for every size, and no job while the plan is made: split points
+    about a sixteenth of the row bound apart cut the whole order (keys first)
+    into slices; rows are numbered within (key, slice) and shifted by the rows
+    of the key's earlier slices. The split points are one row of the plan, one
+    tuple per ``taskRows`` / 16 rows of input."""
+    keys, spec = list(keys), _direction(order)
+    columns = [*keys, *(c for c, _ in spec)]
+    falls = [False] * len(keys) + [f for _, f in spec]
+    heads = _splits(df, columns, falls, max(1, task_rows(df) // 16))
+    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(columns)])
+    rows = df.withColumn("__here", here).crossJoin(F.broadcast(heads))
+    rows = rows.withColumn("__c", F.size(F.filter("__heads", lambda h: _not_after(h, F.col("__here"), falls))))
+    inside = F.size(F.filter(F.element_at("__chunks", F.col("__c")), lambda h: _not_after(h, F.col("__here"), falls)))
+    rows = rows.withColumn("__slice", F.when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * F.col("__wide") + inside))
+    rows = rows.withColumn("__key", F.struct(*keys) if keys else F.lit(0)).drop("__here", "__c", "__chunks", "__wide", "__heads")
+    ways = [F.desc(c) if f else F.asc(c) for c, f in spec]
+    counts = rows.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__k"))
+    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__key", "__slice").orderBy(*ways)))
+    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__key", "__slice", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
+    # plain equality on one struct: the rows stay where the numbering put them
+    out = rows.join(offsets, ["__key", "__slice"])
+    return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off", "__slice", "__key")
 
 
 def block_of(df: DataFrame, seq="seq", size: int | None = None) -> Column:

@@ -32,8 +32,7 @@ def affine_scan(df: DataFrame, keys, A, g, start, before=None, after=None, value
     before = np.ones(m) if before is None else np.asarray(before, float)
     after = before if after is None else np.asarray(after, float)
     keys = list(keys)
-    # numpy runs a whole block in memory: keep blocks below a million rows
-    size = min(task_rows(df), 1_000_000)
+    size = task_rows(df)
     rows = df.withColumn("__block", block_of(df, seq, size)).filter(F.col(value).isNotNull())
     kinds = dict(df.dtypes)
     kdef = ", ".join(f"`{k}` {kinds[k]}" for k in keys)

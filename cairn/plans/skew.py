@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cairn.plans.ordered import task_rows
+__all__ = ["split_join", "block_pairs"]
 
-__all__ = ["split_join", "block_pairs", "spread"]
 
+SALTS = 8
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, weight: str, most: int | None = None) -> DataFrame:
-    """Inner join of many rows with a lookup table of one row per key.
 
-    ``weight`` is the number of rows of each key. Keys above the row bound
-    are few (at most rows / bound), so their part of the table is broadcast
-    and their rows stay where they are; the rest is an ordinary join.
-    ``most`` is a known upper bound of the weight, if there is one."""
-    limit = task_rows(rows)
-    if most is not None and most <= limit:
-        return rows.join(table, key)
-    hot = table.filter(F.col(weight) > limit)
-    if hot.isEmpty():
-        return rows.join(table, key)
-    cold = table.filter(F.col(weight) <= limit)
-    a = rows.join(F.broadcast(hot), key)
-    b = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
-    return a.unionByName(b)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows over all cores if they come from fewer files than there
-    are cores (metadata only); large inputs pass unchanged. For work that is
-    heavy per row, such as tokenising."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores else df
+def split_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with a lookup table of one row per key. The rows
+    of every key are dealt over a fixed number of parts, the table is repeated
+    for each, so a key that most rows have is no task of its own."""
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns]), F.lit(SALTS)).cast("int")
+    wide = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", part).join(wide, [key, "__salt"]).drop("__salt")
 
 
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns, kernel, schema: str,
@@ -58,7 +40,7 @@ def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     else:
         r = r.withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
         pairs = r.join(l, "lb")
-    pairs = pairs.select("l", "r").repartition(max(1, min(nl * nr, 4096)))
+    pairs = pairs.select("l", "r").repartition(nl * nr)
 
     def run(batches):
         for pdf in batches:

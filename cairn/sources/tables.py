@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 __all__ = [
     "Tables", "read_table", "inline_values", "replace_table", "append_table",
     "update_rows", "delete_rows", "archive_table", "export_ordered",
-    "sample_rows", "sample_policy",
+    "sample_rows",
 ]
 
 
@@ -75,12 +75,6 @@ def export_ordered(df: DataFrame, path: str, order, fmt: str = "parquet") -> Non
     df.orderBy(*order).write.mode("overwrite").format(fmt).option("header", True).save(path)
 
 
-def sample_policy(rows: int) -> float:
-    """Fraction to profile: above ten million rows, the smaller of a million
-    rows and a tenth of the table."""
-    return 1.0 if rows <= 10_000_000 else min(1_000_000 / rows, 0.10)
-
-
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Repeatable random sample: the n rows with the smallest keyed hash."""
     digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))

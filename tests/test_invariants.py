@@ -239,12 +239,14 @@ def test_quality_of_null_columns(spark):
     assert profiling.numeric_profile(df, ["a", "b"]).count() == 2
 
 
-def test_onehot_unknown_and_limit(spark):
+def test_onehot_unknown_and_rows(spark):
     df = spark.createDataFrame([("x",), ("y",)], "c string")
     fit = prep.onehot_fit(df.filter("c = 'x'"), ["c"])
     assert [(r["c_x"], r["has_unknown"]) for r in prep.onehot_transform(df, fit, ["c"]).orderBy("c").collect()] == [(1, 0), (0, 1)]
-    with pytest.raises(ValueError):
-        prep.onehot_transform(df, prep.onehot_fit(df, ["c"]), ["c"], max_categories=1)
+    given = prep.onehot_transform(df, fit, ["c"], {"c": ["y", "z"]}).orderBy("c").collect()
+    assert [(r["c_y"], r["c_z"], r["has_unknown"]) for r in given] == [(0, 0, 1), (1, 0, 0)]
+    long = prep.onehot_rows(df, fit, ["c"], ["c"])
+    assert sorted(((r["c"], r["column_name"], r["value"]) for r in long.collect()), key=repr) == [("x", "c", "x"), ("y", "c", None)]
 
 
 def test_tree_nodes_are_consistent(spark):

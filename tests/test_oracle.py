@@ -1,5 +1,6 @@
 """Every registered query against its SQL, on the smallest tables."""
 
+import math
 import os
 
 import duckdb
@@ -23,6 +24,17 @@ def con():
     return c
 
 
+def coarse(row):
+    return repr(tuple(f"{v:.4g}" if isinstance(v, float) else v for v in row))
+
+
+def close(a, b):
+    if isinstance(a, tuple) and isinstance(b, tuple):
+        return len(a) == len(b) and all(close(x, y) for x, y in zip(a, b))
+    number = (int, float)
+    return a == b or isinstance(a, number) and isinstance(b, number) and math.isclose(a, b, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, con, key):
     cols, got = table(QUERIES[key](spark, SF))
@@ -33,4 +45,6 @@ def test_query(spark, con, key):
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
-    assert got == sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+    want = sorted((tuple(norm(r[i]) for i in at) for r in cur.fetchall()), key=repr)
+    if got != want:  # a sum in another order may round the last place the other way
+        assert len(got) == len(want) and all(close(a, b) for a, b in zip(sorted(got, key=coarse), sorted(want, key=coarse)))
