@@ -60,12 +60,14 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def simhash(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
-    """``docs`` with the fingerprint as a signed long; null and empty texts have zero."""
+def simhash(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fp", distinct: bool = False) -> DataFrame:
+    """``docs`` with the fingerprint as a signed long, of all shingles or of the
+    different ones; null and empty texts have zero."""
     made = T.StructType([T.StructField(name, T.LongType())])
 
     def fn(b: pa.RecordBatch) -> list:
-        fps = np.array([fingerprint(shingle_hashes(x, shingle)) for x in b.column(0).cast(pa.binary()).to_pylist()], np.uint64)
+        hashes = (lambda x: list(set(shingle_hashes(x, shingle)))) if distinct else (lambda x: shingle_hashes(x, shingle))
+        fps = np.array([fingerprint(hashes(x)) for x in b.column(0).cast(pa.binary()).to_pylist()], np.uint64)
         return [pa.array(fps.view(np.int64))]
 
     return append_columns(docs, [text], made, fn)
@@ -150,8 +152,10 @@ def linked(fps: DataFrame, bits: int = 2, home_extra: int = 0) -> DataFrame:
     rest = bits - home_extra
     if not (0 <= home_extra <= 2 and 0 <= rest <= 2):
         raise ValueError("bits must be home_extra plus 0, 1 or 2")
-    home = at_anchors(fps, home_extra).withColumnRenamed("fp", "a")
-    visit = at_anchors(fps, rest).withColumnRenamed("fp", "b")
+    home = visit = at_anchors(fps, home_extra)
+    if rest != home_extra:
+        visit = at_anchors(fps, rest)
+    home, visit = home.select("anchor", F.col("fp").alias("a")), visit.select("anchor", F.col("fp").alias("b"))
     near = home.join(visit, "anchor").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
     return near if home_extra == 0 else near.distinct()
 
@@ -182,17 +186,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, home_extra
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each component of fingerprints (three-word
-    shingles, at most ``bits`` differing bits) the document with the smallest id
-    stays, and those go whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``similarity`` or more with it.
-
-    Each member meets only the one that stays, so the work is linear however
+    """``docs`` without near copies: of each component of fingerprints (at most
+    ``bits`` differing bits) the document with the smallest id stays, and those go
+    whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``similarity`` or more with it.
+
+    The fingerprints are those of the different words: an edit changes ``shingle``
+    shingles but one word, so near copies differ in few of their bits, and the
+    shingles decide. Each member meets only the one that stays, so the work is linear however
     large a group is. Two texts without words are alike. Rows that share a
     doc_id are one document; rows without doc_id may go, but make none go.
     """
     fp, comp, kept, same = "_cairn_fp", "_cairn_component", "_cairn_kept", "_cairn_alike"
-    marked = simhash(docs, text, 3, fp)
+    marked = simhash(docs, text, 1, fp, distinct=True)
     rows = cut(marked.select(quoted(doc_id), F.col(fp).alias("fp")))
     groups = simhash_components(rows, bits, bits // 2, doc_id)
     size = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))

@@ -92,7 +92,7 @@ class PieceModel:
         codes[at, np.repeat(np.arange(n), lengths)] = flat
         ring = np.zeros((reach + 1, n, width))
         ring[0] = 1.0
-        scale, out = np.zeros(n), np.zeros((n, width))
+        scale, out = np.zeros((n, width)), np.zeros((n, width))
         for j in range(1, int(lengths[0]) + 1):
             live = int(np.searchsorted(-lengths, -j, "right"))
             a = np.zeros((live, width))
@@ -110,10 +110,10 @@ class PieceModel:
                     a[other] += ring[(j - 1) % (reach + 1), other] * np.array([self.by_bytes(int(c) - 1) for c in codes[j - 1, other]])
             ring[j % (reach + 1), :live] = a
             done = np.flatnonzero(lengths[:live] == j)
-            out[done] = np.log(a[done]) + scale[done, None]
+            out[done] = np.log(a[done]) + scale[done]
             if j % 8 == 0:
-                top = ring[:, :live].max((0, 2))
-                ring[:, :live] /= top[None, :, None]
+                top = ring[:, :live].max(0)
+                ring[:, :live] /= top
                 scale[:live] += np.log(top)
         return out
 
@@ -131,6 +131,8 @@ class PieceModel:
                 self.known.update(zip(part, range(n, n + len(part))))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0) for _ in texts]
         if not self.ready:
             self.prepare()
         out = []
@@ -145,7 +147,7 @@ class PieceModel:
                     missing = words
                 self.learn(missing)
             for w in part:
-                if w is None or not self.langs:
+                if w is None:
                     out.append((UNKNOWN, 0.0))
                     continue
                 s = self.prior + self.logs[np.fromiter(map(self.known.__getitem__, w), np.int64, len(w))].sum(0)

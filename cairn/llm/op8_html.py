@@ -140,17 +140,19 @@ class Token:
     __slots__ = ("parent", "kind", "count", "text", "link")
 
     def __init__(self, e: Element):
-        self.parent, self.kind = e.parent.key, SIDE if e.aside else IN_MAIN if e.main else NO_SIDE
+        self.parent, self.kind = e.parent.key if e.parent else 0, SIDE if e.aside else IN_MAIN if e.main else NO_SIDE
         self.count = self.text = self.link = 0
 
 
 def tokens(page: str) -> dict[int, Token]:
-    """By key, the tokens of a page with their counts and the lengths of their own and their linked text."""
-    out: dict[int, Token] = {}
+    """By key, the tokens of a page with their counts and the lengths of their own
+    and their linked text; key 0 is the page itself."""
+    out: dict[int, Token] = {0: Token(ROOT)}
+    out[0].count = 1
     for e, text, linked in parse(page):
         if text is None:
             out.setdefault(e.key, Token(e)).count += 1
-        elif text and e.key and e.key in out:
+        elif text and e.key in out:
             size = len(text.strip())
             out[e.key].text += size
             out[e.key].link += size * linked
@@ -168,7 +170,7 @@ def deduce(rows: list[tuple], pages: int) -> dict[int, bool]:
     for r in rows:
         if r[4] >= SUPPORT * pages:
             classes[r[3], r[4], r[5]].append(r)
-    once = {r[0] for (_, df, total), c in classes.items() if df == total for r in c}
+    once = {0} | {r[0] for (_, df, total), c in classes.items() if df == total for r in c}
 
     def slot(key: int) -> int:
         while key and key not in once:
@@ -178,13 +180,13 @@ def deduce(rows: list[tuple], pages: int) -> dict[int, bool]:
     for (_, df, total), c in classes.items():  # a class is valid if its outermost tokens stand in one slot
         own = {r[0] for r in c}
         if df == total and len({slot(r[1]) for r in c if r[1] not in own}) > 1 and df < pages:
-            once -= own
+            once -= own - {0}
     text: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for r in rows:
         s = text[slot(r[0])]
         s[0] += r[6]
         s[1] += r[7]
-    kind = {r[0]: r[2] for r in rows}
+    kind = {0: NO_SIDE} | {r[0]: r[2] for r in rows}
     open_ = {k for k in once if kind[k] != SIDE}
     marked = {k for k in open_ if kind[k] == IN_MAIN}
     if any(text[k][0] for k in marked):
@@ -200,7 +202,7 @@ def extract(page: str, slots: dict[int, bool] | None) -> list[str]:
     for known in (slots, None):
         if known is None:
             known = deduce([(k, t.parent, t.kind, t.count, 1, t.count, t.text, t.link) for k, t in tokens(page).items()], 1)
-        memory: dict[int, bool] = {0: False}
+        memory: dict[int, bool] = {}
         blocks: list[str] = []
         part: list[str] = []
         seen = False
@@ -216,7 +218,7 @@ def extract(page: str, slots: dict[int, bool] | None) -> list[str]:
                 f = e
                 while f is not ROOT and f.key not in known:
                     f = f.parent
-                keep = memory[e.key] = not e.aside and f is not ROOT and known[f.key]
+                keep = memory[e.key] = not e.aside and known.get(f.key, False)
             if keep:
                 part.append(text)
                 seen = True
@@ -240,7 +242,6 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
             total: dict[tuple[str, int], list[int]] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 r = xxhash.xxh64_intdigest(page)
-                total.setdefault((host, 0), [0, 0, 0, 0, 0, 0, 0])[3] += 1
                 for k, t in tokens(page).items():
                     x = total.setdefault((host, k), [t.parent, t.kind, 0, 0, 0, 0, 0])
                     x[2] = (x[2] + r * t.count) & (1 << 64) - 1
@@ -256,7 +257,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     sums = cut(at_host(pages, url, html).mapInArrow(run, schema).groupBy("host", "key").agg(
         F.min("parent").alias("parent"), F.min("kind").alias("kind"), F.sum(low).alias("low"), F.sum(high).alias("high"), *[F.sum(c).alias(c) for c in ("pages", "count", "text", "link")]))
     size = sums.filter("key = 0").select("host", F.col("pages").alias("all"))
-    used = sums.filter("key <> 0").join(size, "host").filter(F.col("pages") >= SUPPORT * F.col("all"))
+    used = sums.join(size, "host").filter(F.col("pages") >= SUPPORT * F.col("all"))
     vector = F.concat_ws(" ", (F.col("high") + F.shiftright("low", 32)).bitwiseAND(0xFFFFFFFF), F.col("low").bitwiseAND(0xFFFFFFFF))
     row = F.struct("key", "parent", "kind", vector.alias("vector"), "pages", "count", "text", "link")
     lists = used.groupBy("host").agg(F.first("all").alias("all"), F.collect_list(row).alias("rows"))
