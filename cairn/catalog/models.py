@@ -29,9 +29,12 @@ def _(t):
     return r(ml.linear_regression(t.lineitem, "l_extendedprice", ["l_quantity"])[1], 4, "coefficient")
 
 
-@query("ml01_linear_regression_multi")
+@query("ml01_linear_regression_multi", """WITH li AS (SELECT l_orderkey, count(*)::DOUBLE AS items, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1), o AS (SELECT items, quantity, price FROM orders JOIN li ON l_orderkey=o_orderkey),
+ s AS (SELECT avg(items) AS ma, avg(quantity) AS mb, avg(price) AS my, covar_pop(items,items) AS aa, covar_pop(quantity,quantity) AS bb, covar_pop(items,quantity) AS ab, covar_pop(price,items) AS ya, covar_pop(price,quantity) AS yb FROM o),
+ c AS (SELECT *, (ya*bb-yb*ab)/(aa*bb-ab*ab) AS ca, (yb*aa-ya*ab)/(aa*bb-ab*ab) AS cb FROM s)
+ SELECT unnest(['(Intercept)','items','quantity']) AS feature, unnest([round(my-ca*ma-cb*mb,3), round(ca,3), round(cb,3)]) AS coefficient FROM c""")
 def _(t):
-    return ml.linear_regression(orders(t), "price", FEATS)[1]
+    return r(ml.linear_regression(orders(t), "price", ["items", "quantity"])[1], 3, "coefficient")
 
 
 @query("ml02_glm_poisson")
@@ -71,23 +74,23 @@ def _(t):
 
 @query("ml05_random_forest")
 def _(t):
-    o = orders(t)
-    m, labels = ml.random_forest(o, "o_orderstatus", FEATS, trees=10)
-    return ml.predict(o, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
+    train, rest = ml.held_out(orders(t), "o_orderkey")
+    m, labels = ml.random_forest(train, "o_orderstatus", FEATS, trees=10, max_depth=6)
+    return ml.predict(rest, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
 
 
 @query("ml06_decision_forest")
 def _(t):
-    o = orders(t)
-    m, _ = ml.decision_forest(o, "price", ["items", "quantity"], regression=True)
-    return ml.predict(o, m, ["items", "quantity"], ["o_orderkey", "price"])
+    train, rest = ml.held_out(orders(t), "o_orderkey")
+    m, _ = ml.decision_forest(train, "price", ["items", "quantity"], max_depth=6, regression=True)
+    return ml.predict(rest, m, ["items", "quantity"], ["o_orderkey", "price"])
 
 
 @query("ml07_svm")
 def _(t):
-    d = texts(t)
-    m, labels = ml.svm(d, "quality", TEXT)
-    return ml.predict(d, m, TEXT, ["doc_id", "quality"], labels)
+    train, rest = ml.held_out(texts(t), "doc_id")
+    m, labels = ml.svm(train, "quality", TEXT)
+    return ml.predict(rest, m, TEXT, ["doc_id", "quality"], labels)
 
 
 _NB = """WITH li AS (SELECT l_orderkey, count(*) AS items, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderstatus AS k, o_totalprice AS a, items AS b, quantity AS c FROM orders JOIN li ON l_orderkey=o_orderkey),
@@ -107,9 +110,9 @@ def _(t):
 
 @query("ml09_predict_tree")
 def _(t):
-    o = orders(t)
-    m, labels = ml.decision_tree(o, "o_orderstatus", FEATS, max_depth=4)
-    return ml.predict(o, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
+    train, rest = ml.held_out(orders(t), "o_orderkey")
+    m, labels = ml.decision_tree(train, "o_orderstatus", FEATS, max_depth=4)
+    return ml.predict(rest, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
 
 
 @query("ml09_predict_linear", "WITH f AS (SELECT regr_slope(l_extendedprice,l_quantity) AS b, regr_intercept(l_extendedprice,l_quantity) AS a FROM lineitem) SELECT l_linestatus, count(*) AS n, round(avg(a+b*l_quantity),5) AS mean_prediction FROM lineitem, f GROUP BY 1")
@@ -133,12 +136,21 @@ def _(t):
 
 @query("ml15_grid_tune")
 def _(t):
-    return ml.grid_tune(orders(t), "o_orderstatus", FEATS, depths=(3, 5), min_nodes=(5, 20), folds=2)
+    def train(rows, **setting):
+        m, labels = ml.decision_tree(rows, "o_orderstatus", FEATS, min_split=2, **setting)
+        return lambda d: ml.predict(d, m, FEATS, ["o_orderkey", "o_orderstatus"], labels)
+    return ml.grid_tune(orders(t), "o_orderkey", {"max_depth": (3, 5), "min_node": (5, 20)}, train, lambda p: ml.accuracy(p, "o_orderstatus"), folds=2)
+
+
+_ORD = "WITH li AS (SELECT l_orderkey, count(*)::DOUBLE AS items, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, items, quantity, price, row_number() OVER (ORDER BY o_orderkey) % 5 + 1 AS fold FROM orders JOIN li ON l_orderkey=o_orderkey)"
 
 
-@query("ml16_cross_validate")
+@query("ml16_cross_validate", _ORD + """, s AS (SELECT f.i AS fold, count(*) AS n, avg(items) AS ma, avg(quantity) AS mb, avg(price) AS my, covar_pop(items,items) AS aa, covar_pop(quantity,quantity) AS bb, covar_pop(items,quantity) AS ab, covar_pop(price,items) AS ya, covar_pop(price,quantity) AS yb
+ FROM o, range(1,6) f(i) WHERE o.fold<>f.i GROUP BY 1), c AS (SELECT *, (ya*bb-yb*ab)/(aa*bb-ab*ab) AS ca, (yb*aa-ya*ab)/(aa*bb-ab*ab) AS cb FROM s),
+ e AS (SELECT o.fold, price, my+ca*(items-ma)+cb*(quantity-mb)-price AS e FROM o JOIN c ON c.fold=o.fold)
+ SELECT fold::INT AS fold, count(*) AS n, round(sqrt(avg(e*e)),4) AS rmse, round(avg(abs(e)),4) AS mae, round(1-sum(e*e)/(count(*)*var_pop(price)),7) AS r2 FROM e GROUP BY 1""")
 def _(t):
-    return ml.cross_validate(orders(t), "o_orderkey", "price", FEATS)
+    return r(r(ml.cross_validate(orders(t), "o_orderkey", "price", ["items", "quantity"]), 4, "rmse", "mae"), 7, "r2")
 
 
 @query("cl01_kmeans")

@@ -338,7 +338,9 @@ _smooth("ts20_smooth_exponential", "WITH RECURSIVE " + HOURLY + """, e AS (SELEC
  SELECT series_id, seq, round(s,8) AS smoothed FROM e""", "exponential", alpha=0.3)
 _smooth("ts20_smooth_lowess", H + """, n AS (SELECT a.series_id, a.seq, (b.seq-a.seq) AS k, b.value AS v, pow(1-pow(abs(b.seq-a.seq)/4.0,3),3) AS w FROM ser a JOIN ser b ON a.series_id=b.series_id AND b.seq BETWEEN a.seq-3 AND a.seq+3),
  q AS (SELECT series_id, seq, sum(w) AS sw, sum(w*k) AS sx, sum(w*v) AS sy, sum(w*k*k) AS sxx, sum(w*k*v) AS sxy FROM n GROUP BY 1,2) SELECT series_id, seq, round((sxx*sy-sx*sxy)/(sw*sxx-sx*sx),8) AS smoothed FROM q""", "lowess", 7)
-_smooth("ts20_smooth_kalman", None, "kalman")
+_smooth("ts20_smooth_kalman", "WITH RECURSIVE " + HOURLY + """, e AS (SELECT series_id, seq, value AS s, 1.0::DOUBLE AS k FROM ser WHERE seq=1
+ UNION ALL SELECT x.series_id, x.seq, e.s + (e.k+0.1)/(e.k+1.1)*(x.value-e.s), (e.k+0.1)/(e.k+1.1) FROM e JOIN ser x ON x.series_id=e.series_id AND x.seq=e.seq+1)
+ SELECT series_id, seq, round(s,8) AS smoothed FROM e""", "kalman")
 
 
 @query("ts21_smooth_quality", H + f""", s AS (SELECT *, avg(value) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm, avg(value) OVER (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS wide FROM ser),

@@ -5,18 +5,18 @@ reach the driver, whose size does not grow with the rows."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import band, band_ge, band_gt, flag, normal_cdf, pct, rnd, tally
-from cairn.operators.prep import kfold
+from cairn.functions.expr import all_of, band, band_ge, band_gt, flag, normal_cdf, pct, rnd, tally
+from cairn.operators.prep import kfold, train_test_split
+from cairn.plans.linear import dot, ols
 
 
 def assemble(df: DataFrame, features) -> DataFrame:
@@ -77,30 +77,45 @@ def logistic_regression(df: DataFrame, target: str, features, max_iter=100, tol=
     return m, labels, rows(df.sparkSession, out, "class_label string, feature string, coefficient double")
 
 
-def decision_tree(df: DataFrame, target: str, features, max_depth=10, min_split=20, min_node=10, splits=32, measure="gini", seed=42):
-    """Model, labels. A split needs min_node rows on each side; the minimal
-    rows of a node to be split have no own setting, so half of ``min_split``
-    is required on each side if that is more."""
+def decision_tree(df: DataFrame, target: str, features, max_depth=10, min_split=20, min_node=10, splits=10, measure="gini", seed=42):
+    """Model, labels."""
     d, labels = index_target(df, target)
-    m = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=max(min_node, min_split // 2), maxBins=splits, impurity=measure, seed=seed).fit(assemble(d, features))
-    return m, labels
+    return DecisionTreeClassifier(**_tree_settings(max_depth, min_split, min_node, splits, measure, seed)).fit(assemble(d, features)), labels
 
 
-def random_forest(df: DataFrame, target: str, features, trees=20, max_depth=5, seed=42):
+def _tree_settings(max_depth, min_split, min_node, splits, measure, seed) -> dict:
+    """A split needs ``min_node`` rows on each side; the minimal rows of a node
+    to be split have no own setting, so half of ``min_split`` is required on each
+    side if that is more. ``splits`` are the candidate splits of a feature."""
+    return dict(maxDepth=max_depth, minInstancesPerNode=max(min_node, min_split // 2), maxBins=splits + 1, impurity=measure, seed=seed)
+
+
+def random_forest(df: DataFrame, target: str, features, trees=20, max_depth=10, min_split=20, min_node=10, splits=10, measure="gini", share=1.0, seed=42):
+    """Model, labels; each tree sees ``share`` of the rows, each split the square
+    root of the number of features."""
     d, labels = index_target(df, target)
-    return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed).fit(assemble(d, features)), labels
+    args = _tree_settings(max_depth, min_split, min_node, splits, measure, seed)
+    return RandomForestClassifier(numTrees=trees, subsamplingRate=share, featureSubsetStrategy="sqrt", **args).fit(assemble(d, features)), labels
 
 
-def decision_forest(df: DataFrame, target: str, features, trees=10, max_depth=5, seed=42, regression=False):
-    """Bagged trees that see all features at every split."""
-    args = dict(numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="all", seed=seed)
+def decision_forest(df: DataFrame, target: str, features, trees=10, max_depth=10, min_split=20, min_node=10, splits=10, measure=None, share=1.0, seed=42, regression=False):
+    """Bagged trees that see all features at every split; ``measure`` is gini or
+    entropy for classes, variance for numbers."""
+    args = dict(numTrees=trees, subsamplingRate=share, featureSubsetStrategy="all",
+                **_tree_settings(max_depth, min_split, min_node, splits, measure or ("variance" if regression else "gini"), seed))
     if regression:
         return RandomForestRegressor(labelCol=target, **args).fit(assemble(df, features)), None
     d, labels = index_target(df, target)
     return RandomForestClassifier(**args).fit(assemble(d, features)), labels
 
 
-def svm(df: DataFrame, target: str, features, cost=1.0, max_iter=100, tol=1e-4):
+def held_out(df: DataFrame, id_col: str, train=0.8, seed=42) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``is_train`` 1 and those with 0."""
+    d = train_test_split(df, id_col, train, seed)
+    return d.filter("is_train = 1").drop("is_train"), d.filter("is_train = 0").drop("is_train")
+
+
+def svm(df: DataFrame, target: str, features, cost=1.0, max_iter=1000, tol=1e-4):
     """Linear SVM; one against the rest for more than two classes."""
     d, labels = index_target(df, target)
     d = assemble(d, features)
@@ -204,28 +219,38 @@ def tree_complexity(nodes: DataFrame) -> DataFrame:
                           .otherwise("Very High Complexity - Risk of Overfitting"))
 
 
-def grid_tune(df: DataFrame, target: str, features, depths=(3, 5, 8), min_nodes=(5, 20), folds=3, parallelism=4, seed=42) -> DataFrame:
-    """Cross-validated accuracy of every tree setting, ranked."""
-    d, _ = index_target(df, target)
-    d = assemble(d, features).select("features", "label").persist()
-    est = DecisionTreeClassifier(seed=seed)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, list(depths)).addGrid(est.minInstancesPerNode, list(min_nodes)).build()
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, parallelism=parallelism, seed=seed).fit(d)
+def grid_tune(df: DataFrame, id_col: str, grid: dict, train_fn, metric, folds=3, higher_is_better=True) -> DataFrame:
+    """Cross-validated metric of every setting of any estimator, ranked.
+
+    ``grid`` maps a parameter to its values. ``train_fn(rows, **setting)`` gives a
+    function from rows to predictions, ``metric(predictions)`` a one-row table with
+    the column ``metric``. Folds go by position of the id."""
+    d = kfold(df, id_col, folds).persist()
+    data = []
+    for values in product(*grid.values()):
+        setting = dict(zip(grid, values))
+        found = [metric(train_fn(d.filter(F.col("fold") != i).drop("fold"), **setting)(d.filter(F.col("fold") == i).drop("fold"))) for i in range(1, folds + 1)]
+        got = reduce(DataFrame.unionByName, found).agg(F.avg("metric"), F.stddev("metric")).first()
+        data.append((*values, float(got[0]), None if got[1] is None else float(got[1])))
     d.unpersist()
-    data = [(int(g[est.maxDepth]), int(g[est.minInstancesPerNode]), float(a), float(s)) for g, a, s in zip(grid, cv.avgMetrics, cv.stdMetrics)]
-    out = rows(df.sparkSession, data, "max_depth int, min_node int, accuracy double, accuracy_std double")
-    return out.withColumn("accuracy_rank", F.rank().over(Window.partitionBy().orderBy(F.desc("accuracy"))))  # one row per setting
+    kind = lambda vs: "double" if any(isinstance(v, float) for v in vs) else "int" if all(isinstance(v, int) for v in vs) else "string"
+    out = rows(df.sparkSession, data, ", ".join([f"`{k}` {kind(v)}" for k, v in grid.items()] + ["metric double", "metric_std double"]))
+    order = F.desc("metric") if higher_is_better else F.asc("metric")
+    return out.withColumn("metric_rank", F.rank().over(Window.partitionBy().orderBy(order)))  # one row per setting
+
+
+def accuracy(predictions: DataFrame, target: str) -> DataFrame:
+    return predictions.agg(F.avg(flag(F.col("prediction") == F.col(target).cast("string"))).alias("metric"))
 
 
 def cross_validate(df: DataFrame, id_col: str, target: str, features, k=5) -> DataFrame:
-    """Per-fold RMSE, MAE and R2 of a linear regression; folds by position."""
-    d = assemble(kfold(df, id_col, k), features).select("fold", target, "features").persist()
-    out = None
-    for i in range(1, k + 1):
-        m = LinearRegression(labelCol=target, solver="normal").fit(d.filter(F.col("fold") != i))
-        p = m.transform(d.filter(F.col("fold") == i))
-        e = F.col("prediction") - F.col(target)
-        r = p.agg(F.lit(i).alias("fold"), F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-                  (1 - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop(target))).alias("r2"))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Per-fold RMSE, MAE and R2 of a linear regression; folds by position. Each
+    row stands in the training part of all other folds: one aggregate holds the
+    cross products of every fold, whose fits are joined back, one row per fold."""
+    d = kfold(df, id_col, k).filter(all_of([F.col(c).isNotNull() for c in [*features, target]]))
+    xs = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    others = d.withColumn("__of", F.explode(F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i != F.col("fold"))))
+    fits = ols(others, ["__of"], F.col(target), xs).select(F.col("__of").alias("fold"), "coef")
+    p = d.join(F.broadcast(fits), "fold").withColumn("__e", dot("coef", xs) - F.col(target))  # k rows
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), F.avg(F.abs("__e")).alias("mae"),
+                                 (1 - F.sum(F.col("__e") * F.col("__e")) / (F.count(F.lit(1)) * F.var_pop(target))).alias("r2"))

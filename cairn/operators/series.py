@@ -17,7 +17,7 @@ from cairn.operators.relational import ntile, rolling, rolling_median
 from cairn.plans.lineage import cut_lineage
 from cairn.plans.linear import dot, ols
 from cairn.plans.ordered import attach, null_safe_join, running, sequence, share, sliding, with_stats
-from cairn.plans.recurrence import affine_scan
+from cairn.plans.recurrence import affine_scan, gain_scan
 
 S = ["series_id"]
 Z = {0.90: 1.644853626951473, 0.95: 1.959963984540054, 0.99: 2.575829303548901}
@@ -496,8 +496,9 @@ def weighted_frame(df: DataFrame, weights, name: str, column="value", renormalis
 def smooth(df: DataFrame, method="simple_ma", window=5, bandwidth=1.0, poly_order=2, alpha=0.3, noise_ratio=0.1,
            name="smoothed") -> DataFrame:
     """simple_ma, weighted_ma (triangular), gaussian, savitzky_golay, median,
-    lowess (tricube local line on the window), exponential, kalman (local
-    level with its steady-state gain for the state/observation noise ratio)."""
+    lowess (tricube local line on the window), exponential, kalman (local level
+    model: the gain follows its own recursion from the state/observation noise
+    ratio, starting at the first value)."""
     h = window // 2
     if method in ("simple_ma", "weighted_ma", "gaussian"):
         return weighted_frame(df, kernel(method, window, bandwidth), name)
@@ -518,9 +519,14 @@ def smooth(df: DataFrame, method="simple_ma", window=5, bandwidth=1.0, poly_orde
             return {name: F.when(det == 0, sy / sw).otherwise((sxx * sy - sx * sxy) / F.nullif(det, F.lit(0.0)))}
         return sliding(df, S, build, h, h)
     if method == "kalman":
-        p = (noise_ratio + math.sqrt(noise_ratio ** 2 + 4 * noise_ratio)) / 2
-        alpha = p / (p + 1)
-    elif method != "exponential":
+        gains = [1.0]
+        while len(gains) < 2 or gains[-1] != gains[-2]:  # it settles at its limit
+            p = gains[-1] + noise_ratio
+            gains.append(p / (p + 1.0))
+            if len(gains) > 2 and gains[-1] in gains[-3:-1]:
+                break
+        return gain_scan(df, S, gains, name)
+    if method != "exponential":
         raise ValueError(method)
     out = affine_scan(df, S, [[1 - alpha]], [alpha], [1.0])
     return out.withColumn(name, F.col("__after")).drop("__before", "__after", "__state")
