@@ -24,14 +24,33 @@ __all__ = ["WordEncoder", "first_fit_decreasing", "pack", "tokenize"]
 
 #: Documents of one group, on average.
 GROUP_DOCS = 4000
-#: Words whose ids a Python worker keeps.
+#: Words of one generation of those whose ids a Python worker keeps; it keeps two.
 CACHE_WORDS = 300_000
 END_ID = 1
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible characters that a byte-level vocabulary writes for the UTF-8
+    bytes of each character up to U+024F."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    of, n = {b: chr(b) for b in shown}, 0
+    for b in range(256):
+        if b not in of:
+            of[b] = chr(256 + n)
+            n += 1
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(0x250)}
+
+
+LETTERS = byte_letters()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose pre-tokens never hold white space: each
-    word between blanks is encoded once and kept, as little-endian 32-bit ids."""
+    word between blanks is encoded once and kept, as little-endian 32-bit ids.
+
+    A new word of Latin letters, with a stop or comma behind it or not, is its
+    own pre-token; its lower case is written in the vocabulary's byte letters and
+    given to the tokenizer's model. All other words take the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,28 +58,47 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        sample = "AÀz,"  # whether letters are lowered, kept together and parted from a comma, in byte letters
+        pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(sample))]
+        self.plain = pieces == ["aàz".translate(LETTERS), ","]
+
+    def part(self, piece: str) -> bytes:
+        x = self.parts.get(piece)
+        if x is None:
+            x = self.old_parts.get(piece) or np.array([k.id for k in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+            if len(piece) < 64:
+                self.parts[piece] = x
+        return x
 
     def word(self, w: str) -> bytes:
-        t = self.tokenizer
+        t, known = self.tokenizer, self.old_words.get(w)
+        if known is not None:
+            self.words[w] = known
+            return known
+        body = w[:-1] if w[-1] in ",." else w
+        if self.plain and body.isalpha() and max(body) < "\u0250" and "İ" not in body:
+            ids = self.part(body.lower().translate(LETTERS))
+            if len(body) < len(w):
+                ids += self.part(w[-1])
+            if len(w) < 64:
+                self.words[w] = ids
+            return ids
         if "<|" in w:
             ids = np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         else:
-            found = []
-            for part, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(w)):
-                x = self.parts.get(part)
-                if x is None:
-                    x = np.array([k.id for k in t.model.tokenize(part)], "<u4").tobytes()
-                    if len(part) < 64:
-                        self.parts[part] = x
-                found.append(x)
+            found = [self.part(piece) for piece, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(w))]
             ids = b"".join(found)
         if len(w) < 64:
             self.words[w] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        if len(self.words) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.words, self.parts = {"": b""}, {}
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.old_words = {"": b""}, self.words
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, self.old_parts = {}, self.parts
         get, word = self.words.get, self.word
         for c in "\t\n\r\x0b\x0c":
             if c in text:
