@@ -149,9 +149,16 @@ def _(t):
     return r(r(ts.pacf(hours(t), 3), 8, "pacf_value"), 9, "lower_bound", "upper_bound")
 
 
-@query("ts09_pacf_20")
+# Durbin and Levinson's recursion on lists
+_DL = H.replace("WITH ", "WITH RECURSIVE ", 1) + _ACF + """, r AS (SELECT series_id, max(n) AS n, list(r ORDER BY lag) AS r FROM acf GROUP BY 1),
+ d AS (SELECT series_id, n, r, 1 AS k, [r[1]] AS phi FROM r
+ UNION ALL SELECT series_id, n, r, k+1, list_append([phi[j]-p*phi[k+1-j] for j in range(1,k+1)], p) FROM (SELECT *, (r[k+1]-list_sum([phi[j]*r[k+1-j] for j in range(1,k+1)]))/(1-list_sum([phi[j]*r[j] for j in range(1,k+1)])) AS p FROM d WHERE k<20))
+ SELECT series_id, k AS lag, round(phi[k],8) AS pacf_value, round(-1.959963984540054/sqrt(n),9) AS lower_bound, round(1.959963984540054/sqrt(n),9) AS upper_bound FROM d"""
+
+
+@query("ts09_pacf_20", _DL)
 def _(t):
-    return ts.pacf(hours(t), 20)
+    return r(r(ts.pacf(hours(t), 20), 8, "pacf_value"), 9, "lower_bound", "upper_bound")
 
 
 @query("ts10_diff", H + f", d AS (SELECT *, value - 2*lag(value,1) OVER {W} + lag(value,2) OVER {W} AS d2 FROM ser) SELECT series_id, seq, round(d2 - lag(d2,24) OVER {W},8) AS diff_value FROM d")

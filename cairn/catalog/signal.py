@@ -48,9 +48,10 @@ def _(t):
     return r(sg.fft_format(sg.fft(months(t), pad=False), "MAGNITUDE_PHASE", True), 7, "magnitude").drop("phase_degrees")
 
 
-@query("sp02_fft_hourly")
+@query("sp02_fft_hourly", H + """, z AS (SELECT series_id, pow(2,ceil(log2(max(seq))))::BIGINT AS n FROM ser GROUP BY 1), b AS (SELECT series_id, n, unnest(range(n)) AS bin FROM z)
+ SELECT b.series_id, bin, n, round(sum(value*cos(2*pi()*((bin*(seq-1))%n)/n)),4) AS real, round(-sum(value*sin(2*pi()*((bin*(seq-1))%n)/n)),4) AS imag FROM b JOIN ser USING (series_id) GROUP BY 1,2,3""")
 def _(t):
-    return sg.fft(hours(t))
+    return r(sg.fft(hours(t)), 4, "real", "imag")
 
 
 @query("sp03_dfft", FT + " SELECT series_id, bin, n, round(re,5) AS real, round(im,5) AS imag FROM sp")
@@ -238,8 +239,22 @@ def _conv(taps):
     return "+".join(parts)
 
 
+def _fir(kind, cutoff):
+    """A moving sum with taps by the formula of a windowed sinc of order 20."""
+    sinc = lambda fc: f"(CASE WHEN i=10 THEN 2*{fc} ELSE sin(2*pi()*{fc}*(i-10))/(pi()*(i-10)) END)*(0.54+0.46*cos(2*pi()*(i-10)/20.0))"
+    low = lambda name, fc: f"{name} AS (SELECT i, h/sum(h) OVER () AS h FROM (SELECT i, {sinc(fc)} AS h FROM range(21) t(i)))"
+    delta = "(CASE WHEN x.i=10 THEN 1 ELSE 0 END)"
+    if kind in ("lowpass", "highpass"):
+        parts, tap = low("x", cutoff), "x.h" if kind == "lowpass" else f"{delta}-x.h"
+        taps = f"SELECT x.i, {tap} AS h FROM x"
+    else:
+        parts, tap = low("x", cutoff[0]) + ", " + low("y", cutoff[1]), "y.h-x.h" if kind == "bandpass" else f"{delta}-(y.h-x.h)"
+        taps = f"SELECT x.i, {tap} AS h FROM x JOIN y USING (i)"
+    return H + f", {parts}, tp AS ({taps}) SELECT a.series_id, a.seq, round(sum(tp.h*b.value),7) AS filtered FROM ser a JOIN ser b ON a.series_id=b.series_id AND b.seq BETWEEN a.seq-10 AND a.seq+10 JOIN tp ON tp.i=a.seq-b.seq+10 GROUP BY 1,2"
+
+
 for _k, _c in {"lowpass": 0.1, "highpass": 0.1, "bandpass": (0.05, 0.2), "bandstop": (0.05, 0.2)}.items():
-    @query(f"sp19_filter_{_k}", H + f" SELECT series_id, seq, round({_conv(sg.fir_taps(_k, _c))},7) AS filtered FROM ser WINDOW w AS {W}")
+    @query(f"sp19_filter_{_k}", _fir(_k, _c))
     def _(t, k=_k, c=_c):
         return r(sg.fir_filter(hours(t), k, c), 7, "filtered").drop("ts", "value")
 
@@ -324,9 +339,13 @@ def _(t):
     return r(sg.detrend(hours(t), breakpoints=(300,)), 7, "detrended").select("series_id", "seq", "detrended")
 
 
-@query("sp23_detrend_polynomial")
+# in centred time the even and the odd powers part, two equations each
+@query("sp23_detrend_polynomial", H + """, m AS (SELECT series_id, (min(seq)+max(seq))/2.0 AS c, (max(seq)-min(seq))/2.0 AS h FROM ser GROUP BY 1), u AS (SELECT series_id, seq, value, (seq-c)/h AS u FROM ser JOIN m USING (series_id)),
+ s AS (SELECT series_id, count(*) AS n, sum(u*u) AS s2, sum(pow(u,4)) AS s4, sum(pow(u,6)) AS s6, sum(value) AS y0, sum(value*u) AS y1, sum(value*u*u) AS y2, sum(value*pow(u,3)) AS y3 FROM u GROUP BY 1),
+ f AS (SELECT series_id, (y0*s4-y2*s2)/(n*s4-s2*s2) AS b0, (n*y2-s2*y0)/(n*s4-s2*s2) AS b2, (y1*s6-y3*s4)/(s2*s6-s4*s4) AS b1, (s2*y3-s4*y1)/(s2*s6-s4*s4) AS b3 FROM s)
+ SELECT series_id, seq, round(b0+b1*u+b2*u*u+b3*pow(u,3),6) AS trend, round(value-(b0+b1*u+b2*u*u+b3*pow(u,3)),6) AS detrended FROM u JOIN f USING (series_id)""")
 def _(t):
-    return sg.detrend(hours(t), "polynomial", 3).select("series_id", "seq", "trend", "detrended")
+    return r(sg.detrend(hours(t), "polynomial", 3), 6, "trend", "detrended").select("series_id", "seq", "trend", "detrended")
 
 
 @query("sp23_trend_detect", H + " SELECT series_id, round(regr_slope(value,seq),9) AS slope, round(regr_r2(value,seq),9) AS r2, CASE WHEN regr_r2(value,seq)>.7 THEN 'Strong linear trend' WHEN regr_r2(value,seq)>.3 THEN 'Moderate linear trend' ELSE 'Weak or no linear trend' END AS trend_strength FROM ser GROUP BY 1")
@@ -346,9 +365,12 @@ for _k in ("linear", "previous", "nearest"):
         return sg.resample(hours(t), 2700.0, k).select("series_id", "seq", F.unix_micros("ts").alias("us"), rnd("value", 11).alias("value"))
 
 
-@query("sp24_resample_cubic")
+@query("sp24_resample_cubic", H + f""", q AS (SELECT series_id, epoch_us(ts) AS t, value AS v0, lead(value) OVER {W} AS v1, lag(value) OVER {W} AS vm, lead(value,2) OVER {W} AS v2, lead(epoch_us(ts)) OVER {W} AS t1, lag(epoch_us(ts)) OVER {W} AS tm, lead(epoch_us(ts),2) OVER {W} AS t2, min(epoch_us(ts)) OVER (PARTITION BY series_id) AS t0 FROM ser),
+ g AS (SELECT *, unnest(range(ceil((t-t0)/2700000000)::BIGINT, floor((t1-t0-CASE WHEN t2 IS NULL THEN 0 ELSE 1 END)/2700000000)::BIGINT+1)) AS k FROM q WHERE t1 IS NOT NULL),
+ s AS (SELECT *, (t0+k*2700000000-t)/(t1-t) AS s, coalesce((v1-vm)/(t1-tm),(v1-v0)/(t1-t))*(t1-t) AS m0, coalesce((v2-v0)/(t2-t),(v1-v0)/(t1-t))*(t1-t) AS m1 FROM g)
+ SELECT series_id, k+1 AS seq, (t0+k*2700000000)::BIGINT AS us, round((2*s*s*s-3*s*s+1)*v0+(s*s*s-2*s*s+s)*m0+(3*s*s-2*s*s*s)*v1+(s*s*s-s*s)*m1+1e-10,8) AS value FROM s""")
 def _(t):
-    return sg.resample_cubic(hours(t), 2700.0)
+    return sg.resample_cubic(hours(t), 2700.0).select("series_id", "seq", F.unix_micros("ts").alias("us"), rnd(F.col("value") + 1e-10, 8).alias("value"))  # many values end in a tie
 
 
 @query("sp25_fft_recommend", H + f""", d AS (SELECT *, (epoch_us(ts)-epoch_us(lag(ts) OVER {W}))/1e6 AS g FROM ser), a AS (SELECT series_id, count(*) AS n, avg(abs(value)) AS m, max(value)-min(value) AS rg, 1/avg(g) AS fs, pow(2,ceil(log2(count(*))))::BIGINT AS sz FROM d GROUP BY 1)

@@ -8,9 +8,9 @@ from __spark_entry__ import queries
 from tests.compare import table
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["evt01_sessionize", "evt14_npath", "evt16_attribution", "evt11_event_path", "wn01_row_number_global", "wn04_lag_lead", "wn07_running_sum",
-        "ag04_percentiles", "dq18_concentration", "fp09_train_test_split", "ts04_fill_linear", "ts08_acf", "ts14_seasonal_decompose",
-        "ts20_smooth_exponential", "ts24_change_point", "sp21_convolve_same", "tx05_tfidf_transform"]
+KEYS = ["evt01_sessionize", "evt14_npath", "evt16_attribution", "evt11_event_path", "wn01_row_number_global", "wn01_row_number", "wn02_rank", "wn03_ntile", "wn04_lag_lead", "wn07_running_sum",
+        "ag04_percentiles", "dq18_concentration", "dq14_histogram_equal_freq", "ev07_homoscedasticity", "ts29_result_deciles", "fp09_train_test_split", "fp09_split_unstratified", "ts04_fill_linear", "ts08_acf", "ts14_seasonal_decompose",
+        "ts20_smooth_exponential", "ts20_smooth_kalman", "ts24_change_point", "sp21_convolve_same", "tx05_tfidf_transform"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
