@@ -34,6 +34,7 @@ BLOCKS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 SEED = 42
+MASK = (1 << 64) - 1
 
 
 def shingle_hashes(text: bytes | None, k: int) -> list[int]:
@@ -160,13 +161,63 @@ def linked(fps: DataFrame, bits: int = 2, home_extra: int = 0) -> DataFrame:
     return near if home_extra == 0 else near.distinct()
 
 
-def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id") -> DataFrame:
+def star_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
+    """(s, t) links that join close fingerprints without listing their pairs, one
+    at most for each; ``fps`` has (fp, node).
+
+    At each anchor the fingerprints come by rising node. One that is within
+    ``bits`` of an earlier one that stands for itself meets it, else it stands for
+    itself. Of all those it meets, each is linked to the one with the smallest
+    node. So a group of any size has fewer links than members, and a task holds
+    only those that stand for themselves."""
+    at = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "fp", "node")])
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("s", "t")])
+
+    def visit(batches):
+        for b in batches:
+            x, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if len(x):
+                rows, found = anchors(x, extra)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(x[rows]), pa.array(node[rows])], names=at.names)
+
+    def link(batches):
+        held = [np.zeros(0, np.int64)] * 3  # of the last anchor so far, those that stand for themselves
+        for b in batches:
+            anchor, fp, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
+            if not len(anchor):
+                continue
+            edges = np.flatnonzero(np.diff(anchor)) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(anchor)]])
+            found, alone = [], [len(anchor) - 1]
+            for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                own: list[int] = []
+                ids, values = node[a:e].tolist(), fp[a:e].tolist()
+                for i, v in enumerate(values):
+                    near = [j for j in own if ((v ^ values[j]) & MASK).bit_count() <= bits]
+                    found += [(ids[i], ids[j]) for j in near]
+                    if not near:
+                        own.append(i)
+                if e == len(anchor):
+                    alone = [a + i for i in own]
+            held = [c[alone] for c in (anchor, fp, node)]
+            pairs = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=out.names)
+
+    met = fps.select("fp", "node").mapInArrow(visit, at).repartition("anchor").sortWithinPartitions("anchor", "node")
+    return met.mapInArrow(link, out).filter("t < s").groupBy("s").agg(F.min("t").alias("t"))
+
+
+def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id", stars: bool = False) -> DataFrame:
     """(fp, component_id) for each fingerprint of ``rows`` (``doc_id``, fp), a
-    table read more than once."""
+    table read more than once; over all links, or over ``star_links``."""
     fps = cut(rows.groupBy("fp").agg(F.min(quoted(doc_id)).cast("long").alias("node")))
-    near = cut(linked(fps.filter("node IS NOT NULL").select("fp"), bits, home_extra))
-    edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
-             .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")), "b").select("s", "t"))
+    known = fps.filter("node IS NOT NULL")
+    if stars:
+        edges = cut(star_links(known, bits, bits // 2))
+    else:
+        near = cut(linked(known.select("fp"), bits, home_extra))
+        edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
+                 .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")), "b").select("s", "t"))
     groups = components(edges)
     return fps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
 
@@ -186,8 +237,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, home_extra
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each component of fingerprints (at most
-    ``bits`` differing bits) the document with the smallest id stays, and those go
+    """``docs`` without near copies: of each component of fingerprints (linked at
+    their anchors by at most ``bits`` differing bits) the document with the smallest id stays, and those go
     whose sets of ``shingle``-word shingles have a Jaccard similarity of
     ``similarity`` or more with it.
 
@@ -200,10 +251,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     fp, comp, kept, same = "_cairn_fp", "_cairn_component", "_cairn_kept", "_cairn_alike"
     marked = simhash(docs, text, 1, fp, distinct=True)
     rows = cut(marked.select(quoted(doc_id), F.col(fp).alias("fp")))
-    groups = simhash_components(rows, bits, bits // 2, doc_id)
+    groups = cut(simhash_components(rows, bits, doc_id=doc_id, stars=True))
     size = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     wide = groups.join(size, "fp").groupBy("component_id").agg(F.sum("n").alias("n")).filter("n > 1 AND component_id IS NOT NULL").select("component_id")
-    groups = cut(groups.join(wide, "component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(comp)))
+    groups = cut(groups.join(cut(wide), "component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(comp)))
     full = cut(marked.join(groups, fp, "left").drop(fp))
     own = F.col(comp).isNull() | quoted(doc_id).eqNullSafe(F.col(comp))
     stay = full.filter(own)
