@@ -200,11 +200,15 @@ class RunIndex:
 
 def repeated_windows(rows: list[tuple[bytes, bool]], length: int) -> list[list[tuple[int, int]]]:
     """For each (text, whether it occurs more than once), the runs of windows of
-    ``length`` bytes that occur more than once in all, as (first, end)."""
-    index = RunIndex([t for t, _ in rows] + [t for t, more in rows if more])
+    ``length`` bytes that occur more than once in all, as (first, end). A text
+    that occurs more than once is indexed once: it matches its copies in full."""
+    index = RunIndex([t for t, _ in rows])
     long = index.matching_statistics() >= length
     out = []
-    for (t, _), a in zip(rows, index.starts):
+    for (t, more), a in zip(rows, index.starts):
+        if more:
+            out.append([(0, len(t) - length + 1)])
+            continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], long[a:a + len(t)].astype(np.int8), [0]])))
         out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist())))
     return out
@@ -286,7 +290,7 @@ def match_marks(texts: DataFrame, length: int, shard_bytes: int, wide_bytes: int
                 before = key
                 if (key, digest) not in rows:
                     rows[key, digest] = x, more
-                    size += len(x) * (1 + more)
+                    size += len(x)
         if rows:
             yield flush()
 
