@@ -207,13 +207,86 @@ def star_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
     return met.mapInArrow(link, out).filter("t < s").groupBy("s").agg(F.min("t").alias("t"))
 
 
-def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id", stars: bool = False) -> DataFrame:
+def local_roots(values: np.ndarray, bits: int) -> list[int]:
+    """For each fingerprint the first place of its component, over all links of
+    ``bits`` or fewer differing bits between them."""
+    if len(values) == 2:
+        return [0, 0 if (int(values[0] ^ values[1]) & MASK).bit_count() <= bits else 1]
+    x, root = values.view(np.uint64), np.arange(len(values))
+    left = np.arange(len(x))  # not reached so far
+    while len(left):
+        first, todo, left = left[0], [left[0]], left[1:]
+        while todo and len(left):
+            near = np.bitwise_count(x[left] ^ x[todo.pop()]) <= bits
+            if near.any():
+                root[left[near]] = first
+                todo += left[near].tolist()
+                left = left[~near]
+    return root.tolist()
+
+
+def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
+    """Distinct (s, t), t < s, with the components of all links of at most ``bits``
+    bits, which are not listed; ``fps`` has (fp, node).
+
+    At each anchor the components are found among all fingerprints there, and each
+    member is joined to the smallest node of its own. Any two close fingerprints
+    meet at some anchor, so no link is lost; each has one pair at most for each of
+    its anchors. Of those of one ``s`` the smallest ``t`` stays, and the other ones
+    are joined to that instead, which many members have in common. A task holds
+    the fingerprints of one anchor."""
+    at = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "fp", "node")])
+    out = T.StructType([T.StructField("s", T.LongType()), T.StructField("t", T.LongType())])
+
+    def visit(batches):
+        for b in batches:
+            x, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if len(x):
+                rows, found = anchors(x, extra)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(x[rows]), pa.array(node[rows])], names=at.names)
+
+    def link(batches):
+        def pairs(anchor, fp, node):
+            edges = np.flatnonzero(np.diff(anchor)) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(anchor)]])
+            found = set()
+            for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+                ids = node[a:e].tolist()
+                found.update((ids[i], ids[r]) for i, r in enumerate(local_roots(fp[a:e], bits)) if r < i)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=out.names)
+
+        held: list[list[np.ndarray]] = []  # batches of the last anchor so far
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns]
+            if not len(now[0]):
+                continue
+            if not held or now[0][-1] == held[0][0][-1]:
+                held.append(now)
+                if len(held) > 1 or now[0][0] == now[0][-1]:
+                    continue
+                held.pop()
+            anchor, fp, node = (np.concatenate(c) for c in zip(*held, now))
+            last = np.searchsorted(anchor, anchor[-1])
+            yield pairs(anchor[:last], fp[:last], node[:last])
+            held = [[c[last:] for c in (anchor, fp, node)]]
+        if held:
+            yield pairs(*(np.concatenate(c) for c in zip(*held)))
+
+    met = fps.select("fp", "node").mapInArrow(visit, at).repartition("anchor").sortWithinPartitions("anchor", "node")
+    found = met.mapInArrow(link, out).groupBy("s").agg(F.collect_set("t").alias("ts"))
+    found = found.select("s", F.array_min("ts").alias("t"), "ts")
+    ways = F.concat(F.array(F.struct("s", "t")), F.transform(F.filter("ts", lambda x: x > F.col("t")), lambda x: F.struct(x.alias("s"), F.col("t").alias("t"))))
+    return found.select(F.explode(ways).alias("e")).select("e.s", "e.t").distinct()
+
+
+def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id", grouped: bool = False) -> DataFrame:
     """(fp, component_id) for each fingerprint of ``rows`` (``doc_id``, fp), a
-    table read more than once; over all links, or over ``star_links``."""
+    table read more than once; from the list of all links, or from ``group_links``,
+    with the same components."""
     fps = cut(rows.groupBy("fp").agg(F.min(quoted(doc_id)).cast("long").alias("node")))
     known = fps.filter("node IS NOT NULL")
-    if stars:
-        edges = cut(star_links(known, bits, bits // 2))
+    if grouped:
+        edges = cut(group_links(known, bits, bits // 2))
     else:
         near = cut(linked(known.select("fp"), bits, home_extra))
         edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
@@ -251,7 +324,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     fp, comp, kept, same = "_cairn_fp", "_cairn_component", "_cairn_kept", "_cairn_alike"
     marked = simhash(docs, text, 1, fp, distinct=True)
     rows = cut(marked.select(quoted(doc_id), F.col(fp).alias("fp")))
-    groups = cut(simhash_components(rows, bits, doc_id=doc_id, stars=True))
+    groups = cut(simhash_components(rows, bits, doc_id=doc_id, grouped=True))
     size = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     wide = groups.join(size, "fp").groupBy("component_id").agg(F.sum("n").alias("n")).filter("n > 1 AND component_id IS NOT NULL").select("component_id")
     groups = cut(groups.join(cut(wide), "component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(comp)))

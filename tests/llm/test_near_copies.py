@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from cairn.llm.graph import components
-from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, linked, near_duplicates, shingle_hashes, star_links
+from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, star_links
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -77,6 +77,23 @@ def test_star_links(spark):
     assert len(got) == len({s for s, _ in got}) < len(fps)
 
 
+def test_group_links_lose_no_link(spark):
+    rng = random.Random(11)
+    fps = set()
+    for _ in range(25):  # chains, of which only neighbours are close
+        f = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 30)):
+            fps.add(f)
+            f ^= sum(1 << i for i in rng.sample(range(64), rng.randint(1, 5)))
+    fps = sorted(fps)
+    rng.shuffle(fps)  # nodes in random order
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = [tuple(r) for r in group_links(spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, node long"), 4, 2).collect()]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert brute_components(range(len(fps)), got) == brute_components(range(len(fps)), links)
+    assert len(got) == len(set(got)) and all(t < s for s, t in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 9), (9, 5), (7, 7), (3, None)] + [(200, 200 + i) for i in range(1, 60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
