@@ -11,18 +11,18 @@ blocks (at most ``t`` over the radii in all): the other's home is among them.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import append_columns, cut, quoted, read
-from cairn.llm.graph import components
+from cairn.llm.graph import SALTS, components
 from cairn.llm.registry import query
 
 __all__ = ["anchors", "drop_near_copies", "fingerprint", "linked", "shingle_hashes", "simhash"]
@@ -34,6 +34,8 @@ BLOCKS = (22, 21, 21)
 #: Generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 SEED = 42
+#: Documents of a component that are compared with each other in one task, by round.
+BLOCK_DOCS = 64
 MASK = (1 << 64) - 1
 
 
@@ -309,19 +311,67 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, home_extra
     return rows.join(cut(simhash_components(rows, bits, home_extra, doc_id)), "fp").select(quoted(doc_id), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each component of fingerprints (linked at
-    their anchors by at most ``bits`` differing bits) the document with the smallest id stays, and those go
-    whose sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``similarity`` or more with it.
+def greedy(rows: DataFrame, keys: list[str], doc_id: str, text: str, shingle: int, similarity: float, order: str, given: str | None = None) -> DataFrame:
+    """Those ``rows`` that are not alike to an earlier one which stayed, within
+    ``keys`` and by rising ``order``; rows of one ``doc_id`` don't meet.
+
+    With ``given``, rows that have it true are the ones that stay, and the others
+    are compared only with them; the result has only the others."""
+    names = rows.columns
+    at = [names.index(c) for c in (doc_id, text)]
+    where, flag = [names.index(k) for k in keys], names.index(given) if given else None
+
+    def run(batches):
+        group, held = None, []  # (id, sorted hashes) of those that stay
+        for b in batches:
+            ids, texts = b.column(at[0]).to_pylist(), b.column(at[1]).cast(pa.binary()).to_pylist()
+            sent = b.column(flag).to_pylist() if given else None
+            stay = []
+            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in where))):
+                if key != group:
+                    group, held = key, []
+                x = np.array(sorted(set(shingle_hashes(texts[i], shingle))), np.uint64)
+                if given and sent[i]:
+                    held.append((ids[i], x))
+                    continue
+                if any(alike(x, y, similarity) for k, y in held if k != ids[i]):
+                    continue
+                stay.append(i)
+                if not given:
+                    held.append((ids[i], x))
+            yield b.take(pa.array(stay, pa.int64()))
+
+    return rows.repartition(*map(quoted, keys)).sortWithinPartitions(*map(quoted, keys), quoted(order)).mapInArrow(run, rows.schema)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is ``similarity`` or more; of two empty ones it is one."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4, doc_id: str = "doc_id", text: str = "text",
+                     block: int = BLOCK_DOCS) -> DataFrame:
+    """``docs`` without near copies: in each component of fingerprints (linked by
+    at most ``bits`` differing bits), by rising id, those documents go whose sets
+    of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
+    more with one of smaller id that stays. So no two that stay in a component are
+    alike.
 
     The fingerprints are those of the different words: an edit changes ``shingle``
     shingles but one word, so near copies differ in few of their bits, and the
-    shingles decide. Each member meets only the one that stays, so the work is linear however
-    large a group is. Two texts without words are alike. Rows that share a
-    doc_id are one document; rows without doc_id may go, but make none go.
+    shingles decide. Each round takes the ``block`` smallest ids left of each
+    component in one task, keeps those not alike among them, and drops what is
+    alike to these from the rest, which is dealt over ``SALTS`` parts. So copies
+    of one document take one round however many there are; the rounds are the
+    documents of a component that are not alike over ``block``, and their work
+    grows with the square of those. Two texts without words are alike. Rows
+    that share a doc_id are one document; rows without doc_id may go, but make
+    none go.
     """
-    fp, comp, kept, same = "_cairn_fp", "_cairn_component", "_cairn_kept", "_cairn_alike"
+    fp, comp, salt, kept, order = "_cairn_fp", "_cairn_component", "_cairn_salt", "_cairn_kept", "_cairn_order"
     marked = simhash(docs, text, 1, fp, distinct=True)
     rows = cut(marked.select(quoted(doc_id), F.col(fp).alias("fp")))
     groups = cut(simhash_components(rows, bits, doc_id=doc_id, grouped=True))
@@ -329,28 +379,28 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     wide = groups.join(size, "fp").groupBy("component_id").agg(F.sum("n").alias("n")).filter("n > 1 AND component_id IS NOT NULL").select("component_id")
     groups = cut(groups.join(cut(wide), "component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(comp)))
     full = cut(marked.join(groups, fp, "left").drop(fp))
-    own = F.col(comp).isNull() | quoted(doc_id).eqNullSafe(F.col(comp))
-    stay = full.filter(own)
-    sets = T.StructType([T.StructField(kept, T.ArrayType(T.LongType()))])
-
-    def hashes(b: pa.RecordBatch) -> list:
-        return [[np.array(sorted(set(shingle_hashes(x, shingle))), np.uint64).view(np.int64) for x in b.column(0).cast(pa.binary()).to_pylist()]]
-
-    first = (full.filter(quoted(doc_id) == F.col(comp)).select(comp, quoted(text).cast("string").alias("text")).dropDuplicates([comp]))
-    first = cut(append_columns(first, ["text"], sets, hashes).drop("text"))
-    flag = T.StructType([T.StructField(same, T.BooleanType())])
-
-    def alike(b: pa.RecordBatch) -> list:
-        out = []
-        for x, k in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1)):
-            one, other = set(np.array(list(set(shingle_hashes(x, shingle))), np.uint64).view(np.int64).tolist()), set(k.as_py())
-            both = len(one & other)
-            out.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
-        return [out]
-
-    rest = full.filter(~own).join(first, comp)
-    rest = append_columns(rest, [text, kept], flag, alike).filter(~F.col(same))
-    return stay.select(docs.columns).unionByName(rest.select(docs.columns))
+    stay, left = [full.filter(F.col(comp).isNull())], full.filter(F.col(comp).isNotNull())
+    ids = quoted(doc_id)
+    while True:
+        known = left.filter(ids.isNotNull()).select(comp, ids.alias("id"))
+        first = known.withColumn("n", F.row_number().over(Window.partitionBy(comp).orderBy("id"))).filter(F.col("n") <= block)
+        first = cut(first.groupBy(comp).agg(F.max("id").alias(order)))
+        parts = left.join(first, comp, "left")
+        part = F.coalesce(ids <= F.col(order), F.lit(False))
+        own = cut(greedy(parts.filter(part).drop(order), [comp], doc_id, text, shingle, similarity, doc_id))
+        stay.append(own)
+        rest = parts.filter(~part).drop(order)
+        more = cut(rest.select(comp).distinct())
+        if more.isEmpty():
+            break
+        salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+        sent = own.join(more, comp).withColumns({salt: salts, kept: F.lit(True), order: F.lit(0)})
+        rest = rest.withColumns({salt: F.pmod(F.xxhash64(ids, quoted(text)), F.lit(SALTS)).cast("int"), kept: F.lit(False), order: F.lit(1)})
+        left = cut(greedy(sent.unionByName(rest), [comp, salt], doc_id, text, shingle, similarity, order, kept).select(left.columns))
+        if left.filter(ids.isNotNull()).isEmpty():
+            stay.append(left)
+            break
+    return reduce(DataFrame.unionByName, [x.select(docs.columns) for x in stay])
 
 
 @query("op1_simhash_near_duplicates")

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 import xxhash
 
 from cairn.llm.graph import components
-from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, star_links
+from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash, star_links
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -142,3 +143,52 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == ["doc_id", "text", "fp"]
     kept = {r.fp for r in got.collect()}
     assert {"b", "d", "f", "h"} <= kept and not kept & {"a", "e", "g"}
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_no_two_alike_stay_in_a_component(spark, monkeypatch, block):
+    import cairn.llm.op1_simhash as m
+
+    rng = random.Random(6)
+    docs = []
+    for g in range(3):  # variants that all have the same words, in other orders: one fingerprint, little in common
+        words = [f"g{g}x{i}" for i in range(120)]
+        for _ in range(6):
+            rng.shuffle(words)
+            w = list(words)
+            for _ in range(4):
+                docs.append((rng.randrange(10**6), " ".join(w)))
+                w = list(words)
+                w[5], w[6] = w[6], w[5]
+    docs += [(None, docs[3][1]), (None, docs[3][1] + " "), (docs[7][0], docs[7][1])]
+    got = [tuple(r) for r in m.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()]
+    words = {}
+    for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
+        group = words.setdefault(t.split()[0][:2], [])
+        if not any(k != d and jaccard(t, o) >= 0.8 for k, o in group):
+            group.append((d, t))
+    assert sorted(got) == sorted(x for group in words.values() for x in group)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_equal_texts_of_the_tables_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = [(r.doc_id, r.fp & (1 << 64) - 1) for r in simhash(docs, "text", 1, distinct=True).select("doc_id", "fp").collect()]
+    near = brute_components([d for d, _ in fps], [(a, b) for i, (a, x) in enumerate(fps) for b, y in fps[:i] if (x ^ y).bit_count() <= 4])
+    rows = drop_near_copies(docs).collect()
+    texts = [r.text for r in rows]
+    assert len(set(texts)) == len(texts) < docs.count()
+    groups = {}
+    for r in rows:
+        groups.setdefault(near[r.doc_id], []).append(r.text)
+    assert all(jaccard(a, b) < 0.8 for g in groups.values() for i, a in enumerate(g) for b in g[:i])
