@@ -116,3 +116,16 @@ def test_rows_that_share_an_id(spark):
     t = " ".join(f"token{i}" for i in range(200))
     got = remove_repeats(spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text == t) for r in got) == [(1, True), (1, True), (2, False)]
+
+
+def test_repeated_passages_go_whole(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [some(51) for _ in range(60)]
+    docs = [(2 * i + k, f"{some(40)} {k}<{p}>{k} {some(40)}") for i, p in enumerate(passages) for k in (0, 1)]
+    got = {r.doc_id: r.text for r in remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        assert got[2 * i] == docs[2 * i][1]
+        a, b = docs[2 * i + 1][1].split(p)
+        assert got[2 * i + 1] == a[:-1] + b[1:] or got[2 * i + 1] == a + b
