@@ -128,7 +128,8 @@ class Model:
 
     def features(self, text: str | None) -> np.ndarray:
         """Logarithms of one plus the weights of the matched clauses of each kind,
-        that of one plus the number of matches, whether there are several, and a one."""
+        that of one plus the number of insults and threats that are neither denied nor
+        quoted, whether there are several, and a one."""
         total = np.zeros(len(KINDS) + 3)
         total[-1] = 1.0
         words = TOKEN.findall(text.lower()) if text else []
@@ -139,7 +140,7 @@ class Model:
         for w in [*words, "."]:
             s, weight = symbol(w)
             state, out = arcs[state, s]
-            n += s is INSULT or s is THREATENS
+            n += out is INSULT or out is THREATENS
             if s is END:
                 plain, denied, quoted_, threat = open_
                 if plain or denied or quoted_ or threat:

@@ -109,6 +109,12 @@ def test_clauses_are_scored_not_words():
     assert f("I will kill it")[KINDS.index("threat")] > 0 and not f("nothing of it")[:-1].any() and not f(None)[:-1].any()
 
 
+def test_denied_and_quoted_words_do_not_count_as_plain():
+    f = op9_toxicity.Model({"foozle": 4.0}, {}).features
+    assert f("you foozle. you foozle")[-3] > 0 and f("you foozle. you foozle")[-2] == 1
+    assert not f("he is not a foozle. she said foozle. never kill it")[-3:-1].any()
+
+
 @needs_tables
 def test_toxicity_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
