@@ -28,7 +28,7 @@ from cairn.llm.registry import query
 __all__ = ["BallTree", "compress", "digest", "nearest", "owned_sums", "with_label_error"]
 
 #: Vectors of a block, and points that a leaf may hold.
-BLOCK, LEAF = 2048, 48
+BLOCK, LEAF = 4096, 8
 #: Scaled components must be smaller, so that squared distances and sums stay in 64 bits.
 LARGEST = 2 ** 25
 #: Distances are compared with this relative slack, above the rounding of double precision.
@@ -153,12 +153,16 @@ def _settle(tree: BallTree, entries: np.ndarray):
     leaves, as (places, mask of the entries left)."""
     owned, owner, places, masks = [], [], [], []
     front, left = np.zeros(min(1, len(tree.start)), np.int64), np.ones((1, len(entries)), bool)
+    apart = np.sqrt(((entries[:, None] - entries[None]) ** 2).sum(2).astype(np.float64))
+    for e in range(1, len(entries)):
+        left[0, e] = (apart[e, :e] > 0).all()  # of equal entries the lower index wins every tie
+    apart[apart == 0] = np.inf
     while len(front):
-        d = np.sqrt(((tree.centre[front][:, None, :] - entries[None]) ** 2).sum(2))
-        r = tree.radius[front]
-        best = np.where(left, d, np.inf).min(1)
-        # dropped only where another entry is nearer to every point of the ball, so no tie is lost
-        left = left & (d - r[:, None] <= (best + r)[:, None] * (1 + SLACK) + SLACK)
+        d2 = ((tree.centre[front][:, None, :] - entries[None]) ** 2).sum(2)
+        near = np.where(left, d2, np.inf).argmin(1)
+        # an entry is dropped if the whole ball lies on the nearest one's side of the plane between them, so no tie is lost
+        beyond = (d2 - d2[np.arange(len(front)), near][:, None]) / (2 * apart[near])
+        left = left & ~(beyond > tree.radius[front][:, None] * (1 + SLACK) + SLACK * (1 + np.sqrt(d2)))
         sole = left.sum(1) == 1
         owned.append(front[sole])
         owner.append(left[sole].argmax(1))

@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 MODULES = ("op1_simhash", "op2_suffix", "op3_warc", "op4_language", "op5_packing", "op6_topk", "op7_chunks", "op8_html", "op9_toxicity", "op10_benchmark",
-           "op11_codes", "op13_quality")
+           "op11_codes", "op12_negatives", "op13_quality")
 
 
 def query(key: str, sql: str | None = None):
