@@ -121,52 +121,74 @@ def segments(texts: list[bytes], length: int):
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of some texts, each ended by a
     symbol of its own, with the suffix array sampled at both ends of each run.
+    ``weights`` tells how often each text occurs in all; it is held once.
 
     ``symbols`` and ``lengths`` are the runs; ``heads`` and ``tails`` the text
     positions of the suffixes at their ends; ``common`` the length of the common
     prefix of each run's head and the tail before it.
     """
 
-    def __init__(self, texts: list[bytes]):
-        n = len(texts)
+    def __init__(self, texts: list[bytes], weights: list[int] | None = None):
         sizes = np.array([len(t) + 1 for t in texts])
         ends = np.cumsum(sizes) - 1
-        x = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + n
-        x[ends] = np.arange(n)
-        self.size, self.starts = len(x), ends - sizes + 1
-        order, ranks = self._sort(x, n + 256)
-        before = x[order - 1]
+        x = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int16) + 1
+        x[ends] = 0
+        self.size, self.starts, self.ends = len(x), ends - sizes + 1, ends
+        self.weights = np.ones(len(texts), np.int64) if weights is None else np.array(weights)
+        order, ranks = self._sort(x, ends)
+        # a text's own end symbol differs from every other one
+        names = x.astype(np.int64) + len(texts)
+        names[ends] = np.arange(len(texts))
+        before = names[order - 1]
         head = np.ones(len(x), bool)
         head[1:] = before[1:] != before[:-1]
         at = np.flatnonzero(head)
         self.symbols, self.lengths = before[at], np.diff(np.append(at, len(x)))
         self.heads, self.tails = order[at], order[np.append(at[1:], len(x)) - 1]
         self.common = np.zeros(len(at), np.int64)
-        self.common[1:] = self._common(x, ranks, self.heads[1:], self.tails[:-1])
+        self.common[1:] = self._common(names, ranks, self.heads[1:], self.tails[:-1])
 
     @staticmethod
-    def _sort(x: np.ndarray, alphabet: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-        """Suffix array by prefix doubling, and the ranks of prefixes of each length on the way."""
-        bits = int(alphabet).bit_length()
-        h = min(63 // bits, len(x))
-        key = np.zeros(len(x), np.int64)
+    def _sort(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffix array by prefix doubling, and the ranks of prefixes of each length on
+        the way. A key holds the first seven symbols, blank from the end symbol on;
+        suffixes that reach an end so soon differ, and stand in the order of their
+        texts. After that, only suffixes that share their rank are sorted again."""
+        bits, h, n = 9, 7, len(x)
+        near = np.full(n, h, np.int8)  # symbols before the end symbol, if fewer than seven
+        for j in range(h):
+            at = ends[ends >= j] - j
+            near[at] = np.minimum(near[at], j)
+        key = np.zeros(n, np.int64)
         for j in range(h):
             key <<= bits
-            key[:len(x) - j] |= x[j:]
+            key[:n - j] |= np.where(near[:n - j] > j, x[j:], 0)
+        order = np.argsort(key)
+        short = near[order] < h
+        slots = np.flatnonzero(short)
+        late = order[slots]
+        order[slots] = late[np.lexsort((late, key[late]))]
+        s = key[order]
+        new = np.ones(n, bool)
+        new[1:] = (s[1:] != s[:-1]) | short[1:]
+        places = np.arange(n)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, places, 0))
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
         ranks: list[tuple[int, np.ndarray]] = []
-        while True:
-            order = np.argsort(key)
-            s = key[order]
-            new = np.ones(len(x), bool)
-            new[1:] = s[1:] != s[:-1]
-            rank = np.empty(len(x), np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if new.all():
-                return order, ranks
+        while len(tied):
             ranks.append((h, rank.astype(np.int32)))
-            key = rank * len(x)
-            key[:len(x) - h] += rank[h:]
+            at = order[tied]
+            group = rank[at]
+            pair = group * n + rank[at + h]  # a shared rank means h symbols without an end, so at + h is within
+            by = np.argsort(pair)
+            order[tied], pair, group = at[by], pair[by], group[by]
+            fresh = np.ones(len(tied), bool)
+            fresh[1:] = pair[1:] != pair[:-1]
+            rank[order[tied]] = np.maximum.accumulate(np.where(fresh, tied, 0))
+            tied = tied[~(fresh & np.append(fresh[1:], True))]
             h *= 2
+        return order, ranks
 
     @staticmethod
     def _common(x: np.ndarray, ranks, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -195,20 +217,20 @@ class RunIndex:
             gaps = np.diff(np.append(at, self.size))
             here = np.repeat(value + at, gaps)
             out[at[0]:] = np.maximum(out[at[0]:], here - np.arange(at[0], self.size))
+        for t in np.flatnonzero(self.weights > 1):  # each of its suffixes stands that often, up to the end of the text
+            out[self.starts[t]:self.ends[t] + 1] = np.arange(self.ends[t] - self.starts[t], -1, -1)
         return out
 
 
 def repeated_windows(rows: list[tuple[bytes, bool]], length: int) -> list[list[tuple[int, int]]]:
     """For each (text, whether it occurs more than once), the runs of windows of
     ``length`` bytes that occur more than once in all, as (first, end). A text
-    that occurs more than once is indexed once: it matches its copies in full."""
-    index = RunIndex([t for t, _ in rows])
+    that occurs more than once is indexed once, with that weight: its suffixes match
+    those of its copies to the end."""
+    index = RunIndex([t for t, _ in rows], [1 + more for _, more in rows])
     long = index.matching_statistics() >= length
     out = []
-    for (t, more), a in zip(rows, index.starts):
-        if more:
-            out.append([(0, len(t) - length + 1)])
-            continue
+    for (t, _), a in zip(rows, index.starts):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], long[a:a + len(t)].astype(np.int8), [0]])))
         out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist())))
     return out
