@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.llm.common import append_columns, cut, quoted, read
+from cairn.llm.common import append_columns, cut, free_name, quoted, read
 from cairn.llm.registry import query
 
 __all__ = ["Tables", "decontaminate", "words"]
@@ -123,20 +123,21 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10, text: str
                          T.StructField("items", T.ArrayType(T.StringType()))])
     grams = cut(windows_of(bench, window, item_id, item_text))
     passes = max(1, -(-grams.count() // pass_windows))
-    out = docs
+    out, before = docs, (free_name(docs, "_hits"), free_name(docs, "_items"))
     for k in range(passes):
         part = grams if passes == 1 else grams.filter(F.pmod(F.xxhash64("w"), F.lit(passes)) == k)
         tables = spark.sparkContext.broadcast(Tables({tuple(bytes(x) for x in r.w): list(r["items"]) for r in part.toLocalIterator()}))
-        out = one_pass(out, tables, text, made, k > 0)
+        out = one_pass(out, tables, text, made, before if k else None)
         if passes > 1:
             out = cut(out)
     return out
 
 
-def one_pass(docs: DataFrame, tables, text: str, made: T.StructType, again: bool) -> DataFrame:
+def one_pass(docs: DataFrame, tables, text: str, made: T.StructType, again: tuple[str, str] | None) -> DataFrame:
+    """One pass; ``again`` names the columns that hold the hits and items of those before it."""
     if again:
-        docs = docs.withColumnsRenamed({"hits": "_hits", "items": "_items"})
-    needs = [text, "_hits", "_items"] if again else [text]
+        docs = docs.withColumnsRenamed(dict(zip(("hits", "items"), again)))
+    needs = [text, *(again or ())]
 
     def fn(b: pa.RecordBatch) -> list:
         t = tables.value
@@ -150,7 +151,7 @@ def one_pass(docs: DataFrame, tables, text: str, made: T.StructType, again: bool
             items.append(sorted({i for _, _, ids in found for i in ids} | set(it or [])))
         return [ns, hits, items]
 
-    return append_columns(docs, needs, made, fn).drop("_hits", "_items")
+    return append_columns(docs, needs, made, fn).drop(*(again or ()))
 
 
 SQL = """

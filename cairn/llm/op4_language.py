@@ -27,6 +27,8 @@ PRIOR_PIECES = 2000.0
 #: Words whose probabilities a Python worker keeps, and the length from which words are done one by one.
 CACHE_WORDS, LONG = 200_000, 48
 MARK = "▁"
+#: Where rescaling puts the newest partial sum, and the largest one kept before it.
+NEWEST, LARGEST = 1e-150, 1e300
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
 FILTER_BITS = 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -96,7 +98,7 @@ class PieceModel:
         for j in range(1, int(lengths[0]) + 1):
             live = int(np.searchsorted(-lengths, -j, "right"))
             a = np.zeros((live, width))
-            h = np.zeros(live, np.uint64)
+            h, other = np.zeros(live, np.uint64), np.zeros(0, np.int64)
             for d in range(1, min(reach, j) + 1):
                 h = h + codes[j - d, :live] * self.power[d - 1]
                 hit = np.flatnonzero(self.filter[self.slot(h)])
@@ -107,14 +109,19 @@ class PieceModel:
                 a[rows] += ring[(j - d) % (reach + 1), rows] * self.p[ids]
                 if d == 1 and len(rows) < live:
                     other = np.setdiff1d(np.arange(live), rows, assume_unique=True)
-                    a[other] += ring[(j - 1) % (reach + 1), other] * np.array([self.by_bytes(int(c) - 1) for c in codes[j - 1, other]])
+            if len(other):
+                # no piece spans a character outside the vocabulary, so what comes before it is settled
+                settled = ring[(j - 1) % (reach + 1), other] * np.array([self.by_bytes(int(c) - 1) for c in codes[j - 1, other]])
+                scale[other] += np.log(settled)
+                ring[:, other], a[other] = 0.0, 1.0
             ring[j % (reach + 1), :live] = a
             done = np.flatnonzero(lengths[:live] == j)
             out[done] = np.log(a[done]) + scale[done]
-            if j % 8 == 0:
-                top = ring[:, :live].max(0)
-                ring[:, :live] /= top
-                scale[:live] += np.log(top)
+            if j % 4 == 0:
+                # the newest is far below one, so that those a few dozen rare pieces before it are in range, too
+                with np.errstate(over="ignore"):
+                    ring[:, :live] = np.minimum(ring[:, :live] / (a / NEWEST), LARGEST)
+                scale[:live] += np.log(a) - np.log(NEWEST)
         return out
 
     def learn(self, words: set[str]) -> None:

@@ -56,6 +56,46 @@ def test_words_of_any_length():
     assert all(0 <= s <= 1 for _, s in m.predict(["abc", long, "日本"]))
 
 
+def rare(most=1e-14):
+    """A model in which most pieces are very rare, as those are that no training text holds."""
+    rng = np.random.default_rng(2)
+    p = np.where(rng.random((32000, 2)) < 0.02, rng.random((32000, 2)), most * (1 + rng.random((32000, 2))))
+    return PieceModel(["aa", "bb"], np.array([0.5, 0.5]), p / p.sum(0), VOCABULARY)
+
+
+@pytest.mark.parametrize("char", ["\U00010330", "\u1200", "\u05d0", "\u65e5", "\ud55c", "x", "\u00e9"])
+def test_rare_scripts_of_any_length(char):
+    m = rare()
+    m.prepare()
+    words = [char * n for n in range(64, 0, -1)] + ["the" * 5 + char * 9 + "the"]
+    with np.errstate(all="raise", under="ignore"):
+        assert all(0 < s <= 1 for _, s in m.predict(words))
+    short = [char * n for n in (4, 3, 2, 1)]  # the plain sum over all cuts does not underflow there
+    for w, got in zip(short, m.forward(short)):
+        assert np.allclose(got, all_cuts(m, w)), w
+    for n in (20, 40, 64):  # a word of characters outside the vocabulary is a product
+        if all(char not in s for s in pieces()):
+            one, two = m.forward([char * 2, char])[1], m.forward([char * 2, char])[0]
+            assert np.allclose(m.forward([char * n])[0], one + (n - 1) * (two - one))
+
+
+def pieces():
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=VOCABULARY)
+    return [sp.id_to_piece(i) for i in range(32000) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+
+
+def test_query_against_all_segmentations(spark):
+    m = rare()
+    texts = ["the words of a text", "der die das", "\U00010330\U00010331 der", "a", "日本語 text", "x" * 12 + " le la", "12 34"]
+    got = predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), m).collect()
+    for r in got[:-1]:
+        s = np.log(0.5) + sum(all_cuts(m, w) for w in r.text.split())
+        assert r.lang_pred == ["aa", "bb"][int(s.argmax())] and np.isclose(r.score, 1 / np.exp(s - s.max()).sum())
+    assert (got[-1].lang_pred, got[-1].score) == ("und", 0.0)
+
+
 @needs_tables
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -67,7 +107,7 @@ def test_languages_of_held_out_documents(spark):
 
 def test_language_edges(spark):
     rows = [(None, "the words of a text", "en"), (2, None, "en"), (3, "", None), (4, "der die das und", "de"), (6, "the of and to", "en"), (6, "the of and to", "en"), (7, "le la les et", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("x", "x")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     m = fit(docs, VOCABULARY)
     assert set(m.langs) <= {"de", "en"}
     got = predict(docs.selectExpr("*", "1 AS SCORE"), m).collect()

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import op10_benchmark
 from cairn.llm.op10_benchmark import Tables, decontaminate, words
@@ -90,7 +91,9 @@ def test_decontaminate_against_brute_force(spark, limit):
         docs.append((i, ", ".join(x)))
     docs += [(90, None), (91, ""), (1, docs[1][1]), (None, docs[3][1]), (92, "other " * 100_000)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, items string")
+    df = df.withColumn("_hits", F.lit("mine")).withColumn("_items", F.lit(7))
     got = decontaminate(df, spark.createDataFrame([(*b, 0) for b in items], "item_id long, text string, n int"), pass_windows=limit).collect()
+    assert all(r["_hits"] == "mine" and r["_items"] == 7 for r in got)
     mine = sorted(((r.doc_id, r.n_words, sum(b - a for a, b in r.hits), len(r["items"])) for r in got), key=repr)
     assert mine == sorted((r[:4] for r in op10_benchmark.brute(docs, items)), key=repr)
     none = decontaminate(df, spark.createDataFrame([], "item_id long, text string"))
