@@ -160,7 +160,7 @@ class RunIndex:
             at = ends[ends >= j] - j
             near[at] = np.minimum(near[at], j)
         key = np.zeros(n, np.int64)
-        for j in range(h):
+        for j in range(min(h, n)):
             key <<= bits
             key[:n - j] |= np.where(near[:n - j] > j, x[j:], 0)
         order = np.argsort(key)
