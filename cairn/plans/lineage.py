@@ -1,18 +1,18 @@
-"""Cutting the lineage of iterative jobs, and the folder for it."""
+"""Cutting the lineage of iterative jobs and of rows that are used more than once, and the folder for it."""
 
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["cut_lineage", "shared_folder"]
+__all__ = ["cut_lineage", "shared_folder", "written"]
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one that the session names in
     ``spark.checkpoint.dir`` (or that its context has already). A local session
     without one gets a temporary folder; on a cluster, where executors would not
-    see each other's files, that is an error."""
+    see each other's files, that is an error. The folder goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
@@ -20,7 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    at = f"{base.rstrip('/')}/cairn-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return at
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -29,3 +34,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, however often
+    they are read, in columns, and kept when an executor is lost."""
+    at = shared_folder(df.sparkSession)
+    df.write.mode("append").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

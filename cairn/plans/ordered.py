@@ -4,9 +4,8 @@ A window over ``partitionBy(key)`` puts a whole key into one task, which
 fails when one key holds a large part of the data. The helpers here keep
 every window partition below a row bound (``spark.cairn.taskRows``):
 
-* ``sequence``  numbers the rows of each key. The order is cut into slices at
-  rows picked by a hash, numbered per slice, and shifted by the row counts of
-  the earlier slices.
+* ``sequence``  numbers the rows of each key: one range exchange by key and
+  order, places within the parts, and offsets by (part, key).
 * ``sliding``   evaluates lag/lead/rolling frames. With a dense position the
   rows of a key fall into equal blocks; rows near a block edge are copied
   into the neighbour block, so no block needs another one.
@@ -23,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.expr import col, pct, rnd
+from cairn.plans.lineage import written
 
 __all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_of", "with_stats", "share"]
 
@@ -58,65 +58,30 @@ def _direction(order) -> list[tuple[str, bool]]:
     return [(o, False) if isinstance(o, str) else (o[0], o[1] == "desc") for o in order]
 
 
-def _not_after(a: Column, b: Column, falls: list[bool]) -> Column:
-    """Whether tuple ``a`` stands at or before ``b``; nulls come first in a
-    rising column and last in a falling one, as in ``orderBy``."""
-    if not any(falls):
-        return a <= b
-    out = F.lit(True)
-    for i in reversed(range(len(falls))):
-        x, y = F.struct(a[f"o{i}"]), F.struct(b[f"o{i}"])
-        out = (x > y if falls[i] else x < y) | ((x == y) & out)
-    return out
-
-
-def _splits(df: DataFrame, columns: list[str], falls: list[bool], every: int) -> DataFrame:
-    """One row: split points of the order, about ``every`` rows apart, in
-    chunks of about the square root of their number, and the chunks' heads.
-
-    They are rows picked by a hash of their order tuple, so they fall evenly
-    whatever the values are."""
-    tuple_ = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(columns)])
-    found = df.filter(F.pmod(F.xxhash64(*columns), F.lit(every)) == 0).select(tuple_.alias("s")).distinct().agg(F.collect_list("s").alias("s"))
-    if any(falls):
-        found = found.select(F.array_sort("s", lambda a, b: F.when(_not_after(a, b, falls), F.when(_not_after(b, a, falls), 0).otherwise(-1)).otherwise(1)).alias("s"))
-    else:
-        found = found.select(F.array_sort("s").alias("s"))
-    wide = F.greatest(F.ceil(F.sqrt(F.size("s"))), F.lit(1)).cast("int")
-    chunks = F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / wide).cast("int")), lambda i: F.slice("s", i * wide + 1, wide)))
-    return found.select(F.coalesce(chunks, F.array().cast(f"array<{dict(found.dtypes)['s']}>")).alias("__chunks"), wide.alias("__wide")) \
-                .withColumn("__heads", F.transform("__chunks", lambda c: c[0]))
-
-
 def sequence(df: DataFrame, keys, order, name="seq") -> DataFrame:
     """Dense 1-based position of each row within its key.
 
     ``order`` must be a total order within the key (end it with a unique
     column); it has column names, or ``(name, "desc")`` for a falling one.
 
-    One form for every size, and no job while the plan is made: split points
-    about a sixteenth of the row bound apart cut the whole order (keys first)
-    into slices; rows are numbered within (key, slice) and shifted by the rows
-    of the key's earlier slices. The split points are one row of the plan, one
-    tuple per ``taskRows`` / 16 rows of input."""
+    One form for every size. The rows are dealt by range of (keys, order), so a
+    hot key fills as many tasks as it needs, sorted, and written once with their
+    place in their part. A key's rows are neighbours: in each part it holds the
+    places from its first one on, and rows of the parts before. Those two numbers
+    come from a count by (part, key) of the written rows, whose window holds one
+    row for each part of a key. What is read twice is the written table, not
+    ``df``; writing it is a job of its own."""
     keys, spec = list(keys), _direction(order)
-    columns = [*keys, *(c for c, _ in spec)]
-    falls = [False] * len(keys) + [f for _, f in spec]
-    heads = _splits(df, columns, falls, max(1, task_rows(df) // 16))
-    here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(columns)])
-    rows = df.withColumn("__here", here).crossJoin(F.broadcast(heads))
-    rows = rows.withColumn("__c", F.size(F.filter("__heads", lambda h: _not_after(h, F.col("__here"), falls))))
-    inside = F.size(F.filter(F.element_at("__chunks", F.col("__c")), lambda h: _not_after(h, F.col("__here"), falls)))
-    rows = rows.withColumn("__slice", F.when(F.col("__c") == 0, 0).otherwise((F.col("__c") - 1) * F.col("__wide") + inside))
-    rows = rows.withColumn("__key", F.struct(*keys) if keys else F.lit(0)).drop("__here", "__c", "__chunks", "__wide", "__heads")
-    ways = [F.desc(c) if f else F.asc(c) for c, f in spec]
-    counts = rows.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__k"))
-    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__key", "__slice").orderBy(*ways)))
-    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__key", "__slice", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__off"))
-    # plain equality on one struct: the rows stay where the numbering put them
-    out = rows.join(offsets, ["__key", "__slice"])
-    return out.withColumn(name, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off", "__slice", "__key")
+    ways = [F.asc(k) for k in keys] + [F.desc(c) if f else F.asc(c) for c, f in spec]
+    ranged = df.repartitionByRange(*ways).sortWithinPartitions(*ways).withColumn("__at", F.monotonically_increasing_id())
+    rows = written(ranged).withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)),
+                                        "__key": F.struct(*keys) if keys else F.lit(0)})
+    held = rows.groupBy("__part", "__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("__part", "__key", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__off"))
+    # plain equality on one struct, which holds for nulls as well
+    out = rows.join(offsets, ["__part", "__key"])
+    return out.withColumn(name, (F.col("__at") + F.col("__off")).cast("bigint")).select(*[c for c in df.columns if c != name], name)
 
 
 def block_of(df: DataFrame, seq="seq", size: int | None = None) -> Column:
@@ -149,8 +114,8 @@ def running(df: DataFrame, keys, sums=None, lasts=None, seq="seq", inclusive=Tru
     far (``lasts``) along the position. ``inclusive=False`` leaves the current
     row out."""
     keys, sums, lasts = list(keys), dict(sums or {}), dict(lasts or {})
-    rows = df.withColumn("__block", block_of(df, seq)) \
-             .withColumns({f"__v_{n}": col(e) for n, e in {**sums, **lasts}.items()})
+    rows = written(df.withColumn("__block", block_of(df, seq))
+                   .withColumns({f"__v_{n}": col(e) for n, e in {**sums, **lasts}.items()}))
     upto = Window.partitionBy(*keys, "__block").orderBy(seq) \
                  .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     part = rows.withColumns({

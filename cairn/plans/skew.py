@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-__all__ = ["split_join", "block_pairs"]
+__all__ = ["split_join", "block_pairs", "spread"]
 
 
 SALTS = 8
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input of fewer files than there are cores, dealt over all cores:
+    for work that makes many rows of each. A scan of more files is spread already."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def split_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows with a lookup table of one row per key. The rows
     of every key are dealt over a fixed number of parts, the table is repeated
