@@ -37,6 +37,10 @@ SEED = 42
 #: Documents of a component that are compared with each other in one task, by round.
 BLOCK_DOCS = 64
 MASK = (1 << 64) - 1
+#: Fingerprints of a text that propose near copies.
+SEEDS = 3
+#: Step between the mixtures, and the shifts and factors of each (those of the SplitMix64 generator).
+STEP, MIX = 0x9E3779B97F4A7C15, ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
 
 
 def shingle_hashes(text: bytes | None, k: int) -> list[int]:
@@ -63,6 +67,19 @@ def fingerprint(hashes: list[int]) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def word_fingerprints(text: bytes | None, n: int) -> list[int]:
+    """``n`` fingerprints of the different words of a text, which come of
+    different hashes: the first of XXH64, the others of mixtures of it."""
+    h = np.array(list(set(shingle_hashes(text, 1))), np.uint64)
+    out = []
+    for k in range(n):
+        x = h + np.uint64(k * STEP & MASK)
+        for shift, odd in (MIX if k else ()):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        out.append(fingerprint(x))
+    return out
+
+
 def simhash(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fp", distinct: bool = False) -> DataFrame:
     """``docs`` with the fingerprint as a signed long, of all shingles or of the
     different ones; null and empty texts have zero."""
@@ -163,52 +180,6 @@ def linked(fps: DataFrame, bits: int = 2, home_extra: int = 0) -> DataFrame:
     return near if home_extra == 0 else near.distinct()
 
 
-def star_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
-    """(s, t) links that join close fingerprints without listing their pairs, one
-    at most for each; ``fps`` has (fp, node).
-
-    At each anchor the fingerprints come by rising node. One that is within
-    ``bits`` of an earlier one that stands for itself meets it, else it stands for
-    itself. Of all those it meets, each is linked to the one with the smallest
-    node. So a group of any size has fewer links than members, and a task holds
-    only those that stand for themselves."""
-    at = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "fp", "node")])
-    out = T.StructType([T.StructField(c, T.LongType()) for c in ("s", "t")])
-
-    def visit(batches):
-        for b in batches:
-            x, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if len(x):
-                rows, found = anchors(x, extra)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(x[rows]), pa.array(node[rows])], names=at.names)
-
-    def link(batches):
-        held = [np.zeros(0, np.int64)] * 3  # of the last anchor so far, those that stand for themselves
-        for b in batches:
-            anchor, fp, node = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns))
-            if not len(anchor):
-                continue
-            edges = np.flatnonzero(np.diff(anchor)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(anchor)]])
-            found, alone = [], [len(anchor) - 1]
-            for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                own: list[int] = []
-                ids, values = node[a:e].tolist(), fp[a:e].tolist()
-                for i, v in enumerate(values):
-                    near = [j for j in own if ((v ^ values[j]) & MASK).bit_count() <= bits]
-                    found += [(ids[i], ids[j]) for j in near]
-                    if not near:
-                        own.append(i)
-                if e == len(anchor):
-                    alone = [a + i for i in own]
-            held = [c[alone] for c in (anchor, fp, node)]
-            pairs = sorted(set(found))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=out.names)
-
-    met = fps.select("fp", "node").mapInArrow(visit, at).repartition("anchor").sortWithinPartitions("anchor", "node")
-    return met.mapInArrow(link, out).filter("t < s").groupBy("s").agg(F.min("t").alias("t"))
-
-
 def local_roots(values: np.ndarray, bits: int) -> list[int]:
     """For each fingerprint the first place of its component, over all links of
     ``bits`` or fewer differing bits between them."""
@@ -232,28 +203,20 @@ def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
     bits, which are not listed; ``fps`` has (fp, node).
 
     At each anchor the components are found among all fingerprints there, and each
-    member is joined to the smallest node of its own. Any two close fingerprints
+    member is joined to the smallest one of its own. Any two close fingerprints
     meet at some anchor, so no link is lost; each has one pair at most for each of
     its anchors. Of those of one ``s`` the smallest ``t`` stays, and the other ones
     are joined to that instead, which many members have in common. A task holds
-    the fingerprints of one anchor."""
-    at = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "fp", "node")])
+    the fingerprints of one anchor. Nodes are looked up at the end."""
     out = T.StructType([T.StructField("s", T.LongType()), T.StructField("t", T.LongType())])
 
-    def visit(batches):
-        for b in batches:
-            x, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if len(x):
-                rows, found = anchors(x, extra)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(x[rows]), pa.array(node[rows])], names=at.names)
-
     def link(batches):
-        def pairs(anchor, fp, node):
+        def pairs(anchor, fp):
             edges = np.flatnonzero(np.diff(anchor)) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(anchor)]])
             found = set()
             for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                ids = node[a:e].tolist()
+                ids = fp[a:e].tolist()
                 found.update((ids[i], ids[r]) for i, r in enumerate(local_roots(fp[a:e], bits)) if r < i)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=out.names)
 
@@ -267,34 +230,46 @@ def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
                 if len(held) > 1 or now[0][0] == now[0][-1]:
                     continue
                 held.pop()
-            anchor, fp, node = (np.concatenate(c) for c in zip(*held, now))
+            anchor, fp = (np.concatenate(c) for c in zip(*held, now))
             last = np.searchsorted(anchor, anchor[-1])
-            yield pairs(anchor[:last], fp[:last], node[:last])
-            held = [[c[last:] for c in (anchor, fp, node)]]
+            yield pairs(anchor[:last], fp[:last])
+            held = [[c[last:] for c in (anchor, fp)]]
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
 
-    met = fps.select("fp", "node").mapInArrow(visit, at).repartition("anchor").sortWithinPartitions("anchor", "node")
+    met = at_anchors(fps.select("fp"), extra).repartition("anchor").sortWithinPartitions("anchor", "fp")
     found = met.mapInArrow(link, out).groupBy("s").agg(F.collect_set("t").alias("ts"))
     found = found.select("s", F.array_min("ts").alias("t"), "ts")
     ways = F.concat(F.array(F.struct("s", "t")), F.transform(F.filter("ts", lambda x: x > F.col("t")), lambda x: F.struct(x.alias("s"), F.col("t").alias("t"))))
-    return found.select(F.explode(ways).alias("e")).select("e.s", "e.t").distinct()
+    pairs = found.select(F.explode(ways).alias("e")).select("e.s", "e.t").distinct()
+    for end in ("s", "t"):
+        pairs = pairs.join(fps.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+    return pairs.select(F.greatest("s_node", "t_node").alias("s"), F.least("s_node", "t_node").alias("t"))
 
 
-def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id", grouped: bool = False) -> DataFrame:
-    """(fp, component_id) for each fingerprint of ``rows`` (``doc_id``, fp), a
-    table read more than once; from the list of all links, or from ``group_links``,
-    with the same components."""
+def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id") -> DataFrame:
+    """(fp, component_id) for each fingerprint of ``rows`` (``doc_id``, fp), a table read more than once."""
     fps = cut(rows.groupBy("fp").agg(F.min(quoted(doc_id)).cast("long").alias("node")))
-    known = fps.filter("node IS NOT NULL")
-    if grouped:
-        edges = cut(group_links(known, bits, bits // 2))
-    else:
-        near = cut(linked(known.select("fp"), bits, home_extra))
-        edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
-                 .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")), "b").select("s", "t"))
-    groups = components(edges)
-    return fps.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    near = cut(linked(fps.filter("node IS NOT NULL").select("fp"), bits, home_extra))
+    edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
+             .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")), "b").select("s", "t"))
+    return fps.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+
+
+def joint_components(rows: DataFrame, names: list[str], bits: int, doc_id: str) -> DataFrame:
+    """(``names[0]``, component_id): components of rows (``doc_id`` and some fingerprints
+    each) that are joined by a link of at most ``bits`` bits between any fingerprints of
+    one name. A fingerprint's node is the smallest id with it; the nodes of one
+    row are joined, once for each different row of fingerprints."""
+    both, nodes, edges = cut(rows.groupBy(*names).agg(F.min(quoted(doc_id)).cast("long").alias("node"))), [], []
+    for n in names:
+        nodes.append(cut(both.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("node"))))
+        edges.append(group_links(nodes[-1].filter("node IS NOT NULL"), bits, bits // 2))
+    for n, of in zip(names, nodes):
+        edges.append(both.join(of.select(F.col("fp").alias(n), F.col("node").alias("t")), n).select(F.col("node").alias("s"), "t").filter("s <> t"))
+    groups = components(cut(reduce(DataFrame.unionByName, edges).distinct()))
+    first = nodes[0].join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return first.withColumnRenamed("fp", names[0])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, home_extra: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,8 +329,8 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 4, doc_id: str = "doc_id", text: str = "text",
                      block: int = BLOCK_DOCS) -> DataFrame:
-    """``docs`` without near copies: in each component of fingerprints (linked by
-    at most ``bits`` differing bits), by rising id, those documents go whose sets
+    """``docs`` without near copies: in each component of documents (linked by
+    at most ``bits`` differing bits in one of ``SEEDS`` fingerprints), by rising id, those documents go whose sets
     of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
     more with one of smaller id that stays. So no two that stay in a component are
     alike.
@@ -371,14 +346,22 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     that share a doc_id are one document; rows without doc_id may go, but make
     none go.
     """
-    fp, comp, salt, kept, order = "_cairn_fp", "_cairn_component", "_cairn_salt", "_cairn_kept", "_cairn_order"
-    marked = simhash(docs, text, 1, fp, distinct=True)
-    rows = cut(marked.select(quoted(doc_id), F.col(fp).alias("fp")))
-    groups = cut(simhash_components(rows, bits, doc_id=doc_id, grouped=True))
-    size = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    wide = groups.join(size, "fp").groupBy("component_id").agg(F.sum("n").alias("n")).filter("n > 1 AND component_id IS NOT NULL").select("component_id")
-    groups = cut(groups.join(cut(wide), "component_id").select(F.col("fp").alias(fp), F.col("component_id").alias(comp)))
-    full = cut(marked.join(groups, fp, "left").drop(fp))
+    comp, salt, kept, order = "_cairn_component", "_cairn_salt", "_cairn_kept", "_cairn_order"
+    names = [f"_cairn_fp{k}" for k in range(SEEDS)]
+    made = T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+    def prints(b: pa.RecordBatch) -> list:
+        fps = np.array([word_fingerprints(x, SEEDS) for x in b.column(0).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, SEEDS)
+        return [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T]
+
+    fp = names[0]
+    marked = append_columns(docs, [text], made, prints)
+    rows = cut(marked.select(quoted(doc_id), *names))
+    groups = cut(joint_components(rows, names, bits, doc_id))
+    size = rows.groupBy(fp).agg(F.count(F.lit(1)).alias("n"))
+    wide = groups.join(size, fp).groupBy("component_id").agg(F.sum("n").alias("n")).filter("n > 1 AND component_id IS NOT NULL").select("component_id")
+    groups = cut(groups.join(cut(wide), "component_id").select(fp, F.col("component_id").alias(comp)))
+    full = cut(marked.join(groups, fp, "left").drop(*names))
     stay, left = [full.filter(F.col(comp).isNull())], full.filter(F.col(comp).isNotNull())
     ids = quoted(doc_id)
     while True:

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from cairn.llm.graph import components
-from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash, star_links
+from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -64,20 +64,6 @@ def test_links_are_all_found(spark):
         assert set(got) == want and len(got) == len(want)
 
 
-def test_star_links(spark):
-    rng = random.Random(8)
-    base = [rng.getrandbits(64) for _ in range(30)]
-    fps = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(40)}, key=lambda f: (f not in base, f))
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = [tuple(r) for r in star_links(spark.createDataFrame(list(zip(signed, range(len(fps)))), "fp long, node long"), 4, 2).collect()]
-    assert all(t < s and (fps[s] ^ fps[t]).bit_count() <= 4 for s, t in got)
-    root = brute_components(range(len(fps)), got)
-    for i, f in enumerate(fps):
-        k = min(j for j, b in enumerate(fps) if (f ^ b).bit_count() <= 3 and j < 30) if i >= 30 else i
-        assert root[i] == root[k]
-    assert len(got) == len({s for s, _ in got}) < len(fps)
-
-
 def test_group_links_lose_no_link(spark):
     rng = random.Random(11)
     fps = set()
