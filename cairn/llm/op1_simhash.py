@@ -35,7 +35,7 @@ BLOCKS = (22, 21, 21)
 GOLAY = 0b101011100011
 SEED = 42
 #: Documents of a component that are compared with each other in one task, by round.
-BLOCK_DOCS = 64
+BLOCK_DOCS = 512
 MASK = (1 << 64) - 1
 #: Fingerprints of a text that propose near copies.
 SEEDS = 3
