@@ -195,8 +195,8 @@ RESULT = {"path_start": ("first", "ts", "A"), "path_end": ("last", "ts", "C"), "
           "total_value": ("sum", "value", None), "path": ("path", None, None)}
 
 
-def _paths(t, mode="NONOVERLAPPING", pattern="A.B*.C"):
-    return pa.npath(t.events, "user_id", "ts", _symbols(), pattern, mode, RESULT)
+def _paths(t, mode="NONOVERLAPPING", pattern="A.B*.C", results=RESULT):
+    return pa.npath(t.events, "user_id", "ts", _symbols(), pattern, mode, results)
 
 
 # In an A.B*.C match every event but the last is an A followed by Bs, so a match is a C whose preceding unbroken B stretch follows an A.
@@ -223,7 +223,7 @@ SELECT 'NONOVERLAPPING' AS mode, count(*) AS paths_found, round(avg(length(m)),4
 UNION ALL SELECT 'OVERLAPPING', count(*), round(avg(length(m)),4) FROM o WHERE m <> ''""")
 def _(t):
     def one(mode):
-        return _paths(t, mode, "(A|B)+.C").agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("paths_found"),
+        return _paths(t, mode, "(A|B)+.C", {"event_count_in_path": ("count", None, None)}).agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("paths_found"),
                                                F.round(F.avg("event_count_in_path"), 4).alias("avg_events"))
     return one("NONOVERLAPPING").unionByName(one("OVERLAPPING"))
 

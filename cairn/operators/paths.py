@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.expr import band_le, flag, pct, rnd, tally
 from cairn.operators.events import seconds, shares
-from cairn.plans.ordered import null_safe_join, running, sequence, sliding
+from cairn.plans.automaton import end_scan, state_scan
+from cairn.plans.lineage import written
+from cairn.plans.ordered import null_safe_join, running, sequence
 
 MODELS = ("FIRST_TOUCH", "LAST_TOUCH", "LINEAR", "U_SHAPED", "TIME_DECAY")
 
@@ -25,26 +28,42 @@ def pattern_elements(pattern: str):
     return out
 
 
-def neighbours(elements):
-    """Symbol pairs that may stand side by side in a match, and the symbols a
-    match may start and end with."""
-    pairs, starts, ends = set(), set(), set()
-    for i, (syms, q) in enumerate(elements):
-        if q in ("*", "+"):
-            pairs |= {a + b for a in syms for b in syms}
-        for later, r in elements[i + 1:]:
-            pairs |= {a + b for a in syms for b in later}
-            if r not in ("*", "?"):
-                break
-    for syms, q in elements:
-        starts |= set(syms)
-        if q not in ("*", "?"):
+def successors(elements, q: int, symbol: str) -> list[int]:
+    """The elements that may take ``symbol`` after one has been taken by element
+    ``q`` (from 1; 0 before the first), the earliest first."""
+    out = [q] if q and elements[q - 1][1] in ("*", "+") and symbol in elements[q - 1][0] else []
+    for k in range(q, len(elements)):
+        if symbol in elements[k][0]:
+            out.append(k + 1)
+        if elements[k][1] not in ("*", "?"):
             break
-    for syms, q in reversed(elements):
-        ends |= set(syms)
-        if q not in ("*", "?"):
-            break
-    return pairs, starts, ends
+    return out
+
+
+def completions(elements, symbols):
+    """The automaton that reads a sequence from its end: its state is the set of
+    the elements after which the rest of a match can follow from here on, the
+    empty rest included. Returns (sets, table by symbol)."""
+    m = len(elements)
+    done = frozenset(q for q in range(m + 1) if all(r in ("*", "?") for _, r in elements[q:]))
+    sets, table = [done], {s: [] for s in symbols}
+    for have in sets:
+        for s in symbols:
+            got = done | {q for q in range(m + 1) if have & set(successors(elements, q, s))}
+            if got not in sets:
+                sets.append(got)
+            table[s].append(sets.index(got))
+    return sets, np.array([table[s] for s in symbols])
+
+
+def takers(elements, symbols, sets):
+    """For each (symbol, set after it), as one letter, and each element ``q`` the
+    element that takes the symbol, or 0: the earliest from which a match can be
+    completed. That is the choice of a greedy search. It gives the longest match
+    as well: a thread that took by an earlier element can take all that another
+    one can, once both have taken what must be there."""
+    return np.array([[next((k for k in successors(elements, q, s) if k in have), 0) for q in range(len(elements) + 1)]
+                     for s in symbols for have in sets])
 
 
 def npath(df: DataFrame, entity: str, ts: str, symbols, pattern: str, mode="NONOVERLAPPING",
@@ -56,62 +75,100 @@ def npath(df: DataFrame, entity: str, ts: str, symbols, pattern: str, mode="NONO
     ``results`` maps an output name to (kind, column, symbol or None), kind
     one of first, last, count, sum, min, max, path.
 
-    The sequence is cut wherever two neighbours cannot both be part of one
-    match, and trimmed to the stretch between a possible start and a possible
-    end. What is collected per group is thus a candidate match, not an
-    entity, and hot entities spread over many groups."""
+    NONOVERLAPPING takes the first match, the longest from its start, and goes on
+    behind it; OVERLAPPING gives the longest match from each event. A match has at
+    least one event.
+
+    Two automata read the ordered events: one from the end notes after which
+    elements a match can be completed, one from the start then follows the search
+    without ever going back. Both run by block, and blocks are chained by their
+    functions, so neither an entity nor a match of any length is held in a group.
+    Results of non-overlapping matches are plain aggregates of the rows of each.
+    Of overlapping ones, which may share any number of rows, count, sum, first and
+    last come from running sums and the rows at both ends; only min, max and path
+    list the rows of each match. A path is one cell; the others hold none."""
+    if mode not in ("NONOVERLAPPING", "OVERLAPPING"):
+        raise ValueError(mode)
     elements = pattern_elements(pattern)
-    pairs, starts, ends = neighbours(elements)
-    regex = "".join("[" + "".join(s) + "]" + q for s, q in elements)
     results = results or {"path_start": ("first", ts, None), "path_end": ("last", ts, None),
                           "event_count_in_path": ("count", None, None), "path": ("path", None, None)}
-    sym = None
-    for letter, cond in symbols:
-        sym = F.when(cond, letter) if sym is None else sym.when(cond, letter)
-    rows = sequence(df.withColumn("__s", sym.otherwise("-")), [entity], [ts, tiebreak])
-    rows = sliding(rows, [entity], lambda w: {"__pair": F.concat(F.lag("__s").over(w), F.col("__s"))}, before=1)
-    cut = ~F.coalesce(F.col("__pair").isin(*sorted(pairs)), F.lit(False)) if pairs else F.lit(True)
-    rows = running(rows, [entity], lasts={
-        "__run": F.when(cut, F.col("seq")),
-        "__from": F.when(F.col("__s").isin(*sorted(starts)), F.col("seq"))})
-    rows = rows.filter((F.col("__s") != "-") & (F.col("__from") >= F.col("__run")))
-    until = rows.groupBy(entity, "__run").agg(
-        F.max(F.when(F.col("__s").isin(*sorted(ends)), F.col("seq"))).alias("__until"))
-    rows = null_safe_join(rows, until.filter("__until is not null"), [entity, "__run"]) \
-        .filter(F.col("seq") <= F.col("__until"))
+    letters = [s for s, _ in symbols] + ["-"]
+    sym = F.lit(len(symbols))
+    for i, (_, cond) in reversed(list(enumerate(symbols))):
+        sym = F.when(cond, i).otherwise(sym)
     used = sorted({c for _, c, _ in results.values() if c})
-    runs = rows.groupBy(entity, "__run").agg(F.array_sort(F.collect_list(
-        F.struct("seq", F.col("__s").alias("s"), *used))).alias("ev"))
-    runs = runs.withColumn("txt", F.array_join(F.transform("ev", lambda e: e["s"]), ""))
-    if mode == "NONOVERLAPPING":
-        hits = runs.withColumn("m", F.expr(f"""
-            aggregate(filter(regexp_extract_all(txt, '{regex}', 0), x -> x <> ''),
-              named_struct('p', 1, 'o', cast(array() as array<struct<st:int,ln:int>>)),
-              (a, x) -> named_struct(
-                'p', locate(x, txt, a.p) + length(x),
-                'o', concat(a.o, array(named_struct('st', locate(x, txt, a.p), 'ln', length(x))))),
-              a -> a.o)"""))
-    elif mode == "OVERLAPPING":
-        hits = runs.withColumn("m", F.expr(f"""
-            filter(transform(sequence(1, length(txt)), i -> named_struct('st', i,
-              'ln', length(regexp_extract(substr(txt, i), '^({regex})', 1)))), x -> x.ln > 0)"""))
-    else:
-        raise ValueError(mode)
-    hits = hits.select(entity, "ev", F.explode("m").alias("m")) \
-               .select(entity, F.slice("ev", F.col("m.st"), F.col("m.ln")).alias("ev"))
+    rows = sequence(df.select(entity, ts, tiebreak, *[F.col(c).alias(f"__v_{c}") for c in used], sym.alias("__s")), [entity], [ts, tiebreak])
+    rows = rows.select(entity, "seq", "__s", *[f"__v_{c}" for c in used])
+    sets, back = completions(elements, letters)
+    rows = state_scan(rows, [entity], F.col("__s"), back, 0, "__rest", reverse=True, before=True)
+    took, letter = takers(elements, letters, sets), F.col("__s") * len(sets) + F.col("__rest")
+    if mode == "OVERLAPPING":
+        return _overlapping(rows, entity, letters, took, letter, results)
+    # states: 0 in no match, 2q - 1 a match begun at this row by element q, 2q gone on by it
+    m = len(elements)
+    table = np.zeros((len(took), 2 * m + 1), int)
+    for state in range(2 * m + 1):
+        on, begun = took[:, (state + 1) // 2], took[:, 0]
+        table[:, state] = np.where((on > 0) & (state > 0), 2 * on, np.where(begun > 0, 2 * begun - 1, 0))
+    rows = state_scan(rows, [entity], letter, table, 0, "__state").filter("__state > 0")
+    rows = running(rows, [entity], lasts={"__start": F.when(F.col("__state") % 2 == 1, F.col("seq"))})
+    return _gathered(rows, entity, letters, results)
+
+
+def _gathered(rows, entity, letters, results):
+    """Results by (entity, __start) over rows that each belong to one match."""
+    text = F.element_at(F.array(*map(F.lit, letters)), F.col("__s") + 1)
 
     def result(kind, column, symbol):
-        ev = F.col("ev") if symbol is None else F.filter("ev", lambda e: e["s"] == symbol)
-        if kind == "count":
-            return F.size(ev).cast("bigint")
+        here = F.lit(True) if symbol is None else F.coalesce(F.col("__s") == _code(letters, symbol), F.lit(False))
+        v, place = F.col(f"__v_{column}"), F.when(here, F.col("seq"))
         if kind == "path":
-            return F.array_join(F.transform(ev, lambda e: e["s"]), "")
-        vals = F.transform(ev, lambda e: e[column])
-        return {"first": lambda: F.try_element_at(vals, F.lit(1)), "last": lambda: F.try_element_at(vals, F.lit(-1)),
-                "min": lambda: F.array_min(vals), "max": lambda: F.array_max(vals),
-                "sum": lambda: F.aggregate(vals, F.lit(0.0), lambda a, v: a + F.coalesce(v.cast("double"), F.lit(0.0)))}[kind]()
-
-    return hits.select(entity, *[result(*r).alias(n) for n, r in results.items()])
+            listed = F.array_sort(F.collect_list(F.when(here, F.struct("seq", text.alias("s")))))
+            return F.array_join(F.transform(listed, lambda e: e["s"]), "")
+        return {"first": lambda: F.min_by(v, place), "last": lambda: F.max_by(v, place), "min": lambda: F.min(F.when(here, v)),
+                "max": lambda: F.max(F.when(here, v)), "count": lambda: F.count(place),
+                "sum": lambda: F.coalesce(F.sum(F.when(here, v.cast("double"))), F.lit(0.0))}[kind]()
+
+    return rows.groupBy(entity, "__start").agg(*[result(*r).alias(n) for n, r in results.items()]).select(entity, *results)
+
+
+def _overlapping(rows, entity, letters, took, letter, results):
+    rows = end_scan(rows, [entity], letter, np.where(took > 0, took, -1), "__end")
+    if any(kind in ("min", "max", "path") for kind, _, _ in results.values()):
+        spans = rows.filter("__end >= seq").select(entity, F.col("seq").alias("__start"), F.explode(F.sequence("seq", "__end")).alias("seq"))
+        return _gathered(null_safe_join(spans, rows.drop("__end"), [entity, "seq"]), entity, letters, results)
+    here = lambda symbol: F.lit(True) if symbol is None else F.coalesce(F.col("__s") == _code(letters, symbol), F.lit(False))
+    sums, lasts = {}, {}
+    for n, (kind, column, symbol) in results.items():
+        if kind == "sum":
+            sums[f"__upto_{n}"] = F.when(here(symbol), F.coalesce(F.col(f"__v_{column}").cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+        elif kind == "last":
+            lasts[f"__upto_{n}"] = F.when(here(symbol), F.struct("seq", F.col(f"__v_{column}").alias("v")))
+        else:
+            sums[f"__upto_{n}"] = here(symbol).cast("bigint")
+    rows = written(running(rows, [entity], sums, lasts))
+    tail = rows.select(entity, F.col("seq").alias("__end"), *[F.col(f"__upto_{n}").alias(f"__at_{n}") for n in results])
+    found = null_safe_join(rows.filter("__end >= seq"), tail, [entity, "__end"])
+    for n, (kind, column, symbol) in results.items():
+        if kind == "first" and symbol is not None:
+            # the symbol's next event is the one with the next number
+            number = F.col(f"__upto_{n}") + F.when(here(symbol), 0).otherwise(1)
+            nth = rows.filter(here(symbol)).select(entity, F.col(f"__upto_{n}").alias("__nth"), F.struct("seq", F.col(f"__v_{column}").alias("v")).alias(f"__first_{n}"))
+            found = null_safe_join(found.withColumn("__nth", number), nth, [entity, "__nth"], "left").drop("__nth")
+
+    def result(n, kind, column, symbol):
+        v, at, upto = F.col(f"__v_{column}"), F.col(f"__at_{n}"), F.col(f"__upto_{n}")
+        if kind == "first":
+            return v if symbol is None else F.when(F.col(f"__first_{n}.seq") <= F.col("__end"), F.col(f"__first_{n}.v"))
+        if kind == "last":
+            return F.when(at["seq"] >= F.col("seq"), at["v"])
+        return at - upto + (sums[f"__upto_{n}"])
+
+    return found.select(entity, *[result(n, *r).alias(n) for n, r in results.items()])
+
+
+def _code(letters, symbol):
+    return letters.index(symbol) if symbol in letters else -1
 
 
 PATH_BANDS = [(300, "0-5 min"), (1800, "5-30 min"), (3600, "30-60 min")]  # fixed values
