@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalog.registry import query
 from cairn.catalog.relational import HOURLY
-from cairn.catalog.series import hours
+from cairn.catalog.series import D, days, hours
 from cairn.functions.expr import rnd
 from cairn.operators import series as ts, signal as sg
 
@@ -54,6 +54,28 @@ def _(t):
     return r(sg.fft(hours(t)), 4, "real", "imag")
 
 
+def _bins(n, upto):
+    """Magnitudes by definition of the first ``n`` samples of the daily series, by pairs of a bin and a sample."""
+    return D + f""", z AS (SELECT series_id, {n} AS n FROM ser GROUP BY 1), b AS (SELECT series_id, n, unnest(range(n)) AS bin FROM z),
+ sp AS (SELECT b.series_id, bin, n, sum(value*cos(2*pi()*((bin*(seq-1))%n)/n)) AS re, -sum(value*sin(2*pi()*((bin*(seq-1))%n)/n)) AS im FROM b JOIN ser USING (series_id) WHERE {upto} GROUP BY 1,2,3)
+ SELECT series_id, bin, n, round(sqrt(re*re+im*im)/n,3) AS magnitude FROM sp"""
+
+
+@query("sp02_fft_any_length", _bins("max(seq)", "true"))
+def _(t):
+    return r(sg.fft_format(sg.fft(days(t), pad=False), "MAGNITUDE", True), 3, "magnitude")
+
+
+@query("sp02_fft_given_size", _bins("1100", "seq <= 1100"))
+def _(t):
+    return r(sg.fft_format(sg.fft(days(t), size=1100), "MAGNITUDE", True), 3, "magnitude")
+
+
+@query("sp04_ifft_any_length", D + " SELECT series_id, seq, round(value,3) AS value FROM ser")
+def _(t):
+    return r(sg.ifft(sg.fft(days(t), pad=False)), 3, "value")
+
+
 @query("sp03_dfft", FT + " SELECT series_id, bin, n, round(re,5) AS real, round(im,5) AS imag FROM sp")
 def _(t):
     return r(sg.dft(months(t)), 5, "real", "imag")

@@ -57,56 +57,101 @@ def dft(df: DataFrame, value="value", bins: int | None = None) -> DataFrame:
     return r.groupBy(*S, "bin").agg(F.sum(F.col("x") * F.cos(a)).alias("real"), F.sum(F.col("x") * F.sin(a)).alias("imag"), F.max("n").alias("n"))
 
 
-def fft(df: DataFrame, value="value", pad=True) -> DataFrame:
-    """Fast transform of every series, zero padded to a power of two.
-
-    A series of N = n1 n2 samples takes the four-step form: n1 transforms over
-    strided samples, a twiddle factor, n2 transforms across them; each piece
-    holds about sqrt(N) samples, so no task sees the whole series. Without
-    padding the length need not factor, and a series is one piece."""
-    size = next_power(F.col("n")) if pad else F.col("n")
-    ln = lengths(df).withColumn("size", size)
-    r = attach(df.select(*S, (F.col("seq")).alias("seq"), F.col(value).cast("double").alias("x")), ln, S, "n")
-    r = r.withColumn("n1", F.pow(F.lit(2.0), F.floor(F.round(F.log2(F.col("size").cast("double")), 9) / 2)).cast("bigint") if pad else F.lit(1).cast("bigint"))
-    t = F.col("seq") - 1
-    r = r.withColumn("j1", t % F.col("n1")).withColumn("j2", F.floor(t / F.col("n1")).cast("bigint"))
-    pieces = r.groupBy(*S, "size", "n1", "j1").agg(F.collect_list(F.struct("j2", "x")).alias("p"))
+PIECE = 1024  # an unpadded series up to this length is one piece
+
+
+def _is_power(n: Column) -> Column:
+    return n.bitwiseAND(n - 1) == 0
+
+
+def _four_step(cells: DataFrame, by, inverse=False) -> DataFrame:
+    """(by, size, bin, re, im): transforms of the complex samples (by, size, j, re, im);
+    missing samples are zero.
+
+    N = n1 n2 samples take n1 transforms over strided samples, a twiddle factor, and n2
+    transforms across them; each piece holds about sqrt(N) samples, so no task sees a
+    whole series. A size that is not a power of two is one piece."""
+    sign, scale = (1.0, F.col("size").cast("double")) if inverse else (-1.0, F.lit(1.0))
+    n1 = F.when(_is_power(F.col("size")), F.pow(F.lit(2.0), F.floor(F.round(F.log2(F.col("size").cast("double")), 9) / 2)).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+    r = cells.withColumn("n1", n1).withColumns({"j1": F.col("j") % F.col("n1"), "j2": F.floor(F.col("j") / F.col("n1")).cast("int")})
     out_type = "struct<re:array<double>,im:array<double>>"
 
-    @F.pandas_udf(out_type)
-    def inner(p: pd.Series, size: pd.Series, n1: pd.Series, j1: pd.Series) -> pd.DataFrame:
-        res = []
-        for rows, s, a, j in zip(p, size, n1, j1):
-            n2 = int(s // a)
-            x = np.zeros(n2)
-            for e in rows:
-                x[e["j2"]] = e["x"]
-            y = np.fft.fft(x) * np.exp(-2j * np.pi * j * np.arange(n2) / s)
-            res.append((y.real.tolist(), y.imag.tolist()))
-        return pd.DataFrame(res, columns=["re", "im"])
+    def piece(at, re, im, n):
+        real = not im.any()  # real samples take the real transform, at half the work
+        x = np.zeros(n, float if real else complex)
+        x[at] = re if real else re + 1j * im
+        return np.fft.ifft(x) * n if inverse else np.fft.fft(x)
 
-    first = pieces.select(*S, "size", "n1", "j1", inner("p", "size", "n1", "j1").alias("y"))
-    cells = first.select(*S, "size", "n1", "j1", F.posexplode(F.arrays_zip("y.re", "y.im")).alias("k2", "z"))
-    cells = cells.select(*S, "size", "n1", "j1", F.col("k2").cast("bigint").alias("k2"), F.col("z.re").alias("re"), F.col("z.im").alias("im"))
-    done = cells.filter("n1 = 1").select(*S, F.col("k2").alias("bin"), F.col("re").alias("real"), F.col("im").alias("imag"), F.col("size").alias("n"))
-    across = cells.filter("n1 > 1").groupBy(*S, "size", "n1", "k2").agg(F.collect_list(F.struct("j1", "re", "im")).alias("p"))
+    def frame(done):
+        return pd.DataFrame({"re": [y.real for y in done], "im": [y.imag for y in done]})
 
     @F.pandas_udf(out_type)
-    def outer(p: pd.Series, n1: pd.Series) -> pd.DataFrame:
-        res = []
-        for rows, a in zip(p, n1):
-            x = np.zeros(int(a), complex)
-            for e in rows:
-                x[e["j1"]] = complex(e["re"], e["im"])
-            y = np.fft.fft(x)
-            res.append((y.real.tolist(), y.imag.tolist()))
-        return pd.DataFrame(res, columns=["re", "im"])
+    def inner(at: pd.Series, re: pd.Series, im: pd.Series, size: pd.Series, n1: pd.Series, j1: pd.Series) -> pd.DataFrame:
+        return frame([piece(*p, int(s // a)) * np.exp(sign * 2j * np.pi * j * np.arange(int(s // a)) / s)
+                      for *p, s, a, j in zip(at, re, im, size, n1, j1)])
 
-    long = across.select(*S, "size", "n1", "k2", outer("p", "n1").alias("y")) \
-                 .select(*S, "size", "n1", "k2", F.posexplode(F.arrays_zip("y.re", "y.im")).alias("k1", "z"))
-    far = long.select(*S, (F.col("k1") * F.floor(F.col("size") / F.col("n1")) + F.col("k2")).cast("bigint").alias("bin"),
-                      F.col("z.re").alias("real"), F.col("z.im").alias("imag"), F.col("size").alias("n"))
-    return done.unionByName(far)
+    @F.pandas_udf(out_type)
+    def outer(at: pd.Series, re: pd.Series, im: pd.Series, n1: pd.Series) -> pd.DataFrame:
+        return frame([piece(*p, int(a)) for *p, a in zip(at, re, im, n1)])
+
+    held = lambda place: F.collect_list(F.struct(F.col(place).alias("at"), "re", "im")).alias("p")
+    spread = lambda name: F.posexplode(F.arrays_zip("y.re", "y.im")).alias(name, "z")
+    first = r.groupBy(*by, "size", "n1", "j1").agg(held("j2")).select(*by, "size", "n1", "j1", inner("p.at", "p.re", "p.im", "size", "n1", "j1").alias("y"))
+    mid = first.select(*by, "size", "n1", F.col("j1").cast("int").alias("j1"), spread("k2")).select(*by, "size", "n1", "j1", F.col("k2").cast("bigint").alias("k2"), "z.re", "z.im")
+    last = mid.groupBy(*by, "size", "n1", "k2").agg(held("j1")).select(*by, "size", "n1", "k2", outer("p.at", "p.re", "p.im", "n1").alias("y"))
+    far = last.select(*by, "size", "n1", "k2", spread("k1"))
+    return far.select(*by, "size", (F.col("k1") * F.floor(F.col("size") / F.col("n1")) + F.col("k2")).cast("bigint").alias("bin"),
+                      (F.col("z.re") / scale).alias("re"), (F.col("z.im") / scale).alias("im"))
+
+
+def _times(re, im, angle):
+    """Real and imaginary part of a number turned by ``angle``."""
+    return {"re": re * F.cos(angle) - im * F.sin(angle), "im": re * F.sin(angle) + im * F.cos(angle)}
+
+
+def _chirp_transform(cells: DataFrame, by) -> DataFrame:
+    """``_four_step`` for any size N, by Bluestein: jk = (j^2 + k^2 - (k - j)^2) / 2
+    makes the transform a convolution with a chirp exp(i pi j^2 / N), which is a
+    product of transforms of a power of two from 2N - 1 on. The chirp is laid out and
+    transformed once for each different size, from the block numbers of its samples.
+    The square is reduced modulo 2N in whole numbers, so the angles are exact."""
+    n, j = F.col("n"), F.col("j")
+    angle = lambda k: F.lit(math.pi) * ((k * k) % (2 * n)) / n
+    rows = cells.withColumnRenamed("size", "n").withColumn("size", next_power(2 * n - 1))
+    turned = rows.withColumns(_times(F.col("re"), F.col("im"), -angle(j)))
+    sizes = rows.groupBy("n", "size").agg(F.count(F.lit(1)).alias("__c")).drop("__c")
+    block = sizes.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / PIECE).cast("bigint")))).repartition("n", "b")
+    chirp = block.withColumn("j", F.explode(F.sequence(F.col("b") * PIECE, F.least(F.col("b") * PIECE + (PIECE - 1), n - 1))))
+    chirp = chirp.withColumns({"re": F.cos(angle(j)), "im": F.sin(angle(j))})
+    both = F.when(j > 0, F.array(j, F.col("size") - j)).otherwise(F.array(j))
+    chirp = chirp.withColumn("j", F.explode(both)).select("n", "size", "j", "re", "im")
+    filtered = _four_step(chirp, ["n"]).select("n", "bin", F.col("re").alias("cr"), F.col("im").alias("ci"))
+    product = _four_step(turned, [*by, "n"]).join(filtered, ["n", "bin"])
+    a, b, c, d = (F.col(x) for x in ("re", "im", "cr", "ci"))
+    product = product.select(*by, "n", "size", F.col("bin").alias("j"), (a * c - b * d).alias("re"), (a * d + b * c).alias("im"))
+    out = _four_step(product, [*by, "n"], inverse=True).filter(F.col("bin") < n)
+    return out.withColumns(_times(F.col("re"), F.col("im"), -angle(F.col("bin")))).select(*by, n.alias("size"), "bin", "re", "im")
+
+
+def _transform(cells: DataFrame, by) -> DataFrame:
+    """Transforms of (by, size, j, re, im) for any sizes."""
+    whole = _is_power(F.col("size")) | (F.col("size") <= PIECE)
+    return _four_step(cells.filter(whole), by).unionByName(_chirp_transform(cells.filter(~whole), by))
+
+
+def fft(df: DataFrame, value="value", pad=True, size: int | None = None) -> DataFrame:
+    """Fast transform of every series, zero padded to a power of two, or to ``size``
+    samples (a longer series is cut to them), or unpadded.
+
+    A power of two takes the four-step form, any other length the chirp transform
+    over it, so no task holds more than about sqrt(N) samples (an unpadded series
+    of at most ``PIECE`` samples is one piece)."""
+    n = F.lit(size).cast("bigint") if size else next_power(F.col("n")) if pad else F.col("n")
+    ln = lengths(df).withColumn("size", n)
+    r = attach(df.select(*S, "seq", F.col(value).cast("double").alias("re")), ln, S, "n")
+    r = r.select(*S, "size", (F.col("seq") - 1).alias("j"), F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")).filter("j < size")
+    done = _four_step(r, S) if pad and not size else _transform(r, S)
+    return done.select(*S, "bin", F.col("re").alias("real"), F.col("im").alias("imag"), F.col("size").alias("n"))
 
 
 def fft_format(spec: DataFrame, form="COMPLEX", normalize=False) -> DataFrame:
@@ -126,16 +171,10 @@ def idft(spec: DataFrame) -> DataFrame:
 
 
 def ifft(spec: DataFrame) -> DataFrame:
-    """Fast inverse: the conjugate of the transform of the conjugate. Real
-    and imaginary parts are transformed as two series and recombined."""
-    two = spec.select(F.concat("series_id", F.lit("|r")).alias("series_id"), (F.col("bin") + 1).alias("seq"), F.col("real").alias("value")).unionByName(
-        spec.select(F.concat("series_id", F.lit("|i")).alias("series_id"), (F.col("bin") + 1).alias("seq"), (-F.col("imag")).alias("value")))
-    t = fft(two, pad=False)
-    part = F.right("series_id", F.lit(1))
-    # value = Re(FFT(conj X)) / n with conj X = real - i imag
-    v = F.when(part == "r", F.col("real")).otherwise(-F.col("imag"))
-    return t.groupBy(F.expr("left(series_id, length(series_id) - 2)").alias("series_id"), (F.col("bin") + 1).alias("seq")) \
-            .agg((F.sum(v) / F.max("n")).alias("value"))
+    """Fast inverse, the conjugate of the transform of the conjugate; missing bins
+    count as zero."""
+    r = spec.select(*S, F.col("n").alias("size"), F.col("bin").alias("j"), F.col("real").alias("re"), (-F.col("imag")).alias("im"))
+    return _transform(r, S).select(*S, (F.col("bin") + 1).alias("seq"), (F.col("re") / F.col("size")).alias("value"))
 
 
 # ---- spectrum reports -----------------------------------------------------
