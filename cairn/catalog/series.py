@@ -292,6 +292,29 @@ def _(t):
     return ar.arima_estimate(hours(t), (1, 0, 0), (1, 1, 0, 24))
 
 
+@query("ts17_arima_css_ar1", H + f""", d AS (SELECT series_id, value-avg(value) OVER (PARTITION BY series_id) AS y, lag(value) OVER {W} - avg(value) OVER (PARTITION BY series_id) AS x FROM ser), f AS (SELECT * FROM d WHERE x IS NOT NULL),
+ q AS (SELECT series_id, count(*) AS n, regr_slope(y,x) AS b, regr_intercept(y,x) AS a, (regr_syy(y,x)-regr_slope(y,x)*regr_sxy(y,x))/count(*) AS s2 FROM f GROUP BY 1), m AS (SELECT series_id, avg(value) AS mu FROM ser GROUP BY 1),
+ o AS (SELECT series_id, unnest(['AR(1)','Intercept','Sigma2']) AS name, unnest([b, a+mu*(1-b), s2]) AS v FROM q JOIN m USING (series_id)) SELECT series_id, name, round(v,6) AS value FROM o""")
+def _(t):
+    m = ar.arima_estimate(hours(t), (1, 0, 0), fit_method="CSS")
+    return m.filter("name in ('AR(1)', 'Intercept', 'Sigma2')").select("series_id", "name", rnd("value", 6).alias("value"))
+
+
+@query("ts17_arima_css")
+def _(t):
+    return ar.arima_estimate(hours(t), (1, 0, 1), fit_method="CSS")
+
+
+@query("ts17_arima_css_residuals")
+def _(t):
+    return ar.arima_fitted(hours(t), (0, 1, 1), fit_method="CSS")
+
+
+@query("ts18_arima_forecast_css")
+def _(t):
+    return ar.arima_forecast(hours(t), (1, 0, 1), periods=12, fit_method="CSS")
+
+
 @query("ts18_arima_forecast_ar1", H + f""", d AS (SELECT series_id, seq, value, lag(value) OVER {W} AS x FROM ser), f AS (SELECT * FROM d WHERE x IS NOT NULL),
  q AS (SELECT series_id, regr_slope(value,x) AS b, regr_intercept(value,x) AS a, sqrt((regr_syy(value,x)-regr_slope(value,x)*regr_sxy(value,x))/count(*)) AS s, arg_max(value, seq) AS l FROM f GROUP BY 1), h AS (SELECT unnest(range(1,6)) AS step)
  SELECT series_id, step::INT AS step, round(pow(b,step)*l + a*(1-pow(b,step))/(1-b),6) AS forecast_value, round(pow(b,step)*l + a*(1-pow(b,step))/(1-b) - 1.959963984540054*s*sqrt((1-pow(b,2*step))/(1-b*b)),6) AS lower_bound,

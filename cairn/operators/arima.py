@@ -1,9 +1,11 @@
-"""ARIMA models for many series by the Hannan-Rissanen method.
+"""ARIMA models for many series by the Hannan-Rissanen method, refined by
+conditional sums of squares if ``fit_method`` is CSS.
 
-Estimation is conditional least squares, all from aggregated cross products:
+Estimation HR is conditional least squares, all from aggregated cross products:
 (1) a long autoregression gives residuals, (2) the series is regressed on
 its own lags and the lags of those residuals. For pure AR models step 2 alone
-is exact conditional least squares. AIC = n ln(sigma2) + 2k and BIC are
+is exact conditional least squares. CSS goes on from there by Gauss-Newton steps
+to the least sum of squares of the model's own innovations. AIC = n ln(sigma2) + 2k and BIC are
 conditional likewise. No series is gathered into one task.
 """
 
@@ -17,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.expr import band, band_gt, normal_cdf, pct, rnd, tally
 from cairn.operators import series as ts
+from cairn.plans.innovations import css_fit, css_innovations
 from cairn.plans.linear import cross_products, dot, ols, solve_row, unpack
 from cairn.plans.ordered import attach, null_safe_join, sequence, sliding
-from cairn.plans.lineage import cut_lineage
+from cairn.plans.lineage import cut_lineage, written
 
 S = ["series_id"]
 
@@ -60,16 +63,29 @@ def _regressors(df, p, d, q, seasonal, long_order=None):
     return rows, [n for n, _ in ar + ma]
 
 
-def _estimate(df, order, seasonal):
+def _estimate(df, order, seasonal, fit_method="HR"):
     p, d, q = order
+    if fit_method not in ("HR", "CSS"):
+        raise ValueError(f"fit_method {fit_method!r} is neither HR nor CSS")
     rows, names = _regressors(df, p, d, q, seasonal)
     xs = [F.lit(1.0)] + [F.col(f"`{n}`") for n in names]
-    return rows, names, xs, ols(rows, S, F.col("x"), xs)
+    fit = ols(rows, S, F.col("x"), xs)
+    if fit_method == "CSS":
+        rows = written(rows)
+        ar, ma = _lagged(p, q, seasonal)
+        fit = css_fit(rows, S, ols(rows, S, F.col("x"), xs).select(*S, "coef"), "x", [n for n, _ in ar], [k for _, k in ma])
+    return rows, names, xs, fit
 
 
-def arima_fitted(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0)) -> DataFrame:
+def arima_fitted(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), fit_method="HR") -> DataFrame:
     """(series_id, ts, seq, fitted_value, residual) on the original scale."""
-    rows, names, xs, fit = _estimate(df, order, seasonal)
+    rows, names, xs, fit = _estimate(df, order, seasonal, fit_method)
+    if fit_method == "CSS":
+        ar, ma = _lagged(order[0], order[2], seasonal)
+        e = css_innovations(rows, S, fit, "x", [n for n, _ in ar], [k for _, k in ma], "residual")
+        out = null_safe_join(rows, e, S + ["seq"])
+        reach = order[1] + seasonal[1] * seasonal[3]
+        return out.select(*S, "ts", (F.col("seq") + reach).alias("seq"), F.col("y").alias("value"), (F.col("y") - F.col("residual")).alias("fitted_value"), "residual")
     length = rows.groupBy(*S).agg(F.max("seq").alias("__n"))
     fit = null_safe_join(fit.select(*S, F.col("coef").alias("__c")), length, S)
     out = attach(rows.drop("__n"), fit, S, "__n").withColumn("residual", F.col("x") - dot("__c", xs))
@@ -79,10 +95,10 @@ def arima_fitted(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0)) -> DataF
                       (F.col("y") - F.col("residual")).alias("fitted_value"), "residual")
 
 
-def arima_estimate(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0)) -> DataFrame:
+def arima_estimate(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), fit_method="HR") -> DataFrame:
     """Long rows (series_id, result_type, name, value, std_error): the
     coefficients and the fit statistics of each series."""
-    rows, names, xs, fit = _estimate(df, order, seasonal)
+    rows, names, xs, fit = _estimate(df, order, seasonal, fit_method)
     mu = rows.groupBy(*S).agg(F.first("mu").alias("mu"))
     f = null_safe_join(fit, mu, S)
     ar_at = [i + 2 for i, n in enumerate(names) if "AR(" in n]
@@ -102,12 +118,12 @@ def arima_estimate(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0)) -> Dat
     return f.select(*S, F.explode(F.array(*cells)).alias("c")).select(*S, "c.*")
 
 
-def arima_forecast(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), periods=12, confidence=0.95) -> DataFrame:
+def arima_forecast(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), periods=12, confidence=0.95, fit_method="HR") -> DataFrame:
     """Forecasts with bounds. Only the last few values and residuals of each
     series reach the recursion, which runs on one row per series."""
     p, d, q = order
     P, D, Q, m = seasonal
-    rows, names, xs, fit = _estimate(df, order, seasonal)
+    rows, names, xs, fit = _estimate(df, order, seasonal, fit_method)
     ar, ma = _lagged(p, q, seasonal)
     n_ar = max([k for _, k in ar], default=0)
     n_ma = max([k for _, k in ma], default=0)
@@ -123,14 +139,16 @@ def arima_forecast(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), period
     tail = tail.filter(F.col("seq") > F.col("__n") - keep).withColumn("eps", F.coalesce(eps, F.lit(0.0)))
     last = tail.groupBy(*S).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "eps", "y"))).alias("t"), F.first("mu").alias("mu"))
     one = null_safe_join(last, fit, S)
+    if fit_method == "HR":
+        one = one.withColumn("tail", F.transform("t", lambda r: r["eps"]))
     # differencing consumed rows: the last undifferenced values are the y of the tail
     lags_ar, lags_ma, z = [k for _, k in ar], [k for _, k in ma], ts.Z[confidence]
 
     @F.pandas_udf("array<struct<step:int,f:double,se:double>>")
-    def project(t: pd.Series, mu: pd.Series, coef: pd.Series, sse: pd.Series, n: pd.Series) -> pd.Series:
+    def project(t: pd.Series, mu: pd.Series, coef: pd.Series, sse: pd.Series, n: pd.Series, tail: pd.Series) -> pd.Series:
         out = []
-        for rows_, m_, c, s, k in zip(t, mu, coef, sse, n):
-            x, e = [r["x"] for r in rows_], [r["eps"] for r in rows_]
+        for rows_, m_, c, s, k, end in zip(t, mu, coef, sse, n, tail):
+            x, e = [r["x"] for r in rows_], list(end)
             y = [r["y"] for r in rows_]
             phi, theta = dict(zip(lags_ar, c[1:])), dict(zip(lags_ma, c[1 + len(lags_ar):]))
             # psi weights of the integrated process
@@ -154,7 +172,7 @@ def arima_forecast(df: DataFrame, order=(1, 0, 0), seasonal=(0, 0, 0, 0), period
             out.append(res)
         return pd.Series(out)
 
-    f = one.select(*S, F.explode(project("t", "mu", "coef", "sse", "n")).alias("f"))
+    f = one.select(*S, F.explode(project("t", "mu", "coef", "sse", "n", "tail")).alias("f"))
     return f.select(*S, "f.step", F.col("f.f").alias("forecast_value"), (F.col("f.f") - z * F.col("f.se")).alias("lower_bound"),
                     (F.col("f.f") + z * F.col("f.se")).alias("upper_bound"))
 
