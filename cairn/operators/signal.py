@@ -76,8 +76,7 @@ def _four_step(cells: DataFrame, by, inverse=False) -> DataFrame:
     r = cells.withColumn("n1", n1).withColumns({"j1": F.col("j") % F.col("n1"), "j2": F.floor(F.col("j") / F.col("n1")).cast("int")})
     out_type = "struct<re:array<double>,im:array<double>>"
 
-    def piece(at, re, im, n):
-        real = not im.any()  # real samples take the real transform, at half the work
+    def piece(at, re, im, n, real=False):
         x = np.zeros(n, float if real else complex)
         x[at] = re if real else re + 1j * im
         return np.fft.ifft(x) * n if inverse else np.fft.fft(x)
@@ -87,7 +86,8 @@ def _four_step(cells: DataFrame, by, inverse=False) -> DataFrame:
 
     @F.pandas_udf(out_type)
     def inner(at: pd.Series, re: pd.Series, im: pd.Series, size: pd.Series, n1: pd.Series, j1: pd.Series) -> pd.DataFrame:
-        return frame([piece(*p, int(s // a)) * np.exp(sign * 2j * np.pi * j * np.arange(int(s // a)) / s)
+        # real samples take the real transform, at half the work
+        return frame([piece(*p, int(s // a), not p[2].any()) * np.exp(sign * 2j * np.pi * j * np.arange(int(s // a)) / s)
                       for *p, s, a, j in zip(at, re, im, size, n1, j1)])
 
     @F.pandas_udf(out_type)
