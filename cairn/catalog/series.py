@@ -6,7 +6,7 @@ from cairn.catalog.registry import query
 from cairn.catalog.relational import HOURLY
 from cairn.functions.expr import rnd
 from cairn.operators import arima as ar, series as ts
-from cairn.plans.ordered import sequence
+from cairn.plans.ordered import attach, sequence
 
 H = "WITH " + HOURLY
 W = "(PARTITION BY series_id ORDER BY seq)"
@@ -412,6 +412,36 @@ def _(t):
     return ts.change_point(days(t), min_segment=30, max_points=3)
 
 
+# the full search: least cost of the first t rows over all starts of the last segment
+_CUT = D.replace("WITH", "WITH RECURSIVE", 1) + """, zs AS (SELECT series_id, seq, ts, (value-avg(value) OVER w)/stddev(value) OVER w AS x FROM ser WINDOW w AS (PARTITION BY series_id)),
+ ps AS (SELECT *, sum(x) OVER w AS c1, sum(x*x) OVER w AS c2 FROM zs WINDOW w AS (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+ pre AS (SELECT series_id, count(*) AS n, list_prepend(0.0, list(c1 ORDER BY seq)) AS a, list_prepend(0.0, list(c2 ORDER BY seq)) AS b FROM ps GROUP BY 1),
+ dp AS (SELECT series_id, 0::BIGINT AS t, [-6.0::DOUBLE] AS f, [0::BIGINT] AS back FROM pre UNION ALL
+  SELECT series_id, t+1, list_append(f, list_min(c)), list_append(back, list_position(c, list_min(c))-1) FROM (SELECT dp.series_id, t, f, back,
+   list_transform(range(0, greatest(t+1-10,0)+1), lambda s: CASE WHEN t+1<10 THEN 'inf'::DOUBLE ELSE f[s+1]+6+(b[t+2]-b[s+1])-(a[t+2]-a[s+1])**2/(t+1-s) END) AS c FROM dp JOIN pre USING (series_id) WHERE t<n)),
+ walk AS (SELECT series_id, back, back[t+1] AS s FROM dp JOIN pre USING (series_id) WHERE t=n UNION ALL SELECT series_id, back, back[s+1] FROM walk WHERE s>0),
+ cut AS (SELECT series_id, s, lag(s,1,0) OVER w AS lo, coalesce(lead(s) OVER w, n) AS hi, a, b, row_number() OVER w AS point_no FROM walk JOIN pre USING (series_id) WHERE s>0 WINDOW w AS (PARTITION BY series_id ORDER BY s))
+ SELECT cut.series_id, point_no::INT AS point_no, s AS change_seq, epoch_us(ts) AS change_us, round((a[s+1]-a[lo+1])**2/(s-lo)+(a[hi+1]-a[s+1])**2/(hi-s)-(a[hi+1]-a[lo+1])**2/(hi-lo),5) AS gain FROM cut JOIN ser ON cut.series_id=ser.series_id AND s=seq"""
+
+
+@query("ts24_change_point_optimal", _CUT)
+def _(t):
+    d = days(t)
+    m = d.groupBy("series_id").agg(F.avg("value").alias("m"), F.stddev("value").alias("sd"), F.max("seq").alias("n"))
+    z = attach(d, m, ["series_id"], "n").withColumn("value", (F.col("value") - F.col("m")) / F.col("sd")).drop("m", "sd")
+    c = ts.change_point(z, min_segment=10, penalty=6, method="optimal")
+    return r(c.withColumn("change_us", F.unix_micros("change_ts")).drop("change_ts"), 5, "gain")
+
+
+@query("ts24_change_point_cusum", H + f""", c AS (SELECT *, value-avg(value) OVER (PARTITION BY series_id) AS x FROM ser), p AS (SELECT *, sum(x) OVER (PARTITION BY series_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS c1, count(*) OVER (PARTITION BY series_id) AS n, stddev(value) OVER (PARTITION BY series_id) AS sd FROM c),
+ b AS (SELECT *, abs(c1)/(sd*sqrt(n)) AS z FROM p WHERE sd>0 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(abs(c1),9) DESC, seq)=1)
+ SELECT series_id, 1 AS point_no, seq AS change_seq, epoch_us(ts) AS change_us, round(CASE WHEN seq<n THEN c1*c1/seq+c1*c1/(n-seq) ELSE 0 END,5) AS gain, round(z,7) AS statistic,
+ round(CASE WHEN z<0.1 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1,101), lambda j: CASE WHEN j%2=1 THEN 2.0 ELSE -2.0 END*exp(-2.0*j*j*z*z))),0),1) END,6) AS p_value FROM b""")
+def _(t):
+    c = ts.change_point(hours(t), method="cusum")
+    return r(r(r(c.withColumn("change_us", F.unix_micros("change_ts")).drop("change_ts"), 5, "gain"), 7, "statistic"), 6, "p_value")
+
+
 @query("ts25_series_plot_data", H + """, b AS (SELECT *, floor((seq-1)*100/greatest(max(seq) OVER (PARTITION BY series_id),100))::INT AS bucket FROM ser),
  g AS (SELECT series_id, bucket, epoch_us(min(ts)) AS us, arg_min(value,seq) AS "first", arg_max(value,seq) AS "last", min(value) AS low, max(value) AS high FROM b GROUP BY 1,2)
  SELECT series_id, bucket, us, part, round(value,8) AS value, 'actual' AS series_type FROM (UNPIVOT g ON "first", "last", low, high INTO NAME part VALUE value)""")

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cairn.functions.expr import band, band_ge, band_gt, band_le, exact_share, flag, pct, rnd, tally
 from cairn.operators.relational import ntile, rolling, rolling_median
-from cairn.plans.lineage import cut_lineage
+from cairn.plans.lineage import cut_lineage, written
 from cairn.plans.linear import dot, ols
 from cairn.plans.ordered import attach, null_safe_join, running, sequence, share, sliding, with_stats
 from cairn.plans.recurrence import affine_scan, gain_scan
+from cairn.plans.segments import optimal_cuts
 
 S = ["series_id"]
 Z = {0.90: 1.644853626951473, 0.95: 1.959963984540054, 0.99: 2.575829303548901}
@@ -596,11 +597,28 @@ def noise_level(df: DataFrame) -> DataFrame:
 
 # ---- change points --------------------------------------------------------
 
-def change_point(df: DataFrame, min_segment=10, penalty=0.0, max_points=1) -> DataFrame:
-    """Mean-shift change points by binary segmentation. A split at row k puts
-    rows up to k left; its cost is the summed squared error of both sides
-    around their means, from prefix sums. Each round takes the best split of
-    each series; it counts if the cost falls by more than ``penalty``."""
+def change_point(df: DataFrame, min_segment=10, penalty=None, max_points=1, method="binary") -> DataFrame:
+    """Changes of the mean (series_id, point_no, change_seq, change_ts, gain),
+    where rows up to change_seq lie left of the change and the cost of a cutting
+    is the summed squared error of its segments around their means.
+
+    ``binary``: binary segmentation from prefix sums. Each round takes the best
+    split of each series, up to ``max_points`` rounds; it counts if the cost falls
+    by more than ``penalty`` (0 if not given).
+    ``optimal``: the cutting with the least cost plus ``penalty`` per change, of
+    all cuttings whose segments have ``min_segment`` rows (``optimal_cuts``).
+    Points are numbered in time and ``max_points`` is not used; gain is what the
+    change saves between its two neighbours. Without a penalty it is
+    2 v ln n with v half the mean squared first difference.
+    ``cusum``: the place where the sum of deviations from the mean is farthest
+    from zero, with its test (``cusum_test``)."""
+    if method == "optimal":
+        return _optimal_change_points(df, min_segment, penalty)
+    if method == "cusum":
+        return cusum_test(df)
+    if method != "binary":
+        raise ValueError(method)
+    penalty = penalty or 0.0
     rows = centred(df)
     rows = running(rows, S, {"c1": "__x", "c2": F.col("__x") * F.col("__x")}).select(*S, "ts", "seq", "c1", "c2")
     if max_points > 1:
@@ -633,6 +651,43 @@ def change_point(df: DataFrame, min_segment=10, penalty=0.0, max_points=1) -> Da
     return found
 
 
+def _optimal_change_points(df, min_segment, penalty):
+    m = df.groupBy(*S).agg(F.avg("value").alias("__m"), F.max("seq").alias("n"))
+    rows = written(attach(df, m, S, "n").select(*S, "ts", "seq", (F.col("value") - F.col("__m")).alias("x")))
+    ends = [F.max("seq").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")]
+    if penalty is None:
+        steps = sliding(rows, S, lambda w: {"__d": F.col("x") - F.lag("x").over(w)}, before=1)
+        limits = steps.groupBy(*S).agg(*ends, F.coalesce(F.avg(F.col("__d") * F.col("__d")), F.lit(0.0)).alias("__v"))
+        limits = limits.withColumn("penalty", F.col("__v") * F.ln("n")).drop("__v")
+    else:
+        limits = rows.groupBy(*S).agg(*ends).withColumn("penalty", F.lit(float(penalty)))
+    cuts = sequence(optimal_cuts(rows, S, "x", written(limits), min_segment).withColumnRenamed("seq", "change_seq"), S, ["change_seq"], "point_no")
+    zero = lambda c, w: F.coalesce(F.lag(c).over(w), F.lit(0))
+    near = sliding(cuts, S, lambda w: {**{f"b_{c}": zero(c, w) for c in ("change_seq", "c1", "c2")}, **{f"a_{c}": F.lead(c).over(w) for c in ("change_seq", "c1", "c2")}}, 1, 1, "point_no")
+    sse = lambda lo, hi: F.col(f"{hi}c2") - F.col(f"{lo}c2") - F.pow(F.col(f"{hi}c1") - F.col(f"{lo}c1"), 2) / (F.col(f"{hi}change_seq") - F.col(f"{lo}change_seq"))
+    out = near.filter(F.col("a_change_seq").isNotNull()).withColumn("gain", sse("b_", "a_") - sse("b_", "") - sse("", "a_"))
+    at = rows.select(*S, F.col("seq").alias("change_seq"), F.col("ts").alias("change_ts"))
+    return null_safe_join(out, at, S + ["change_seq"]).select(*S, F.col("point_no").cast("int").alias("point_no"), "change_seq", "change_ts", "gain")
+
+
+def cusum_test(df: DataFrame) -> DataFrame:
+    """One row per series: the row after which the sum of deviations from the mean
+    is farthest from zero (the first such row), what a cut there saves (``gain``),
+    the distance over sd sqrt(n), and the chance of so large a value in a series
+    without a change (the distribution of the largest distance of a Brownian
+    bridge). Series without spread have no row."""
+    rows = running(centred(df), S, {"c1": "__x"}).select(*S, "ts", "seq", "c1")
+    total = df.groupBy(*S).agg(F.max("seq").alias("n"), F.stddev("value").alias("sd"))
+    far = rows.groupBy(*S).agg(F.max_by(F.struct("seq", "ts", "c1"), F.struct(F.round(F.abs("c1"), 9), -F.col("seq"))).alias("b"))
+    out = null_safe_join(far, total.filter("sd > 0"), S)
+    k, n, d = F.col("b.seq"), F.col("n"), F.abs("b.c1")
+    z = d / (F.col("sd") * F.sqrt(n))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * z * z))
+    p = F.least(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), F.lit(0.0)), F.lit(1.0))
+    return out.select(*S, F.lit(1).alias("point_no"), k.alias("change_seq"), F.col("b.ts").alias("change_ts"),
+                      F.when(k < n, d * d / k + d * d / (n - k)).otherwise(0.0).alias("gain"), z.alias("statistic"), F.when(z < 0.1, 1.0).otherwise(p).alias("p_value"))
+
+
 # ---- reports --------------------------------------------------------------
 
 def series_plot_data(df: DataFrame, points=100, kind="actual") -> DataFrame:
