@@ -176,6 +176,25 @@ def _(t):
     return cl.hierarchical_clustering(t.embeddings, "vec_id", "embedding")
 
 
+# two rounds of splits at the mean of each node's widest dimension; nodes are numbered as in a heap
+_SPLIT = """m{i} AS (SELECT node, d, m FROM (SELECT node, d, avg(v) AS m, var_samp(v) AS s FROM r{i} GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY node ORDER BY s DESC, d)=1),
+ r{j} AS (SELECT r.vec_id, r.d, r.v, 2*r.node+(x.v>m.m)::INT AS node FROM r{i} r JOIN m{i} m ON r.node=m.node JOIN r{i} x ON x.vec_id=r.vec_id AND x.d=m.d)"""
+_NESTED = "WITH r0 AS (SELECT vec_id, generate_subscripts(embedding,1) AS d, unnest(embedding)::DOUBLE AS v, 1 AS node FROM embeddings), " + ", ".join(
+    _SPLIT.format(i=i, j=i + 1) for i in range(2)) + """, l AS (SELECT 2 AS level, * FROM r1 UNION ALL SELECT 4, * FROM r2), c AS (SELECT level, node, d, avg(v) AS m FROM l GROUP BY 1,2,3)
+ SELECT level, (l.node-level)::INT AS cluster_id, CASE WHEN level=4 THEN (l.node//2-2)::INT END AS parent_id, vec_id::VARCHAR AS id, round(sqrt(sum(pow(v-m,2))),6) AS distance_to_centroid FROM l JOIN c USING (level, node, d) GROUP BY ALL"""
+
+
+@query("cl03_nested_levels", _NESTED)
+def _(t):
+    h = cl.hierarchical_clustering(t.embeddings, "vec_id", "embedding", (2, 4), max_iter=0).filter("result_type = 'assignment'")
+    return r(h.select("level", "cluster_id", "parent_id", "id", "distance_to_centroid"), 6, "distance_to_centroid")
+
+
+@query("cl03_cluster_tree")
+def _(t):
+    return cl.cluster_tree(t.embeddings, "vec_id", "embedding")
+
+
 @query("cl04_cluster_report", _CENT + " SELECT k AS cluster_id, count(*) AS cluster_size, round(sum(dist*dist),6) AS wcss, round(sum(dist),6) AS sum_distance, round(max(dist),7) AS max_distance, round(100.0*count(*)/sum(count(*)) OVER (),4) AS percentage FROM b GROUP BY 1")
 def _(t):
     return r(r(cl.cluster_report(assigned(t)), 6, "wcss", "sum_distance"), 7, "max_distance")

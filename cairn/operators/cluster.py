@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cairn.plans.lineage import written
+
 
 def centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """Mean vector per cluster; summed per dimension, so a large cluster is
@@ -48,14 +50,142 @@ def kmeans(df: DataFrame, id_col: str, vector: str, k=8, max_iter=100, tol=0.001
     return _tables(d, KMeans(k=k, maxIter=max_iter, tol=tol, seed=seed).fit(d), id_col)
 
 
-def hierarchical_clustering(df: DataFrame, id_col: str, vector: str, levels=(2, 4, 8), max_iter=20, seed=42) -> DataFrame:
-    """Top-down hierarchy: one bisecting k-means per level on the same seed."""
-    from pyspark.ml.clustering import BisectingKMeans
-    d, out = vectors(df, vector), None
+def _halves(rows: DataFrame, rules: dict) -> dict:
+    """(node, side) -> size, mean, variance of the rows of the nodes that have a
+    rule; ``rules`` has the weights and the bound of each. One pass for all nodes."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    table = rows.sparkSession.createDataFrame([(n, w, b) for n, (w, b) in rules.items()], "node int, w array<double>, b double")
+    r = rows.join(F.broadcast(table), "node")  # at most one row per leaf
+    out = r.groupBy("node", (_dot("w", "x") > F.col("b")).alias("side")).agg(
+        Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("x")).alias("s"))
+    return {(o["node"], o["side"]): (o["s"]["count"], o["s"]["mean"].toArray(), o["s"]["variance"].toArray()) for o in out.collect()}
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _spread(half) -> float:
+    n, _, variance = half
+    return float(variance.sum() * (n - 1)) if n > 1 else 0.0
+
+
+def split_tree(df: DataFrame, id_col: str, vector: str, leaves=8, max_iter=20, tol=0.001) -> tuple[DataFrame, list[dict]]:
+    """A tree of splits from the top, and the rows (``id_col``, x, node) at its leaves.
+
+    A node is split at the mean of its widest dimension (the first of equal ones); up to
+    ``max_iter`` steps of two means follow, as long as one lowers the squared error by
+    more than the share ``tol``. All leaves are split side by side; if that would make
+    too many, those with the largest squared error (the oldest of equal ones). Nodes of
+    equal vectors stay whole, so there may be fewer leaves; rows without a vector take no
+    part. The driver holds the nodes only. A node (dict) has node, parent, left, right,
+    size, sse, centroid, order (the number of its split) and height, what the split saves:
+    n1 n2 / (n1 + n2) times the squared distance of the halves' centroids."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    rows = written(df.filter(F.col(vector).isNotNull()).select(id_col, x.alias("x"), F.lit(1).alias("node")))
+    width = rows.agg(F.max(F.size("x"))).first()[0]
+    if width is None:
+        return rows, []
+    whole = _halves(rows, {1: ([0.0] * width, 0.0)})[1, False]
+    nodes, stats, splits = [], {}, 0
+
+    def add(parent, half):
+        nodes.append({"node": len(nodes) + 1, "parent": parent, "left": None, "right": None, "size": half[0], "sse": _spread(half),
+                      "centroid": half[1].tolist(), "order": None, "height": None})
+        stats[len(nodes)] = half
+        return len(nodes)
+
+    add(None, whole)
+    open_ = [1]
+    while open_ and splits + 1 < leaves:
+        chosen = sorted((n for n in open_ if nodes[n - 1]["sse"] > 0), key=lambda n: (-nodes[n - 1]["sse"], n))[:leaves - 1 - splits]
+        rules, kept, going = {}, {}, set(chosen)
+        for n in chosen:
+            _, mean, variance = stats[n]
+            j = int(variance.argmax())
+            rules[n] = ([float(i == j) for i in range(width)], float(mean[j]))
+        for _ in range(max_iter + 1):
+            if not going:
+                break
+            halves = _halves(rows, {n: rules[n] for n in going})
+            for n in sorted(going):
+                pair = halves.get((n, False)), halves.get((n, True))
+                if None in pair:
+                    going.discard(n)
+                    continue
+                now = _spread(pair[0]) + _spread(pair[1])
+                before = sum(map(_spread, kept[n][1])) if n in kept else None
+                if before is not None and now > before:
+                    going.discard(n)
+                    continue
+                kept[n] = rules[n], pair
+                if before is not None and before - now <= tol * before:
+                    going.discard(n)
+                (_, lo, _), (_, hi, _) = pair
+                rules[n] = ((hi - lo).tolist(), float((hi @ hi - lo @ lo) / 2))
+        open_, moves = [], []
+        for n in chosen:
+            if n in kept:
+                (w, b), pair = kept[n]
+                splits += 1
+                gap = pair[1][1] - pair[0][1]
+                nodes[n - 1] |= {"left": add(n, pair[0]), "right": add(n, pair[1]), "order": splits,
+                                 "height": float(gap @ gap * pair[0][0] * pair[1][0] / (pair[0][0] + pair[1][0]))}
+                moves.append((n, w, b, nodes[n - 1]["left"], nodes[n - 1]["right"]))
+                open_ += [nodes[n - 1]["left"], nodes[n - 1]["right"]]
+        if moves:
+            table = rows.sparkSession.createDataFrame(moves, "node int, w array<double>, b double, lo int, hi int")
+            to = F.when(F.col("w").isNull(), F.col("node")).when(_dot("w", "x") > F.col("b"), F.col("hi")).otherwise(F.col("lo"))
+            rows = written(rows.join(F.broadcast(table), "node", "left").select(id_col, "x", to.alias("node")))
+    return rows, nodes
+
+
+def _cut(nodes: list[dict], k: int) -> list[tuple[int, list[int]]]:
+    """The clusters of the first k - 1 splits, from left to right, each with the nodes
+    that are leaves of the tree below it."""
+    by = {n["node"]: n for n in nodes}
+
+    def below(n, last):
+        node = by[n]
+        if node["order"] is None or node["order"] > last:
+            return [n]
+        return below(node["left"], last) + below(node["right"], last)
+
+    return [(n, below(n, len(nodes))) for n in below(1, k - 1)] if nodes else []
+
+
+def hierarchical_clustering(df: DataFrame, id_col: str, vector: str, levels=(2, 4, 8), max_iter=20, tol=0.001) -> DataFrame:
+    """Clusters of each level out of one tree (``split_tree``): a level of k has the
+    clusters of the first k - 1 splits, so each lies in one cluster of the level before,
+    ``parent_id``. Rows as of ``kmeans`` by ``level``; centroid rows have the number of
+    their rows, and in ``height`` what the split that made them saves."""
+    levels = sorted(levels)
+    rows, nodes = split_tree(df, id_col, vector, max(levels), max_iter, tol)
+    by, table, above = {n["node"]: n for n in nodes}, [], {}
     for k in levels:
-        t = _tables(d, BisectingKMeans(k=k, maxIter=max_iter, seed=seed).fit(d), id_col).withColumn("level", F.lit(k))
-        out = t if out is None else out.unionByName(t)
-    return out
+        place = {}
+        for i, (n, ends) in enumerate(_cut(nodes, k)):
+            up = by.get(by[n]["parent"])
+            table += [(k, i, above.get(ends[0]), e, e == ends[0], by[n]["centroid"], by[n]["size"], up and up["height"]) for e in ends]
+            place |= {e: i for e in ends}
+        above = place
+    at = df.sparkSession.createDataFrame(table, "level int, cluster_id int, parent_id int, node int, first boolean, centroid array<double>, size bigint, height double")
+    a = rows.join(F.broadcast(at), "node")  # levels times leaves
+    d = F.aggregate(F.zip_with("x", "centroid", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    assigned = a.select("level", F.lit("assignment").alias("result_type"), "cluster_id", "parent_id", F.col(id_col).cast("string").alias("id"),
+                        null("features", "array<double>"), F.sqrt(d).alias("distance_to_centroid"), null("size", "bigint"), null("height", "double"))
+    return assigned.unionByName(at.filter("first").select("level", F.lit("centroid").alias("result_type"), "cluster_id", "parent_id", null("id", "string"),
+                                                          F.col("centroid").alias("features"), null("distance_to_centroid", "double"), "size", "height"))
+
+
+def cluster_tree(df: DataFrame, id_col: str, vector: str, leaves=8, max_iter=20, tol=0.001) -> DataFrame:
+    """The nodes of ``split_tree``: node, parent, left, right, size, sse, order, height."""
+    nodes = split_tree(df, id_col, vector, leaves, max_iter, tol)[1]
+    names = ["node", "parent", "left", "right", "size", "sse", "order", "height"]
+    return df.sparkSession.createDataFrame([tuple(n[c] for c in names) for n in nodes],
+                                           "node int, parent int, left int, right int, size bigint, sse double, `order` int, height double")
 
 
 def kmeans_predict(df: DataFrame, cents: DataFrame, id_col: str, cluster: str, vector: str) -> DataFrame:
