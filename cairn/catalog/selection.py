@@ -6,7 +6,7 @@ from cairn.catalog.registry import query
 from cairn.catalog.relational import HOURLY
 from cairn.catalog.series import hours
 from cairn.functions.expr import rnd
-from cairn.operators import selection as ms
+from cairn.operators import selection as ms, validation as vd
 
 H = "WITH " + HOURLY + ", s AS (SELECT *, max(seq) OVER (PARTITION BY series_id) AS n FROM ser)"
 W = "(PARTITION BY series_id ORDER BY seq)"
@@ -68,6 +68,40 @@ def _(t):
     return r(ms.cv_stability(ms.ts_cross_validate(hours(t))), 7, "mean_test_rmse", "sd_test_rmse", "mean_gap", "stability")
 
 
+_MODELS = {"mean": ("0", None), "naive": ("lh", None), "seasonal_naive": ("ls", None), "linear_trend": ("0", "seq/n"), "ar1": ("0", "lh"), "ari1": ("lh", "lh-lg")}
+
+
+def _cv_models(h, bucket, train):
+    """Each model is a line in one feature, fitted by the built-in regression per fold."""
+    rows = " UNION ALL ".join(f"SELECT series_id, seq, bucket, '{m}' AS model, ({o})::DOUBLE AS o, ({x or 0})::DOUBLE AS x, (value-({o}))::DOUBLE AS y FROM q" for m, (o, x) in _MODELS.items())
+    flat = "model IN ('mean','naive','seasonal_naive')"
+    return H + f""", q AS (SELECT *, {bucket} AS bucket, lag(value,{h}) OVER w AS lh, lag(value,{h + 1}) OVER w AS lg, lag(value,24) OVER w AS ls FROM s WINDOW w AS {W}),
+ l AS (SELECT * FROM ({rows}) WHERE o IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL), f AS (SELECT unnest(range(1,6))::INT AS fold),
+ fit AS (SELECT series_id, model, fold, count(*) AS train_n, CASE WHEN model IN ('naive','seasonal_naive') THEN 0 WHEN model='mean' THEN avg(y) ELSE regr_intercept(y,x) END AS a, CASE WHEN {flat} THEN 0 ELSE regr_slope(y,x) END AS b FROM l, f WHERE {train} GROUP BY 1,2,3),
+ tr AS (SELECT l.series_id, l.model, fit.fold, any_value(train_n) AS train_n, sqrt(avg(pow(y-a-b*x,2))) AS train_rmse FROM l JOIN fit ON l.series_id=fit.series_id AND l.model=fit.model WHERE {train} GROUP BY 1,2,3),
+ te AS (SELECT l.series_id, l.model, fit.fold, count(*) AS test_n, sqrt(avg(pow(y-a-b*x,2))) AS test_rmse, avg(abs(y-a-b*x)) AS test_mae FROM l JOIN fit ON l.series_id=fit.series_id AND l.model=fit.model AND bucket=fold GROUP BY 1,2,3),
+ cv AS (SELECT *, test_rmse-train_rmse AS gap, (test_rmse>1.5*train_rmse)::INT AS overfit FROM tr JOIN te USING (series_id, model, fold))"""
+
+
+_LATE = "ceil((seq-(n-120))/24.0)::INT"
+_CVM = {"rolling": (1, f"greatest({_LATE},0)", "bucket<fold"), "sliding": (3, _LATE, "bucket<fold AND bucket>=fold-4"), "blocked": (2, "(floor((seq-1)*5/n)+1)::INT", "bucket<>fold")}
+for _k, (_h, _b, _w) in _CVM.items():
+    @query(f"ms06_cross_validate_{_k}", _cv_models(_h, _b, _w) + " SELECT series_id, model, fold, train_n, round(train_rmse,6) AS train_rmse, test_n, round(test_rmse,6) AS test_rmse, round(test_mae,6) AS test_mae, round(gap,6) AS gap, overfit FROM cv")
+    def _(t, k=_k, h=_h):
+        return r(vd.cross_validate_models(hours(t), method=k, step_ahead=h), 6, "train_rmse", "test_rmse", "test_mae", "gap")
+
+
+@query("ms06_cross_validate_smoothing")
+def _(t):
+    return vd.cross_validate_models(hours(t), ("ses", "holt", "holt_winters_add", "ar2", "ari2", "seasonal_ar"), step_ahead=6)
+
+
+@query("ms06_cv_scores", _cv_models(*_CVM["rolling"]) + """, g AS (SELECT series_id, model, count(*) AS folds, sqrt(sum(test_n*test_rmse*test_rmse)/sum(test_n)) AS cv_rmse, sum(test_n*test_mae)/sum(test_n) AS cv_mae, avg(gap) AS mean_gap, sum(overfit)::BIGINT AS overfit_folds, 1-stddev(test_rmse)/avg(test_rmse) AS stability FROM cv GROUP BY 1,2)
+ SELECT series_id, model, folds, round(cv_rmse,6) AS cv_rmse, round(cv_mae,6) AS cv_mae, round(mean_gap,6) AS mean_gap, overfit_folds, round(stability,6) AS stability, row_number() OVER (PARTITION BY series_id ORDER BY round(cv_rmse,9), model) AS cv_rmse_rank, row_number() OVER (PARTITION BY series_id ORDER BY round(cv_mae,9), model) AS cv_mae_rank FROM g""")
+def _(t):
+    return r(vd.cv_scores(vd.cross_validate_models(hours(t))), 6, "cv_rmse", "cv_mae", "mean_gap", "stability")
+
+
 _MM = """m AS (SELECT p_brand AS model, avg(p_retailprice) AS price, stddev(p_retailprice) AS spread, count(*)::DOUBLE AS n FROM part GROUP BY 1), z AS (SELECT *, (price-min(price) OVER ())/(max(price) OVER ()-min(price) OVER ()) AS a, (spread-min(spread) OVER ())/(max(spread) OVER ()-min(spread) OVER ()) AS b, (n-min(n) OVER ())/(max(n) OVER ()-min(n) OVER ()) AS c FROM m),
  sc AS (SELECT model, (1-a)*0.5+(1-b)*0.3+c*0.2 AS s FROM z)"""
 
@@ -115,6 +149,19 @@ def _(t):
     return s.select("series_id", "model", "aic_rank", "bic_rank", "rmse_rank", "mae_rank", "adjusted_r2_rank", "consensus")
 
 
+_CVS = _cv_models(*_CVM["rolling"]) + _SEL[len(H):] + """, g AS (SELECT series_id, model, sqrt(sum(test_n*test_rmse*test_rmse)/sum(test_n)) AS cv_rmse, sum(test_n*test_mae)/sum(test_n) AS cv_mae FROM cv GROUP BY 1,2), b AS (SELECT * FROM me JOIN g USING (series_id, model)),
+ z AS (SELECT *, """ + "+".join(f"{w}*coalesce(({top}-{c})/nullif(max({c}) OVER p-min({c}) OVER p,0),{fall})" if w != 0.1 else f"{w}*coalesce(({c}-min({c}) OVER p)/nullif(max({c}) OVER p-min({c}) OVER p,0),1)"
+                               for c, w, top, fall in (("aic", 0.25, "max(aic) OVER p", 1), ("bic", 0.2, "max(bic) OVER p", 1), ("cv_rmse", 0.3, "max(cv_rmse) OVER p", 1), ("cv_mae", 0.15, "max(cv_mae) OVER p", 1), ("adjusted_r2", 0.1, "", 1))) + """ AS composite FROM b WINDOW p AS (PARTITION BY series_id))
+ SELECT series_id, model, round(cv_rmse,6) AS cv_rmse, round(cv_mae,6) AS cv_mae, round(composite,6) AS composite, row_number() OVER (PARTITION BY series_id ORDER BY round(composite,9) DESC, model) AS composite_rank FROM z"""
+
+
+@query("ms09_select_by_cv", _CVS)
+def _(t):
+    h = hours(t)
+    s = vd.select_by_cv(ms.candidate_forecasts(h), vd.cross_validate_models(h))
+    return r(s.select("series_id", "model", "cv_rmse", "cv_mae", "composite", "composite_rank"), 6, "cv_rmse", "cv_mae", "composite")
+
+
 @query("ms10_selection_stability", _SEL + f", rk AS (SELECT *, {_RK} FROM me), l AS (UNPIVOT (SELECT series_id, model, aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank FROM rk) ON aic_rank, bic_rank, rmse_rank, mae_rank, adjusted_r2_rank INTO NAME criterion VALUE rank) SELECT model, round(avg(rank),8) AS mean_rank, round(stddev(rank),8) AS rank_sd, count(*) FILTER (rank=1) AS wins, CASE WHEN round(stddev(rank),9)<.5 THEN 'Very stable' WHEN round(stddev(rank),9)<1 THEN 'Stable' ELSE 'Unstable' END AS stability FROM l GROUP BY 1")
 def _(t):
     return r(ms.selection_stability(ms.model_selection(ms.candidate_forecasts(hours(t)))), 8, "mean_rank", "rank_sd")
