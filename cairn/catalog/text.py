@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalog.registry import query
 from cairn.functions.expr import rnd
-from cairn.operators import text as tx, vectors as vx
+from cairn.operators import neighbours as nb, text as tx, vectors as vx
 
 
 def r(df, places, *cols):
@@ -72,6 +72,15 @@ for _m, _e in _DIST.items():
     def _(t, m=_m):
         return r(vx.vector_distance(t.embeddings, t.embeddings, "vec_id", "embedding", m), 7, "distance")
 
+    @query(f"tx06_nearest_indexed_{_m}", f"{_V}, p AS (SELECT a.vec_id AS target_id, b.vec_id AS reference_id, {_e} AS distance FROM v a JOIN v b ON a.vec_id<>b.vec_id) SELECT target_id, reference_id, round(distance,7) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY round(distance,9), reference_id) <= 3")
+    def _(t, m=_m):
+        return r(nb.nearest_vectors(t.embeddings, t.embeddings, "vec_id", "embedding", m, cells=16), 7, "distance")
+
+
+@query("tx06_nearest_approximate")
+def _(t):
+    return nb.nearest_vectors(t.embeddings, t.embeddings, "vec_id", "embedding", cells=32, approximate=True, probes=24)
+
 
 @query("tx07_vector_normalize", _V + ", n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x*x))) AS n FROM v) SELECT vec_id, round(v[1]/n,8) AS first_value, round(list_sum(list_transform(v, lambda x: abs(x/n))),7) AS total FROM n")
 def _(t):
