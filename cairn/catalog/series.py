@@ -1,5 +1,7 @@
 """Queries of the time-series operators."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from cairn.catalog.registry import query
@@ -194,6 +196,14 @@ def _(t):
     return ts.stationarity_test(hours(t), "PP", lags=4)
 
 
+@query("ts11_p_values")
+def _(t):
+    h = hours(t)
+    tests = [ts.stationarity_test(h, test, lags=2, trend=trend, p_values="asymptotic").withColumn("trend", F.lit(trend))
+             for test in ("ADF", "PP", "KPSS") for trend in ("constant", "trend")]
+    return reduce(lambda a, b: a.unionByName(b), tests)
+
+
 @query("ts12_rolling_stationarity", H + """, q AS (SELECT *, avg(value) OVER a AS m12, stddev(value) OVER a AS s12, avg(value) OVER b AS m24, stddev(value) OVER b AS s24 FROM ser
  WINDOW a AS (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), b AS (PARTITION BY series_id ORDER BY seq ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))
  SELECT series_id, round(stddev(m12),7) AS mean_variability_12, round(stddev(s12),7) AS std_variability_12, round(stddev(m24),7) AS mean_variability_24, round(stddev(s24),7) AS std_variability_24,

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cairn.functions.expr import band, band_ge, band_gt, band_le, exact_share, flag, pct, rnd, tally
+from cairn.functions.expr import band, band_ge, band_gt, band_le, exact_share, flag, normal_cdf, pct, rnd, tally
 from cairn.operators.relational import ntile, rolling, rolling_median
 from cairn.plans.lineage import cut_lineage, written
 from cairn.plans.linear import dot, ols
@@ -281,9 +281,52 @@ def _p_between(stat: Column, crit, upper: bool) -> Column:
             .when(beyond(c10), lin(c5, 0.05, c10, 0.10)).otherwise(0.10)
 
 
-def stationarity_test(df: DataFrame, test="ADF", lags=1, trend="constant", confidence=0.95) -> DataFrame:
+# MacKinnon's (1994) response surfaces of the Dickey-Fuller t, whose p-value
+# is the normal CDF of a polynomial: least value, bound between the two, greatest value, coefficients below, above.
+DF_SURFACE = {
+    "none": (-19.04, -1.04, math.inf, (0.6344, 1.2378, 0.032496), (0.4797, 0.93557, -0.06999, 0.033066)),
+    "constant": (-18.83, -1.61, 2.74, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)),
+    "trend": (-16.18, -2.89, 0.7, (3.2512, 1.6047, 0.049588), (2.5261, 0.61654, -0.37956, -0.060285))}
+
+
+def _df_surface(stat: Column, trend: str) -> Column:
+    least, bound, most, below, above = DF_SURFACE[trend]
+    poly = lambda cs: sum((F.lit(c) * F.pow(stat, F.lit(float(i))) for i, c in enumerate(cs)), F.lit(0.0))
+    return F.when(stat < least, 0.0).when(stat > most, 1.0).when(stat <= bound, normal_cdf(poly(below))).otherwise(normal_cdf(poly(above)))
+
+
+def kpss_tail(x, trend="constant", terms=12, points=64) -> np.ndarray:
+    """The chance that the limit of the KPSS statistic is above ``x``, by Smirnov's
+    formula for sums of weighted squares: an integral between each odd zero of the
+    characteristic function and the next one. With a trend the zeros are 2 pi j and
+    the roots of tan(s/2) = s/2."""
+    if trend == "constant":
+        zeros = np.pi * np.arange(1, 2 * terms + 1)
+        size = lambda s: np.abs(np.sin(s) / s)
+    else:
+        lo, hi = np.pi * np.arange(1, terms + 1), np.pi * (np.arange(1, terms + 1) + 0.5)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            low = np.sin(mid) / mid - np.cos(mid)
+            left = low * (-1.0) ** np.arange(1, terms + 1) < 0
+            lo, hi = np.where(left, mid, lo), np.where(left, hi, mid)
+        zeros = np.sort(np.concatenate([2 * np.pi * np.arange(1, terms + 1), lo + hi]))
+        size = lambda s: np.abs(12 * (2 - 2 * np.cos(s) - s * np.sin(s)) / s ** 4)
+    a, b = zeros[0::2, None], zeros[1::2, None]
+    s = (a + b) / 2 + (b - a) / 2 * np.cos((np.arange(points) + 0.5) * np.pi / points)
+    weight = 2 / s * np.sqrt((s - a) * (b - s) / size(s)) * np.where(np.arange(terms) % 2, -1.0, 1.0)[:, None] / points
+    x = np.maximum(np.asarray(x, float), 0.005)  # the terms suffice from here on; below, the chance is 1 to 1e-4
+    return np.clip((weight.ravel() * np.exp(-np.multiply.outer(x, s.ravel() ** 2) / 2)).sum(-1), 0, 1)
+
+
+def stationarity_test(df: DataFrame, test="ADF", lags=1, trend="constant", confidence=0.95, p_values="table") -> DataFrame:
     """ADF, PP (unit root is the null) or KPSS (stationarity is the null),
-    statistic per series with interpolated p-value and verdict."""
+    statistic per series with p-value and verdict. ``p_values``: ``table``
+    interpolates between the 1, 5 and 10 percent points and holds outside;
+    ``asymptotic`` is good at any statistic (response surfaces for ADF and PP, the
+    limit's own distribution for KPSS)."""
+    if p_values not in ("table", "asymptotic"):
+        raise ValueError(p_values)
     level = {0.99: 0, 0.95: 1, 0.90: 2}[confidence]
     if test == "KPSS":
         x = [F.lit(1.0)] + ([F.col("seq").cast("double")] if trend == "trend" else [])
@@ -328,8 +371,12 @@ def stationarity_test(df: DataFrame, test="ADF", lags=1, trend="constant", confi
     s, c = F.col("statistic"), F.lit(crit[level])
     reject = (s > c) if upper else (s < c)
     stationary = ~reject if upper else reject
+    p = _p_between(s, crit, upper)
+    if p_values == "asymptotic":
+        tail = F.pandas_udf(lambda x: pd.Series(kpss_tail(x, trend)).where(x.notna()), "double")
+        p = tail("statistic") if upper else _df_surface(s, trend)
     return out.select(*S, F.lit(test).alias("test"), "n", "statistic", c.alias("critical_value"),
-                      _p_between(s, crit, upper).alias("p_value"),
+                      p.alias("p_value"),
                       F.when(stationary, "Stationary").otherwise("Non-stationary").alias("verdict"))
 
 
