@@ -72,7 +72,7 @@ def _spread(half) -> float:
 
 
 def split_tree(df: DataFrame, id_col: str, vector: str, leaves=8, max_iter=20, tol=0.001) -> tuple[DataFrame, list[dict]]:
-    """A tree of splits from the top, and the rows (``id_col``, x, node) at its leaves.
+    """A tree of splits from the top, and the rows (__id, x, node) at its leaves.
 
     A node is split at the mean of its widest dimension (the first of equal ones); up to
     ``max_iter`` steps of two means follow, as long as one lowers the squared error by
@@ -83,7 +83,7 @@ def split_tree(df: DataFrame, id_col: str, vector: str, leaves=8, max_iter=20, t
     size, sse, centroid, order (the number of its split) and height, what the split saves:
     n1 n2 / (n1 + n2) times the squared distance of the halves' centroids."""
     x = F.transform(vector, lambda v: v.cast("double"))
-    rows = written(df.filter(F.col(vector).isNotNull()).select(id_col, x.alias("x"), F.lit(1).alias("node")))
+    rows = written(df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("__id"), x.alias("x"), F.lit(1).alias("node")))
     width = rows.agg(F.max(F.size("x"))).first()[0]
     if width is None:
         return rows, []
@@ -137,7 +137,7 @@ def split_tree(df: DataFrame, id_col: str, vector: str, leaves=8, max_iter=20, t
         if moves:
             table = rows.sparkSession.createDataFrame(moves, "node int, w array<double>, b double, lo int, hi int")
             to = F.when(F.col("w").isNull(), F.col("node")).when(_dot("w", "x") > F.col("b"), F.col("hi")).otherwise(F.col("lo"))
-            rows = written(rows.join(F.broadcast(table), "node", "left").select(id_col, "x", to.alias("node")))
+            rows = written(rows.join(F.broadcast(table), "node", "left").select("__id", "x", to.alias("node")))
     return rows, nodes
 
 
@@ -174,7 +174,7 @@ def hierarchical_clustering(df: DataFrame, id_col: str, vector: str, levels=(2,
     a = rows.join(F.broadcast(at), "node")  # levels times leaves
     d = F.aggregate(F.zip_with("x", "centroid", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
     null = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    assigned = a.select("level", F.lit("assignment").alias("result_type"), "cluster_id", "parent_id", F.col(id_col).cast("string").alias("id"),
+    assigned = a.select("level", F.lit("assignment").alias("result_type"), "cluster_id", "parent_id", F.col("__id").cast("string").alias("id"),
                         null("features", "array<double>"), F.sqrt(d).alias("distance_to_centroid"), null("size", "bigint"), null("height", "double"))
     return assigned.unionByName(at.filter("first").select("level", F.lit("centroid").alias("result_type"), "cluster_id", "parent_id", null("id", "string"),
                                                           F.col("centroid").alias("features"), null("distance_to_centroid", "double"), "size", "height"))

@@ -46,7 +46,7 @@ def test_same_tree_as_the_plain_version(spark, leaves, max_iter):
     x = np.concatenate([rng.normal(c, 0.7, (30, 3)) for c in rng.normal(0, 5, (5, 3))])
     rows, nodes = cl.split_tree(frame(spark, x), "i", "v", leaves, max_iter)
     leaf, parent, heights = plain(x, leaves, max_iter, 0.001)
-    assert {r.i: r.node for r in rows.collect()} == leaf
+    assert {r["__id"]: r.node for r in rows.collect()} == leaf
     assert {n["node"]: n["parent"] for n in nodes} == parent
     assert {n["node"]: pytest.approx(n["height"]) for n in nodes if n["height"] is not None} == heights
     assert [n["node"] for n in sorted((n for n in nodes if n["order"]), key=lambda n: n["order"])] == list(heights)
@@ -83,3 +83,10 @@ def test_equal_missing_and_no_vectors(spark):
     assert {(r.level, r.cluster_id) for r in h} == {(2, 0), (2, 1), (4, 0), (4, 1)} and all(r.id != "99" for r in h)
     assert cl.hierarchical_clustering(same.limit(0), "i", "v").count() == 0
     assert cl.cluster_tree(same.limit(0), "i", "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["x", "node", "level", "centroid"])
+def test_any_name_of_the_id(spark, name):
+    df = frame(spark, np.array([[0.0], [1.0], [9.0], [10.0]])).withColumnRenamed("i", name)
+    h = cl.hierarchical_clustering(df, name, "v", (2,)).filter("result_type = 'assignment'")
+    assert {(r.id, r.cluster_id) for r in h.collect()} == {("0", 0), ("1", 0), ("2", 1), ("3", 1)}
