@@ -10,7 +10,7 @@ from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
 from cairn.plans.lineage import cut_lineage
 from cairn.plans.ordered import share, task_rows, with_stats
-from cairn.plans.skew import block_pairs, split_join, spread
+from cairn.plans.skew import block_pairs, parts_for, split_join, spread
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -32,21 +32,26 @@ def tokens(text, delimiter=BLANKS):
 
 def ngram_rows(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
     """(id, n, ngram) for every place of every n-gram."""
-    rows = spread(df.select(id_col, *keep, F.col(text).alias("__t"))).withColumn(
-        "__g1", tokens(F.lower("__t") if to_lower else F.col("__t"), delimiter)).drop("__t")
+    return _places(spread(df.select(id_col, *keep, F.col(text).alias("__t")), "__t"), [id_col, *keep], grams, delimiter, to_lower)
+
+
+def _places(df, ids, grams, delimiter, to_lower):
+    rows = df.withColumn("__g1", tokens(F.lower("__t") if to_lower else F.col("__t"), delimiter)).drop("__t")
     # the n-grams of size n are those of size n - 1, each with one more word
     for n in range(2, max(grams) + 1):
         more = F.greatest(F.size("__g1") - (n - 1), F.lit(0))
         rows = rows.withColumn(f"__g{n}", F.zip_with(F.slice(f"__g{n - 1}", F.lit(1), more), F.slice("__g1", F.lit(n), more),
                                                      lambda a, b: F.concat(a, F.lit(" "), b)))
     of = lambda n: F.struct(F.lit(n).alias("n"), F.col(f"__g{n}").alias("g"))
-    return rows.select(id_col, *keep, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
-               .select(id_col, *keep, F.col("s.n").alias("n"), F.explode("s.g").alias("ngram"))
+    return rows.select(*ids, F.explode(F.array(*[of(n) for n in grams])).alias("s")) \
+               .select(*ids, F.col("s.n").alias("n"), F.explode("s.g").alias("ngram"))
 
 
 def ngrams(df: DataFrame, id_col="doc_id", text="text", grams=(1, 2, 3), delimiter=BLANKS, to_lower=True, keep=()) -> DataFrame:
-    """(id, n, ngram, frequency) for every n in ``grams``."""
-    long = ngram_rows(df, id_col, text, grams, delimiter, to_lower, keep)
+    """(id, n, ngram, frequency) for every n in ``grams``. The texts are dealt by id,
+    so that the n-grams of a document are counted where they are made."""
+    rows = df.select(id_col, *keep, F.col(text).alias("__t"))
+    long = _places(rows.repartition(parts_for(rows, "__t"), id_col), [id_col, *keep], grams, delimiter, to_lower)
     return long.groupBy(id_col, *keep, "n", "ngram").agg(F.count(F.lit(1)).alias("frequency"))
 
 
@@ -64,11 +69,13 @@ def top_ngrams(grams: DataFrame, k=20) -> DataFrame:
 
 
 def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
-    """(id, term, count, length): length is the number of counted tokens."""
+    """(id, term, count, length): length is the number of counted tokens. The texts
+    are dealt by id, so that the terms of a document are counted where they are made."""
     w = tokens(F.lower(text))
     if stop_words:
         w = F.filter(w, lambda x: ~x.isin(*stop_words))
-    rows = spread(df.select(id_col, text)).select(id_col, w.alias("__w"))
+    rows = df.select(id_col, text)
+    rows = rows.repartition(parts_for(rows, text), id_col).select(id_col, w.alias("__w"))
     return rows.select(id_col, F.size("__w").alias("length"), F.explode("__w").alias("term")) \
                .groupBy(id_col, "length", "term").agg(F.count(F.lit(1)).alias("n"))
 
@@ -76,8 +83,7 @@ def term_counts(df: DataFrame, id_col="doc_id", text="text", stop_words=()) -> D
 def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0, top=None, stop_words=()) -> DataFrame:
     """(term, doc_freq, idf_weight) with idf = ln(N / doc_freq); ``max_df`` is
     a share of the documents, ``top`` keeps the most frequent terms."""
-    # reads n, so that the counts are the same exchange as those of a transform beside it
-    c = term_counts(df, id_col, text, stop_words).groupBy("term").agg(F.sum((F.col("n") > 0).cast("long")).alias("doc_freq"))
+    c = term_counts(df, id_col, text, stop_words).groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     n = df.agg(F.count(F.lit(1)).alias("__n"))
     m = c.crossJoin(F.broadcast(n)).filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= max_df * F.col("__n")))
     m = m.select("term", "doc_freq", F.ln(F.col("__n") / F.col("doc_freq")).alias("idf_weight"))
@@ -85,9 +91,10 @@ def tfidf_fit(df: DataFrame, id_col="doc_id", text="text", min_df=1, max_df=1.0,
 
 
 def tfidf_transform(df: DataFrame, model: DataFrame, id_col="doc_id", text="text", stop_words=()) -> DataFrame:
-    """(id, term, tf, tfidf_value); tf = count / document length. Terms that
-    fill many documents are salted."""
-    rows = split_join(term_counts(df, id_col, text, stop_words), model, "term")
+    """(id, term, tf, tfidf_value); tf = count / document length. Most terms are
+    rare, so the model is not repeated: a term has a row for each document at
+    most, and parts that are far larger than others are split by Spark."""
+    rows = term_counts(df, id_col, text, stop_words).join(model, "term")
     tf = F.col("n") / F.col("length")
     return rows.select(id_col, "term", tf.alias("tf"), (tf * F.col("idf_weight")).alias("tfidf_value"))
 

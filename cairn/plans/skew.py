@@ -8,17 +8,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-__all__ = ["split_join", "block_pairs", "spread", "matrix", "side_by_side", "tile_pairs"]
+__all__ = ["split_join", "block_pairs", "spread", "matrix", "parts_for", "side_by_side", "tile_pairs"]
 
 
 SALTS = 8
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input of fewer files than there are cores, dealt over all cores:
-    for work that makes many rows of each. A scan of more files is spread already."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+PART_CHARS = 1 << 22  # characters of text in one part
+
+
+def parts_for(df: DataFrame, text: str) -> int:
+    """Parts for work that makes many rows of each text: one for each core at least,
+    and so many that the rows of a part fit in the memory of a task."""
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, ceil(chars / PART_CHARS))
+
+
+def spread(df: DataFrame, text: str) -> DataFrame:
+    """Rows dealt over as many parts as their texts need."""
+    return df.repartition(parts_for(df, text))
 
 
 def split_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
