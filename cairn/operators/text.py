@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
-from cairn.plans.lineage import cut_lineage
-from cairn.plans.ordered import share, task_rows, with_stats
-from cairn.plans.skew import block_pairs, parts_for, split_join, spread
+from cairn.plans.lineage import written
+from cairn.plans.ordered import sequence, share, with_stats
+from cairn.plans.skew import parts_for, side_by_side, split_join, spread
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -105,81 +108,121 @@ def out_of_vocabulary(df: DataFrame, model: DataFrame, id_col="doc_id", text="te
     return df.join(known, id_col, "left_anti")
 
 
+COMMON = 0.01  # share of the documents from which on a term counts as common
+TILE_ENTRIES = 1 << 22  # terms of documents in one tile
+CHUNK_SCORES = 1 << 20  # scores that are held at once
+
+
 def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -> DataFrame:
     """For every document its ``top`` most similar ones with cosine at or
-    above the threshold (weights of ``tfidf_transform``), exact.
-
-    Terms are ordered from rare to frequent. Two unit vectors can only reach
-    the threshold if they share a term of both their prefixes, where a prefix
-    is cut once the norm of what follows is below the threshold (prefix
-    filter, Bayardo et al. 2007). Prefix terms held by few documents give
-    candidate pairs by an equi-join; documents holding a prefix term above
-    the bound are compared block by block, which keeps only the best."""
-    f = cut_lineage(features.filter(F.col("tfidf_value") > 0).select(id_col, "term", "tfidf_value"))
-    norm = f.groupBy(id_col).agg(F.sqrt(F.sum(F.pow("tfidf_value", 2))).alias("__n"))
-    f = f.join(norm, id_col).select(id_col, "term", (F.col("tfidf_value") / F.col("__n")).alias("w"))
-    df_ = f.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = split_join(f, df_, "term")
-    # a document's own terms, rare first: suffix energy decides the prefix
-    docs = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))
-    # k terms form the prefix: the squared norm of the rest is below the threshold's
-    @F.pandas_udf("struct<k:int,tail:double>")
-    def prefix(v: pd.Series) -> pd.DataFrame:
-        out = []
-        for rows in v:
-            rest = 1.0 - np.cumsum([x["w"] ** 2 for x in rows])
-            k = min(int(np.searchsorted(-rest, -(threshold ** 2 - 1e-9), side="right")) + 1, len(rows))
-            out.append((k, float(np.sqrt(max(rest[k - 1], 0.0)))))
-        return pd.DataFrame(out, columns=["k", "tail"])
-
-    docs = cut_lineage(docs.withColumn("cut", prefix("v")))  # used several times below
-    f = docs.select(id_col, F.explode("v").alias("x")).select(id_col, F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    posts = docs.select(id_col, F.col("cut.tail").alias("tail"), F.explode(F.slice("v", F.lit(1), F.col("cut.k"))).alias("x")) \
-                .select(id_col, "tail", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    limit = min(task_rows(features), 5000)
-    counts = posts.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
-    hot = counts.filter(F.col("k") > limit).select("term")
-    small = posts.join(counts.filter((F.col("k") > 1) & (F.col("k") <= limit)).select("term"), "term")
-    side = lambda n: small.select("term", F.col(id_col).alias(n), F.col("w").alias(f"w{n}"), F.col("tail").alias(f"t{n}"))
-    pairs = side("a").join(side("b"), "term").filter("a < b").groupBy("a", "b").agg(
-        F.sum(F.col("wa") * F.col("wb")).alias("s"), F.max("ta").alias("ta"), F.max("tb").alias("tb"))
-    # what lies beyond the shorter prefix adds at most its tail norm
-    pairs = pairs.filter(F.col("s") + F.greatest("ta", "tb") >= threshold - 1e-9).select("a", "b")
-    part = lambda n: f.select(F.col(id_col).alias(n), "term", F.col("w").alias(f"w{n}"))
-    found = pairs.join(part("a"), "a").join(part("b"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-    if not hot.isEmpty():
-        crowd = docs.join(posts.join(hot, "term").select(id_col).distinct(), id_col).select(id_col, "v")
-        found = found.unionByName(_crowd_pairs(crowd, id_col, threshold, top))
-    found = found.filter(F.col("cosine") >= threshold).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    best = top_k(found, ["a"], top, [-F.round("cosine", 9), F.col("b")])
-    return best.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "cosine")
-
-
-def _crowd_pairs(docs: DataFrame, id_col: str, threshold: float, top: int) -> DataFrame:
-    kind = dict(docs.dtypes)[id_col]
-
-    def kernel(l, r):
-        words = {}
-        for row in [*l, *r]:
-            for x in row["v"]:
-                words.setdefault(x["term"], len(words))
-        def dense(rows):
-            m = np.zeros((len(rows), len(words)))
-            for i, row in enumerate(rows):
-                for x in row["v"]:
-                    m[i, words[x["term"]]] = x["w"]
-            return np.array([row["id"] for row in rows]), m
-        (ai, a), (bi, b) = dense(l), dense(r)
-        s, out = a @ b.T, []
-        s[ai[:, None] == bi[None, :]] = -1.0
-        for i in range(len(ai)):
-            ok = np.flatnonzero(s[i] >= threshold)
-            best = ok[np.lexsort((bi[ok], -np.round(s[i][ok], 9)))[:top]]
-            out.append(pd.DataFrame({"a": ai[i], "b": bi[best], "cosine": s[i][best]}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    return block_pairs(docs, docs, id_col, id_col, ["v"], kernel, f"a {kind}, b {kind}, cosine double", block_rows=128)
+    above the threshold (weights of ``tfidf_transform``), exact; pairs share a term.
+
+    Documents are compared by pairs of tiles, one task each, the two sides of a pair
+    at once, and no pair is ever a row of its own but the best few of each document in
+    a tile. Terms are numbered from rare to frequent. The products of rare terms are
+    summed for all pairs of two tiles, from lists of the documents of each term; what
+    common terms add is at most the product of the norms of the common parts, and only
+    pairs that can reach the threshold with it have the common terms summed as well."""
+    f = written(features.filter((F.col("tfidf_value") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "term", F.col("tfidf_value").alias("w")))
+    terms = sequence(f.groupBy("term").agg(F.count(F.lit(1)).alias("df")), [], ["df", "term"], "t")
+    rows = f.join(terms.select("term", F.col("t").cast("int").alias("t"), (F.col("df") > 1).alias("shared")), "term")
+    docs = rows.groupBy("id").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("n"), F.collect_list(F.when(F.col("shared"), F.struct("t", "w"))).alias("v"))
+    docs = written(docs.select("id", F.col("v.t").alias("t"), F.transform("v.w", lambda x: x / F.col("n")).alias("w")))
+    n, entries = docs.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
+    rare = terms.filter(F.col("df") <= COMMON * n).agg(F.max("t")).first()[0] or 0
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    tiles = max(1, ceil((entries or 0) / TILE_ENTRIES), min(ceil((2 * cores) ** 0.5), n // 256))
+    home = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
+    l = docs.withColumn("l", home).withColumn("r", F.explode(F.sequence("l", F.lit(tiles - 1))))
+    r = docs.withColumn("r", home).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("r"))))
+    # the cells on and above the diagonal by number; on the diagonal a tile meets itself
+    cell = (F.shiftright(F.col("r") * (F.col("r") + 1), 1) + F.col("l")).cast("int").alias("cell")
+    sides = l.select(cell, F.lit(0).alias("side"), "id", "t", "w").unionByName(r.select(cell, F.lit(1).alias("side"), "id", "t", "w"))
+    diagonal = {j * (j + 1) // 2 + j for j in range(tiles)}
+    kind = dict(docs.dtypes)["id"]
+
+    def best(at, l, r):
+        r = l if at in diagonal else r
+        ids = [x["id"].combine_chunks() for x in (l, r)]
+        i, j, s = similar(_sparse(l), _sparse(r), rare, threshold, at in diagonal)
+        for own, other, a, b in ((0, 1, i, j), *(() if at in diagonal else ((1, 0, j, i),))):
+            place = np.empty(len(ids[other]), np.int64)
+            place[pc.sort_indices(ids[other]).to_numpy()] = np.arange(len(place))
+            order = np.lexsort((place[b], -np.round(s, 9), a))
+            a, b, c = a[order], b[order], s[order]
+            first = np.arange(len(a)) - np.searchsorted(a, a) < top
+            yield pa.RecordBatch.from_arrays([ids[own].take(pa.array(a[first])), ids[other].take(pa.array(b[first])), pa.array(c[first])], names=["a", "b", "cosine"])
+
+    found = side_by_side(sides, best, f"a {kind}, b {kind}, cosine double", tiles * (tiles + 1) // 2)
+    out = top_k(found, ["a"], top, [-F.round("cosine", 9), F.col("b")])
+    return out.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "cosine")
+
+
+def _sparse(docs: pa.Table):
+    """(starts, terms, weights) of the documents of a tile, one after the other."""
+    t, w = (docs[c].combine_chunks() for c in ("t", "w"))
+    starts = np.concatenate([[0], np.cumsum(t.value_lengths().to_numpy(zero_copy_only=False))])
+    return starts, t.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+
+
+def similar(l, r, rare: int, threshold: float, same: bool):
+    """(i, j, cosine) of the pairs of two tiles of sparse unit vectors with a cosine at
+    or above the threshold; terms up to ``rare`` are summed for all pairs. With ``same``
+    the tiles are one, and no vector meets itself."""
+    (ls, lt, lw), (rs, rt, rw) = l, r
+    nl, nr = len(ls) - 1, len(rs) - 1
+    owner = [np.repeat(np.arange(n), np.diff(s)) for s, n in ((ls, nl), (rs, nr))]
+    # norms of the common parts, and the most that two of them give
+    lc, rc = (np.sqrt(np.bincount(o, np.where(t > rare, w * w, 0.0), n)) for o, t, w, n in ((owner[0], lt, lw, nl), (owner[1], rt, rw, nr)))
+    order = np.argsort(rt, kind="stable")
+    order = order[:np.searchsorted(rt[order], rare, "right")]
+    names, first = np.unique(rt[order], return_index=True)
+    ends, held, weight = np.append(first[1:], len(order)), owner[1][order], rw[order]
+    # common terms of the right side by document, for the pairs that need them
+    common = np.flatnonzero(rt > rare)
+    cs = np.concatenate([[0], np.cumsum(np.bincount(owner[1][common], minlength=nr))])
+    ct, cw = rt[common] - rare, rw[common]
+    wide = max(int(lt.max(initial=rare)), int(rt.max(initial=rare))) - rare + 1
+    out, step = [], max(1, CHUNK_SCORES // max(1, nr))
+    for lo in range(0, nl, step):
+        hi = min(lo + step, nl)
+        t, w, o = lt[ls[lo]:ls[hi]], lw[ls[lo]:ls[hi]], owner[0][ls[lo]:ls[hi]] - lo
+        at = np.searchsorted(names, t)
+        hit = np.flatnonzero((t <= rare) & (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == t)) if len(names) else at[:0]
+        sizes = ends[at[hit]] - first[at[hit]]
+        score, parts = np.zeros((hi - lo) * nr), np.cumsum(sizes)
+        for a, b in _slices(parts):
+            spot = _spans(first[at[hit[a:b]]], sizes[a:b])
+            score += np.bincount(np.repeat(o[hit[a:b]] * nr, sizes[a:b]) + held[spot], np.repeat(w[hit[a:b]], sizes[a:b]) * weight[spot], len(score))
+        score = score.reshape(hi - lo, nr)
+        if same:
+            score[np.arange(hi - lo), np.arange(lo, hi)] = -2.0
+        near = score + lc[lo:hi, None] * rc >= threshold - 1e-9
+        for i in np.flatnonzero(near.any(1)):
+            j = np.flatnonzero(near[i])
+            mine = slice(ls[lo + i], ls[lo + i + 1])
+            keep = lt[mine] > rare
+            s = score[i, j]
+            if keep.any():
+                full = np.bincount(lt[mine][keep] - rare, lw[mine][keep], wide)
+                sizes = cs[j + 1] - cs[j]
+                spot = _spans(cs[j], sizes)
+                s = s + np.bincount(np.repeat(np.arange(len(j)), sizes), full[ct[spot]] * cw[spot], len(j))
+            good = (s >= threshold) & (s > 0)
+            out.append((np.full(good.sum(), lo + i), j[good], s[good]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _slices(ends: np.ndarray):
+    """Slices of spans with about ``CHUNK_SCORES`` places each, by the ends of the spans."""
+    cuts = np.searchsorted(ends, np.arange(CHUNK_SCORES, ends[-1], CHUNK_SCORES)).tolist() if len(ends) else []
+    edges = sorted({0, *cuts, len(ends)})
+    return zip(edges, edges[1:])
 
 
 DF_BINS = [(1, "1 document"), (5, "2-5 documents"), (10, "6-10 documents"), (50, "11-50 documents")]  # fixed values

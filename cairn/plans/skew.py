@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-__all__ = ["split_join", "block_pairs", "spread", "matrix", "parts_for", "side_by_side", "tile_pairs"]
+__all__ = ["split_join", "spread", "matrix", "parts_for", "side_by_side", "tile_pairs"]
 
 
 SALTS = 8
@@ -38,39 +38,6 @@ def split_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("__salt", part).join(wide, [key, "__salt"]).drop("__salt")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, columns, kernel, schema: str,
-                block_rows=1024) -> DataFrame:
-    """Every left block against every right block, one task item per pair of
-    blocks. Rows are dealt to blocks by a hash of their id, so block sizes
-    are even. ``kernel(left_rows, right_rows)`` sees two lists of dicts and
-    returns a pandas frame; it should reduce (top-k, counts), not list pairs.
-    What crosses the network is each block once per opposite block."""
-    def pack(df, ident, side):
-        n = max(1, -(-df.count() // block_rows))
-        b = F.pmod(F.xxhash64(F.col(ident)), F.lit(n)).cast("int")
-        g = df.groupBy(b.alias(f"{side}b")).agg(F.collect_list(F.struct(F.col(ident).alias("id"), *columns)).alias(side))
-        return g, n
-    l, nl = pack(left, left_id, "l")
-    r, nr = pack(right, right_id, "r")
-    # the side with fewer blocks is repeated over the blocks of the other
-    if nl <= nr:
-        l = l.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-        pairs = l.join(r, "rb")
-    else:
-        r = r.withColumn("lb", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))))
-        pairs = r.join(l, "lb")
-    pairs = pairs.select("l", "r").repartition(nl * nr)
-
-    def run(batches):
-        for pdf in batches:
-            for a, b in zip(pdf["l"], pdf["r"]):
-                out = kernel(a, b)
-                if len(out):
-                    yield out
-
-    return pairs.mapInPandas(run, schema)
-
-
 TILE = 1 << 21  # numbers in one tile of vectors
 
 

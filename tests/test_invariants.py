@@ -258,3 +258,43 @@ def test_tree_nodes_are_consistent(spark):
     assert nodes.filter("node_type = 'Leaf'").agg(F.sum("sample_count")).first()[0] == 400
     p = models.predict(df, m, ["x"], ["id", "y"], labels)
     assert p.filter("prediction = y").count() == 400
+
+
+def test_doc_similarity_lists_no_pairs(spark):
+    """200 documents share their rarest terms: their 19,900 pairs are compared in tiles, and only the best of each document are rows."""
+    rng = np.random.default_rng(8)
+    docs = [(i, "shared passage " + " ".join(rng.choice([f"w{k}" for k in range(300)], 6))) for i in range(200)] + [(1000 + i, f"w{i} w{i + 1}") for i in range(299)]
+    f = text.tfidf_transform(df := spark.createDataFrame(docs, "doc_id long, text string"), text.tfidf_fit(df))
+    got = text.doc_similarity(f, threshold=0.3, top=3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    vec = {}
+    for r in f.filter("tfidf_value > 0").collect():
+        vec.setdefault(r["doc_id"], {})[r["term"]] = r["tfidf_value"]
+    ids, terms = sorted(vec), sorted({t for v in vec.values() for t in v})
+    m = np.array([[vec[d].get(t, 0.0) for t in terms] for d in ids])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    c = m @ m.T
+    np.fill_diagonal(c, 0.0)
+    want = {}
+    for i, d in enumerate(ids):
+        best = [j for j in np.lexsort((ids, -np.round(c[i], 9)))[:3] if c[i, j] >= 0.3]
+        want |= {(d, ids[j]): c[i, j] for j in best}
+    assert len(want) > 300 and {(r["doc1"], r["doc2"]): round(r["cosine"], 7) for r in got.collect()} == {k: round(v, 7) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("rare", [0, 20, 60])
+def test_similar_in_a_tile(monkeypatch, rare):
+    """Any line between rare and common terms gives the same pairs, and so do short slices."""
+    monkeypatch.setattr(text, "CHUNK_SCORES", 50)
+    rng = np.random.default_rng(9)
+    m = [np.where(rng.random((n, 60)) < 0.1, rng.random((n, 60)), 0.0) for n in (30, 17)]
+    m[0][3] = 0.0
+    m[1][:5] = m[0][10:15]
+    m = [x / np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None] for x in m]
+    sparse = lambda x: (np.concatenate([[0], np.cumsum((x > 0).sum(1))]), np.nonzero(x)[1] + 1, x[x > 0])
+    for a, b, same in ((m[0], m[1], False), (m[0], m[0], True)):
+        c = a @ b.T
+        want = {(i, j): c[i, j] for i, j in np.argwhere(c >= 0.4).tolist() if not (same and i == j)}
+        i, j, s = text.similar(sparse(a), sparse(b), rare, 0.4, same)
+        got = dict(zip(zip(i.tolist(), j.tolist()), s))
+        assert len(got) == len(i) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
