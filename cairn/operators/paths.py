@@ -110,7 +110,8 @@ def npath(df: DataFrame, entity: str, ts: str, symbols, pattern: str, mode="NONO
     for state in range(2 * m + 1):
         on, begun = took[:, (state + 1) // 2], took[:, 0]
         table[:, state] = np.where((on > 0) & (state > 0), 2 * on, np.where(begun > 0, 2 * begun - 1, 0))
-    rows = state_scan(rows, [entity], letter, table, 0, "__state").filter("__state > 0")
+    # with a filter that a null passes, the left join of the scan stays one
+    rows = state_scan(rows, [entity], letter, table, 0, "__state").filter("coalesce(__state > 0, true)")
     rows = running(rows, [entity], lasts={"__start": F.when(F.col("__state") % 2 == 1, F.col("seq"))})
     return _gathered(rows, entity, letters, results)
 
@@ -136,7 +137,7 @@ def _overlapping(rows, entity, letters, took, letter, results):
     rows = end_scan(rows, [entity], letter, np.where(took > 0, took, -1), "__end")
     if any(kind in ("min", "max", "path") for kind, _, _ in results.values()):
         spans = rows.filter("__end >= seq").select(entity, F.col("seq").alias("__start"), F.explode(F.sequence("seq", "__end")).alias("seq"))
-        return _gathered(null_safe_join(spans, rows.drop("__end"), [entity, "seq"]), entity, letters, results)
+        return _gathered(null_safe_join(spans, rows.drop("__end").hint("merge"), [entity, "seq"]), entity, letters, results)
     here = lambda symbol: F.lit(True) if symbol is None else F.coalesce(F.col("__s") == _code(letters, symbol), F.lit(False))
     sums, lasts = {}, {}
     for n, (kind, column, symbol) in results.items():
@@ -148,13 +149,13 @@ def _overlapping(rows, entity, letters, took, letter, results):
             sums[f"__upto_{n}"] = here(symbol).cast("bigint")
     rows = written(running(rows, [entity], sums, lasts))
     tail = rows.select(entity, F.col("seq").alias("__end"), *[F.col(f"__upto_{n}").alias(f"__at_{n}") for n in results])
-    found = null_safe_join(rows.filter("__end >= seq"), tail, [entity, "__end"])
+    found = null_safe_join(rows.filter("__end >= seq"), tail.hint("merge"), [entity, "__end"])
     for n, (kind, column, symbol) in results.items():
         if kind == "first" and symbol is not None:
             # the symbol's next event is the one with the next number
             number = F.col(f"__upto_{n}") + F.when(here(symbol), 0).otherwise(1)
             nth = rows.filter(here(symbol)).select(entity, F.col(f"__upto_{n}").alias("__nth"), F.struct("seq", F.col(f"__v_{column}").alias("v")).alias(f"__first_{n}"))
-            found = null_safe_join(found.withColumn("__nth", number), nth, [entity, "__nth"], "left").drop("__nth")
+            found = null_safe_join(found.withColumn("__nth", number), nth.hint("merge"), [entity, "__nth"], "left").drop("__nth")
 
     def result(n, kind, column, symbol):
         v, at, upto = F.col(f"__v_{column}"), F.col(f"__at_{n}"), F.col(f"__upto_{n}")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cairn.plans.lineage import written
-from cairn.plans.ordered import block_of, null_safe_join, task_rows
+from cairn.plans.ordered import block_join, block_of, task_rows
 
 __all__ = ["end_scan", "state_scan"]
 
@@ -94,7 +94,7 @@ def state_scan(df: DataFrame, keys, letter: Column, table, start: int, name: str
                                    F.array_append(acc["out"], F.struct(p["__block"].alias("__block"), acc["s"].alias("s"))).alias("out"))
     carry = ends.groupBy(*keys).agg(line.alias("p")).select(*keys, F.explode(F.aggregate("p", zero, step)["out"]).alias("c")) \
                 .select(*keys, "c.__block", F.col("c.s").alias("__entry"))
-    got = null_safe_join(part, carry, keys + ["__block"])
+    got = block_join(part, carry, keys)
     return got.withColumn(name, state_at(F.col("__upto" if before else "__through"), F.col("__entry"))) \
               .select(*[c for c in df.columns if c != name], name)
 
@@ -161,6 +161,6 @@ def end_scan(df: DataFrame, keys, letter: Column, table, name: str, seq="seq") -
 
     carry = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__block", "f", "n")), asc=False).alias("p")) \
                 .select(*keys, F.explode(F.aggregate("p", zero, step)["out"]).alias("c")).select(*keys, "c.__block", F.col("c.w").alias("__ahead"))
-    got = null_safe_join(part, carry, keys + ["__block"])
+    got = block_join(part, carry, keys)
     stop = F.when(F.col("__stop") >= 0, F.col("__stop")).otherwise(F.get("__ahead", (-1 - F.col("__stop")).cast("int")))
     return got.withColumn(name, stop).select(*[c for c in df.columns if c != name], name)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cairn.functions.expr import col, pct, rnd
 from cairn.plans.lineage import written
 
-__all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_of", "with_stats", "share"]
+__all__ = ["task_rows", "sequence", "sliding", "running", "attach", "null_safe_join", "block_join", "block_of", "with_stats", "share"]
 
 
 def task_rows(df: DataFrame) -> int:
@@ -44,6 +44,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys, how="inner") -> Data
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def block_join(rows: DataFrame, carry: DataFrame, keys) -> DataFrame:
+    """Rows beside the one row that ``carry`` has for each (key, block) of theirs.
+    A left join, so that only the carry can be broadcast, and that by the size it
+    has when it is made: the rows take far less room in their file, by which Spark
+    would choose, than in memory."""
+    return null_safe_join(rows, carry, [*keys, "__block"], "left")
+
+
 def with_stats(df: DataFrame, aggs, by=()) -> DataFrame:
     """Rows beside statistics of their group. Without keys the statistics
     are one row and are broadcast; with keys Spark picks the join and AQE
@@ -130,7 +138,7 @@ def running(df: DataFrame, keys, sums=None, lasts=None, seq="seq", inclusive=Tru
         *keys, "__block",
         *[F.sum(f"__t_{n}").over(earlier).alias(f"__c_{n}") for n in sums],
         *[F.last(f"__t_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in lasts])
-    out = null_safe_join(part, carry, keys + ["__block"])
+    out = block_join(part, carry, keys)
     out = out.withColumns({
         **{n: F.coalesce(F.col(f"__p_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums},
         **{n: F.coalesce(F.col(f"__p_{n}"), F.col(f"__c_{n}")) for n in lasts}})

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import paths
+from cairn.plans import automaton, ordered
 
 PATTERNS = [("A.B*.C", "AB*C"), ("(A|B)+.C", "[AB]+C"), ("A?.B?.A.B*", "A?B?AB*"), ("A*.B.A?.C*", "A*BA?C*"), ("(A|B)*.A.(B|C)+", "[AB]*A[BC]+"),
             ("A", "A"), ("A*", "A*"), ("A.A", "AA"), ("A.B?.A", "AB?A"), ("(A|B|C)+", "[ABC]+")]
@@ -93,3 +94,22 @@ def test_more_states_than_a_function_can_name(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         paths.npath(table(spark, {"a": "A"}), "u", "ts", [("A", F.col("s") == "A")], "A", "BOTH")
+
+
+@pytest.mark.parametrize("mode", ["NONOVERLAPPING", "OVERLAPPING"])
+def test_rows_are_never_broadcast(spark, monkeypatch, mode):
+    """Only one row of each block may be sent to all: the rows stand on the left of left joins, or are joined by shuffles."""
+    df = spark.range(4000).select((F.col("id") % 40).alias("u"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"),
+                                  F.when(F.col("id") % 3 == 0, "C").otherwise("A").alias("s"))
+    joins = []
+
+    def planned(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins.extend(re.findall(r"(?:BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin) .*", plan))
+        return df
+
+    for m in (automaton, ordered, paths):
+        monkeypatch.setattr(m, "written", lambda df, write=m.written: write(planned(df)))
+    got = planned(paths.npath(df, "u", "ts", [(x, F.col("s") == x) for x in "AC"], "A+.C", mode, {"n": ("count", None, None)}))
+    assert len(joins) > 2 and not [j for j in joins if "Broadcast" in j and "LeftOuter, BuildRight" not in j and "__part" not in j]
+    assert got.count() > 0
