@@ -120,16 +120,16 @@ def cosets() -> tuple[np.ndarray, list[list[np.ndarray]]]:
     return single, out
 
 
-def anchors(fps: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of ``fps``, anchor) for every anchor within the covering radii plus
-    ``extra`` (0, 1 or 2) bits in all; with 0, the one home of each."""
+def near_words(fps: np.ndarray, extra: int, blocks=range(len(BLOCKS))) -> list[list[np.ndarray]]:
+    """For each of ``blocks`` the code words near that block of each fingerprint, by
+    distance: within the covering radius, then at one and two bits more, as far as
+    ``extra`` goes; padded with -1."""
     single, tables = cosets()
     x = fps.view(np.uint64)
     near: list[list[np.ndarray]] = []
-    low = 0
-    for n in BLOCKS:
+    for k in blocks:
+        low, n = sum(BLOCKS[:k]), BLOCKS[k]
         v = ((x >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int64)
-        low += n
         s = np.zeros(len(v), np.int64)
         for i in range(n):
             s ^= np.where(v >> i & 1, single[i], 0)
@@ -138,13 +138,23 @@ def anchors(fps: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray]:
             e = table[s]
             words.append(np.where(e >= 0, (v[:, None] ^ e) >> 11, -1))
         near.append(words)
+    return near
+
+
+def anchors(fps: np.ndarray, extra: int, word: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``fps``, anchor) for every anchor within the covering radii plus
+    ``extra`` (0, 1 or 2) bits in all, or those of them with this ``word`` in the
+    first block; with 0, the one home of each."""
+    near = near_words(fps, extra)
+    if word is not None:
+        near[0] = [np.where((w == word).any(1), word, -1)[:, None] for w in near[0]]
     rows, found = [], []
     for a, b, c in product(range(extra + 1), repeat=3):
         if a + b + c <= extra:
             p, q, r = near[0][a][:, :, None, None], near[1][b][:, None, :, None], near[2][c][:, None, None, :]
             good = (p >= 0) & (q >= 0) & (r >= 0)
             found.append(((p << 24) | (q << 12) | r)[good])
-            rows.append(np.broadcast_to(np.arange(len(x))[:, None, None, None], good.shape)[good])
+            rows.append(np.broadcast_to(np.arange(len(fps))[:, None, None, None], good.shape)[good])
     return np.concatenate(rows), np.concatenate(found)
 
 
@@ -162,6 +172,21 @@ def at_anchors(fps: DataFrame, extra: int) -> DataFrame:
     return fps.mapInArrow(run, schema)
 
 
+def at_words(fps: DataFrame, extra: int) -> DataFrame:
+    """(word, fp) rows: the words that the anchors of each fingerprint have in the first block."""
+    schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("fp", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            x = b.column(0).to_numpy()
+            if len(x):
+                words = np.concatenate(near_words(x, extra, [0])[0], axis=1)
+                rows, at = np.nonzero(words >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(words[rows, at]), pa.array(x[rows])], names=["word", "fp"])
+
+    return fps.mapInArrow(run, schema)
+
+
 def linked(fps: DataFrame, bits: int = 2, home_extra: int = 0) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints at ``bits`` or fewer
     differing bits; ``fps`` has one column of distinct ones.
@@ -202,25 +227,44 @@ def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
     """Distinct (s, t), t < s, with the components of all links of at most ``bits``
     bits, which are not listed; ``fps`` has (fp, node).
 
-    At each anchor the components are found among all fingerprints there, and each
-    member is joined to the smallest one of its own. Any two close fingerprints
-    meet at some anchor, so no link is lost; each has one pair at most for each of
-    its anchors. Of those of one ``s`` the smallest ``t`` stays, and the other ones
-    are joined to that instead, which many members have in common. A task holds
-    the fingerprints of one anchor. Nodes are looked up at the end."""
+    At each anchor the components are found among all fingerprints there. Any two
+    close fingerprints meet at some anchor, so no link is lost. A fingerprint is sent
+    once for each word that its anchors have in the first block (about 22, where there
+    are 119 anchors), and the anchors with that word are made where it arrives. There
+    each member is joined to the smallest one of its component over all of these
+    anchors. Of those of one ``s`` the smallest ``t`` stays, and the other ones are
+    joined to that instead, which many members have in common. A task holds the
+    fingerprints of one word of 4,096. Nodes are looked up at the end."""
     out = T.StructType([T.StructField("s", T.LongType()), T.StructField("t", T.LongType())])
 
     def link(batches):
-        def pairs(anchor, fp):
-            edges = np.flatnonzero(np.diff(anchor)) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(anchor)]])
-            found = set()
-            for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                ids = fp[a:e].tolist()
-                found.update((ids[i], ids[r]) for i, r in enumerate(local_roots(fp[a:e], bits)) if r < i)
+        def pairs(word, fp):
+            found = []
+            edges = np.flatnonzero(np.diff(word)) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(word)]):
+                x = fp[lo:hi]
+                rows, anchor = anchors(x, extra, int(word[lo]))
+                order = np.lexsort((rows, anchor))
+                rows, anchor = rows[order], anchor[order]
+                ends = np.append(np.flatnonzero(np.diff(anchor)) + 1, len(anchor))
+                starts = np.concatenate([[0], ends[:-1]])
+                groups = {rows[a:e].tobytes() for a, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist())}
+                root = list(range(len(x)))
+
+                def first(i):
+                    while root[i] != i:
+                        root[i] = i = root[root[i]]
+                    return i
+
+                for members in (np.frombuffer(g, rows.dtype) for g in groups):
+                    ids = members.tolist()
+                    for i, r in enumerate(local_roots(x[members], bits)):
+                        p, q = first(ids[i]), first(ids[r])
+                        root[max(p, q)] = min(p, q)
+                found += [(x[i], x[r]) for i in range(len(x)) if (r := first(i)) != i]
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=out.names)
 
-        held: list[list[np.ndarray]] = []  # batches of the last anchor so far
+        held: list[list[np.ndarray]] = []  # batches of the last word so far
         for b in batches:
             now = [c.to_numpy() for c in b.columns]
             if not len(now[0]):
@@ -230,14 +274,14 @@ def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
                 if len(held) > 1 or now[0][0] == now[0][-1]:
                     continue
                 held.pop()
-            anchor, fp = (np.concatenate(c) for c in zip(*held, now))
-            last = np.searchsorted(anchor, anchor[-1])
-            yield pairs(anchor[:last], fp[:last])
-            held = [[c[last:] for c in (anchor, fp)]]
+            word, fp = (np.concatenate(c) for c in zip(*held, now))
+            last = np.searchsorted(word, word[-1])
+            yield pairs(word[:last], fp[:last])
+            held = [[c[last:] for c in (word, fp)]]
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
 
-    met = at_anchors(fps.select("fp"), extra).repartition("anchor").sortWithinPartitions("anchor", "fp")
+    met = at_words(fps.select("fp"), extra).repartition("word").sortWithinPartitions("word", "fp")
     found = met.mapInArrow(link, out).groupBy("s").agg(F.collect_set("t").alias("ts"))
     found = found.select("s", F.array_min("ts").alias("t"), "ts")
     ways = F.concat(F.array(F.struct("s", "t")), F.transform(F.filter("ts", lambda x: x > F.col("t")), lambda x: F.struct(x.alias("s"), F.col("t").alias("t"))))

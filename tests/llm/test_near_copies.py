@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from cairn.llm.graph import components
-from cairn.llm.op1_simhash import anchors, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash
+from cairn.llm.op1_simhash import anchors, at_words, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -52,6 +52,18 @@ def test_anchors_cover(home, visit):
     assert rows.tolist() == list(range(300))  # one home each
 
 
+def test_words_stand_for_anchors(spark):
+    """A fingerprint is sent by the words of its anchors in the first block, below a quarter as often as there are anchors, which all come back."""
+    x = np.random.default_rng(8).integers(-1 << 63, (1 << 63) - 1, 50)
+    sent = at_words(spark.createDataFrame([(int(f),) for f in x], "fp long"), 2).collect()
+    want = {(int(x[i]), a) for i, a in zip(*(v.tolist() for v in anchors(x, 2)))}
+    got = set()
+    for word in {r.word for r in sent}:
+        fps = np.array([r.fp for r in sent if r.word == word])
+        got |= {(int(fps[i]), a) for i, a in zip(*(v.tolist() for v in anchors(fps, 2, word)))}
+    assert got == want and 4 * len(sent) < len(want) and len({tuple(r) for r in sent}) == len(sent)
+
+
 def test_links_are_all_found(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
