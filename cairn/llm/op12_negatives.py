@@ -220,11 +220,11 @@ def _packed(rows: DataFrame, size: int, rotation: Rotation, coded: bool) -> Data
     return cut(near.mapInArrow(run, schema)).withColumn("block", F.monotonically_increasing_id())
 
 
-def _pairs(asked: DataFrame, data: DataFrame, strips: int) -> DataFrame:
-    """Each block of anchors beside each block of data, the data in its place: the
-    anchors, a small share of the rows, are sent once to every strip of data."""
-    left = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]).withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    return left.join(data.withColumn("strip", F.pmod(F.xxhash64("block"), F.lit(strips)).cast("int")), "strip").drop("strip")
+def _pairs(asked: DataFrame, data: DataFrame) -> DataFrame:
+    """Each block of anchors beside each block of data. Every task reads some files of
+    both tables and pairs their rows, so neither side is shuffled or sent by the driver:
+    the anchors, once for each block of data, are far more than their file."""
+    return asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]).hint("shuffle_replicate_nl").crossJoin(data)
 
 
 def _unpack(r: dict, side: str, width: int):
@@ -253,7 +253,6 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
     rotation = Rotation(width)
     data = _packed(rows, BLOCK, rotation, True)
     asked = _packed(rows.filter(F.col("vec_id") % every == 0), ANCHORS, rotation, False).drop("codes")
-    strips = max(1, data.count())
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,12 +266,13 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
                     out += [(r["q_block"], int(uids[i]), int(xid[j]), int(s)) for j, s in best]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["part", "uid", "positive_id", "positive_score"]).astype("int64"), preserve_index=False)
 
-    found = _pairs(asked, data, strips).filter(F.arrays_overlap("labels", "q_labels")).mapInArrow(near, "part bigint, uid bigint, positive_id bigint, positive_score bigint")
+    found = _pairs(asked, data).filter(F.arrays_overlap("labels", "q_labels")).mapInArrow(near, "part bigint, uid bigint, positive_id bigint, positive_score bigint")
     first = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("positive_score"), "positive_id"))
     chosen = found.withColumn("place", first).filter(F.col("place") <= positives)
     # at most positives x ANCHORS entries for a block
     lists = chosen.groupBy("part").agg(F.collect_list(F.struct("uid", "place", "positive_id", "positive_score")).alias("positives"))
-    wanted = cut(asked.join(lists, F.col("block") == F.col("part")).drop("part"))
+    # merged, since Spark would choose a broadcast by the file of the blocks, which may be far smaller than the blocks
+    wanted = cut(asked.join(lists.hint("merge"), F.col("block") == F.col("part")).drop("part"))
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("uid", "place", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")])
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def hard_negatives(vectors: DataFrame, every: int = 50, positives: int = 5, nega
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=schema.names).astype("int64"), preserve_index=False)
 
     mixed = ~((F.size("labels") == 1) & (F.size("q_labels") == 1) & (F.col("labels") == F.col("q_labels")))
-    mined = _pairs(wanted, data, strips).filter(mixed).mapInArrow(mine, schema)
+    mined = _pairs(wanted, data).filter(mixed).mapInArrow(mine, schema)
     rank = F.row_number().over(Window.partitionBy("uid", "place").orderBy(F.desc("negative_score"), "negative_id"))
     return mined.withColumn("rank", rank).filter(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -129,6 +129,16 @@ def test_negatives_with_ties_and_odd_tables(spark):
     assert sorted(map(tuple, neg.hard_negatives(zeros).collect())) == [(0, 50, 1, 25, 0, 0), (0, 50, 2, 75, 0, 0), (50, 0, 1, 25, 0, 0), (50, 0, 2, 75, 0, 0)]
 
 
+def test_blocks_are_paired_without_a_broadcast(spark, monkeypatch):
+    """The anchors, once for each block of data, are no table that the driver sends, however small their file is."""
+    monkeypatch.setattr(neg, "BLOCK", 40)
+    rows, df = table(spark, n=150, width=8, seed=3)
+    got = neg.hard_negatives(df, every=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "CartesianProduct" in plan
+    assert sorted(map(tuple, got.collect())) == naive_negatives(rows, 5, 5, 3, (50, 95), 256.0)
+
+
 @pytest.mark.parametrize("width", [3, 64, 100])
 def test_intervals_hold_the_product(width):
     rng = np.random.default_rng(width)
