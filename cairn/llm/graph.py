@@ -21,8 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     label of each label (so distances halve) and takes the smallest one among
     neighbours, until nothing changes. Only the edges given are joined, never
     the members of a component with each other; what is looked up by label is
-    salted, since one label may belong to most nodes. Rows with a null end are
-    left out; an empty table gives an empty one.
+    salted, since one label may belong to most nodes. Joins are merged: labels
+    take far less room in their file than in memory, and none of their salts,
+    so by the file Spark would broadcast them. Rows with a null end are left
+    out; an empty table gives an empty one.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     pairs = edges.select(a.alias("a"), b.alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -32,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     salts = F.array(*[F.lit(i) for i in range(SALTS)])
     while True:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("higher"), F.explode(salts).alias("salt"))
-        jumped = labels.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(up, ["label", "salt"]).select("node", F.col("label").alias("old"), "higher")
-        new = (both.join(jumped, both.s == jumped.node).groupBy(F.col("t").alias("node"))
+        jumped = labels.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(up.hint("merge"), ["label", "salt"]).select("node", F.col("label").alias("old"), "higher")
+        new = (both.join(jumped.hint("merge"), both.s == jumped.node).groupBy(F.col("t").alias("node"))
                .agg(F.min("higher").alias("label"), F.max(F.when(F.col("s") == F.col("t"), F.col("old"))).alias("old")))
         new = cut(new)
         labels = new.select("node", "label")

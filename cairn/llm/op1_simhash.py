@@ -201,7 +201,8 @@ def linked(fps: DataFrame, bits: int = 2, home_extra: int = 0) -> DataFrame:
     if rest != home_extra:
         visit = at_anchors(fps, rest)
     home, visit = home.select("anchor", F.col("fp").alias("a")), visit.select("anchor", F.col("fp").alias("b"))
-    near = home.join(visit, "anchor").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
+    # merged, since Spark sizes both sides by the fingerprints they are made of, and would broadcast the visits
+    near = home.join(visit.hint("merge"), "anchor").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
     return near if home_extra == 0 else near.distinct()
 
 
@@ -287,7 +288,7 @@ def group_links(fps: DataFrame, bits: int, extra: int) -> DataFrame:
     ways = F.concat(F.array(F.struct("s", "t")), F.transform(F.filter("ts", lambda x: x > F.col("t")), lambda x: F.struct(x.alias("s"), F.col("t").alias("t"))))
     pairs = found.select(F.explode(ways).alias("e")).select("e.s", "e.t").distinct()
     for end in ("s", "t"):
-        pairs = pairs.join(fps.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")), end)
+        pairs = pairs.join(fps.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")).hint("merge"), end)
     return pairs.select(F.greatest("s_node", "t_node").alias("s"), F.least("s_node", "t_node").alias("t"))
 
 
@@ -295,9 +296,9 @@ def simhash_components(rows: DataFrame, bits: int = 2, home_extra: int = 0, doc_
     """(fp, component_id) for each fingerprint of ``rows`` (``doc_id``, fp), a table read more than once."""
     fps = cut(rows.groupBy("fp").agg(F.min(quoted(doc_id)).cast("long").alias("node")))
     near = cut(linked(fps.filter("node IS NOT NULL").select("fp"), bits, home_extra))
-    edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")), "a")
-             .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")), "b").select("s", "t"))
-    return fps.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    edges = (near.join(fps.select(F.col("fp").alias("a"), F.col("node").alias("s")).hint("merge"), "a")
+             .join(fps.select(F.col("fp").alias("b"), F.col("node").alias("t")).hint("merge"), "b").select("s", "t"))
+    return fps.join(components(edges).hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
 
 
 def joint_components(rows: DataFrame, names: list[str], bits: int, doc_id: str) -> DataFrame:
@@ -310,9 +311,9 @@ def joint_components(rows: DataFrame, names: list[str], bits: int, doc_id: str)
         nodes.append(cut(both.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("node"))))
         edges.append(group_links(nodes[-1].filter("node IS NOT NULL"), bits, bits // 2))
     for n, of in zip(names, nodes):
-        edges.append(both.join(of.select(F.col("fp").alias(n), F.col("node").alias("t")), n).select(F.col("node").alias("s"), "t").filter("s <> t"))
+        edges.append(both.join(of.select(F.col("fp").alias(n), F.col("node").alias("t")).hint("merge"), n).select(F.col("node").alias("s"), "t").filter("s <> t"))
     groups = components(cut(reduce(DataFrame.unionByName, edges).distinct()))
-    first = nodes[0].join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    first = nodes[0].join(groups.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return first.withColumnRenamed("fp", names[0])
 
 

@@ -5,6 +5,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import types as T
+
+from cairn.llm import graph, op1_simhash
+from cairn.llm.common import append_columns
 from cairn.llm.graph import components
 from cairn.llm.op1_simhash import anchors, at_words, drop_near_copies, fingerprint, group_links, linked, near_duplicates, shingle_hashes, simhash
 
@@ -125,6 +129,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in got), key=repr) == want
 
 
+def test_links_and_labels_are_not_broadcast(spark, monkeypatch):
+    """Visits of anchors and salted labels are many times the rows of the file by which Spark would size them."""
+    plans, real = [], op1_simhash.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(op1_simhash, "cut", cut)
+    monkeypatch.setattr(graph, "cut", cut)
+    words = [" ".join(f"w{(7 * i + j * j) % 400}" for j in range(60)) for i in range(20)]
+    docs = spark.createDataFrame([(i, w + " end" * (i % 2)) for i, w in enumerate(words + words)], "doc_id long, text string")
+    near_duplicates(docs).count()
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+    made = len(plans)
+    rows = append_columns(docs, ["text"], T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]),
+                          lambda b: [list(x) for x in zip(*((i, -i) for i in range(b.num_rows)))])
+    op1_simhash.joint_components(rows.select("doc_id", "a", "b"), ["a", "b"], 4, "doc_id").count()
+    assert len(plans) > made + 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_empty_and_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(empty).count() == 0 and drop_near_copies(empty).count() == 0
