@@ -13,7 +13,7 @@ from cairn.functions.expr import band_ge, band_le, flag, pct, rnd, tally
 from cairn.operators.vectors import top_k
 from cairn.plans.lineage import written
 from cairn.plans.ordered import sequence, share, with_stats
-from cairn.plans.skew import parts_for, side_by_side, split_join, spread
+from cairn.plans.skew import parts_for, split_join, spread
 
 BLANKS = r"[ \t\n\r\f]+"
 
@@ -111,58 +111,78 @@ def out_of_vocabulary(df: DataFrame, model: DataFrame, id_col="doc_id", text="te
 COMMON = 0.01  # share of the documents from which on a term counts as common
 TILE_ENTRIES = 1 << 22  # terms of documents in one tile
 CHUNK_SCORES = 1 << 20  # scores that are held at once
+DENSE = 256  # most frequent terms that are multiplied as matrices
 
 
 def doc_similarity(features: DataFrame, id_col="doc_id", threshold=0.5, top=5) -> DataFrame:
     """For every document its ``top`` most similar ones with cosine at or
     above the threshold (weights of ``tfidf_transform``), exact; pairs share a term.
 
-    Documents are compared by pairs of tiles, one task each, the two sides of a pair
-    at once, and no pair is ever a row of its own but the best few of each document in
-    a tile. Terms are numbered from rare to frequent. The products of rare terms are
+    Documents are compared by pairs of tiles, the two sides of a pair at once, and no
+    pair is ever a row of its own but the best few of each document in a tile. A tile is
+    one row of a table, written once; tasks read the tiles of a pair where they are, so the
+    disk needed grows with the documents, not with the pairs of tiles. Terms are numbered from rare to frequent. The products of rare terms are
     summed for all pairs of two tiles, from lists of the documents of each term; what
     common terms add is at most the product of the norms of the common parts, and only
     pairs that can reach the threshold with it have the common terms summed as well."""
-    f = written(features.filter((F.col("tfidf_value") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "term", F.col("tfidf_value").alias("w")))
+    f = written(features.filter((F.col("tfidf_value") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "term", F.col("tfidf_value").alias("w")), tidy=True)
     terms = sequence(f.groupBy("term").agg(F.count(F.lit(1)).alias("df")), [], ["df", "term"], "t")
     rows = f.join(terms.select("term", F.col("t").cast("int").alias("t"), (F.col("df") > 1).alias("shared")), "term")
     docs = rows.groupBy("id").agg(F.sqrt(F.sum(F.pow("w", 2))).alias("n"), F.collect_list(F.when(F.col("shared"), F.struct("t", "w"))).alias("v"))
-    docs = written(docs.select("id", F.col("v.t").alias("t"), F.transform("v.w", lambda x: x / F.col("n")).alias("w")))
+    docs = written(docs.select("id", F.col("v.t").alias("t"), F.transform("v.w", lambda x: x / F.col("n")).alias("w")), tidy=True)
     n, entries = docs.agg(F.count(F.lit(1)), F.sum(F.size("t"))).first()
     rare = terms.filter(F.col("df") <= COMMON * n).agg(F.max("t")).first()[0] or 0
     cores = features.sparkSession.sparkContext.defaultParallelism
     tiles = max(1, ceil((entries or 0) / TILE_ENTRIES), min(ceil((2 * cores) ** 0.5), n // 256))
-    home = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    l = docs.withColumn("l", home).withColumn("r", F.explode(F.sequence("l", F.lit(tiles - 1))))
-    r = docs.withColumn("r", home).withColumn("l", F.explode(F.sequence(F.lit(0), F.col("r"))))
-    # the cells on and above the diagonal by number; on the diagonal a tile meets itself
-    cell = (F.shiftright(F.col("r") * (F.col("r") + 1), 1) + F.col("l")).cast("int").alias("cell")
-    sides = l.select(cell, F.lit(0).alias("side"), "id", "t", "w").unionByName(r.select(cell, F.lit(1).alias("side"), "id", "t", "w"))
-    diagonal = {j * (j + 1) // 2 + j for j in range(tiles)}
     kind = dict(docs.dtypes)["id"]
-
-    def best(at, l, r):
-        r = l if at in diagonal else r
-        ids = [x["id"].combine_chunks() for x in (l, r)]
-        i, j, s = similar(_sparse(l), _sparse(r), rare, threshold, at in diagonal)
-        for own, other, a, b in ((0, 1, i, j), *(() if at in diagonal else ((1, 0, j, i),))):
-            place = np.empty(len(ids[other]), np.int64)
-            place[pc.sort_indices(ids[other]).to_numpy()] = np.arange(len(place))
-            order = np.lexsort((place[b], -np.round(s, 9), a))
-            a, b, c = a[order], b[order], s[order]
-            first = np.arange(len(a)) - np.searchsorted(a, a) < top
-            yield pa.RecordBatch.from_arrays([ids[own].take(pa.array(a[first])), ids[other].take(pa.array(b[first])), pa.array(c[first])], names=["a", "b", "cosine"])
-
-    found = side_by_side(sides, best, f"a {kind}, b {kind}, cosine double", tiles * (tiles + 1) // 2)
+    dealt = docs.repartitionById(tiles, F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    packed = written(dealt.mapInArrow(_packed, f"id array<{kind}>, sizes binary, t binary, w binary").withColumn("tile", F.shiftright(F.monotonically_increasing_id(), 33)), tidy=True)
+
+    def side(k):
+        return packed.select(*[F.col(c).alias(f"{k}_{c}") for c in packed.columns])
+
+    # one order of each two tiles, and for half of them the other way round, so that all tasks get some
+    own, order = F.col("l_tile") == F.col("r_tile"), F.col("l_tile") < F.col("r_tile")
+    pairs = side("l").hint("shuffle_replicate_nl").crossJoin(side("r")).filter(own | (order == ((F.col("l_tile") + F.col("r_tile")) % 2 == 0)))
+
+    def best(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                of = {c: b.column(c)[row] for c in b.schema.names}
+                same = of["l_tile"] == of["r_tile"]
+                ids = [of[f"{k}_id"].values for k in "lr"]
+                i, j, s = similar(*(_sparse(*(of[f"{k}_{c}"].as_buffer() for c in ("sizes", "t", "w"))) for k in "lr"), rare, threshold, same)
+                for own, other, x, y in ((0, 1, i, j), *(() if same else ((1, 0, j, i),))):
+                    place = np.empty(len(ids[other]), np.int64)
+                    place[pc.sort_indices(ids[other]).to_numpy()] = np.arange(len(place))
+                    order = np.lexsort((place[y], -np.round(s, 9), x))
+                    x, y, c = x[order], y[order], s[order]
+                    first = np.arange(len(x)) - np.searchsorted(x, x) < top
+                    yield pa.RecordBatch.from_arrays([ids[own].take(pa.array(x[first])), ids[other].take(pa.array(y[first])), pa.array(c[first])], names=["a", "b", "cosine"])
+
+    found = pairs.mapInArrow(best, f"a {kind}, b {kind}, cosine double")
     out = top_k(found, ["a"], top, [-F.round("cosine", 9), F.col("b")])
     return out.select(F.col("a").alias("doc1"), F.col("b").alias("doc2"), "cosine")
 
 
-def _sparse(docs: pa.Table):
+def _packed(batches):
+    """The documents (id, t, w) of a part as one tile: a row of their ids, numbers of terms, terms
+    and weights, with a term once in a document, since the bounds of ``similar`` hold for such."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        docs = pa.Table.from_batches(held)
+        ids, t, w = (docs[c].combine_chunks() for c in ("id", "t", "w"))
+        key = np.repeat(np.arange(len(ids)) << 32, t.value_lengths().to_numpy(zero_copy_only=False)) + t.flatten().to_numpy(zero_copy_only=False)
+        key, at = np.unique(key, return_inverse=True)
+        w = np.bincount(at, w.flatten().to_numpy(zero_copy_only=False), len(key))
+        made = [v.tobytes() for v in (np.bincount(key >> 32, minlength=len(ids)).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), w)]
+        names = ["id", "sizes", "t", "w"]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([v], pa.binary()) for v in made]], names=names)
+
+
+def _sparse(sizes, t, w):
     """(starts, terms, weights) of the documents of a tile, one after the other."""
-    t, w = (docs[c].combine_chunks() for c in ("t", "w"))
-    starts = np.concatenate([[0], np.cumsum(t.value_lengths().to_numpy(zero_copy_only=False))])
-    return starts, t.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int32))]), np.frombuffer(t, np.int32), np.frombuffer(w, np.float64)
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -173,21 +193,30 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def similar(l, r, rare: int, threshold: float, same: bool):
     """(i, j, cosine) of the pairs of two tiles of sparse unit vectors with a cosine at
     or above the threshold; terms up to ``rare`` are summed for all pairs. With ``same``
-    the tiles are one, and no vector meets itself."""
+    the tiles are one, and no vector meets itself. The last terms, ``DENSE`` at most, are
+    summed for all pairs too, as matrices; common ones are those between."""
     (ls, lt, lw), (rs, rt, rw) = l, r
     nl, nr = len(ls) - 1, len(rs) - 1
     owner = [np.repeat(np.arange(n), np.diff(s)) for s, n in ((ls, nl), (rs, nr))]
+    last = max(int(lt.max(initial=rare)), int(rt.max(initial=rare)))
+    line = max(rare, last - min(DENSE, TILE_ENTRIES // max(nl, nr, 1)))
+
+    def dense(o, t, w, n):
+        k = np.flatnonzero(t > line)
+        return np.bincount(o[k] * (last - line) + t[k] - line - 1, w[k], n * (last - line)).reshape(n, last - line).astype(float, copy=False)
+
+    matrix = dense(owner[1], rt, rw, nr).T
     # norms of the common parts, and the most that two of them give
-    lc, rc = (np.sqrt(np.bincount(o, np.where(t > rare, w * w, 0.0), n)) for o, t, w, n in ((owner[0], lt, lw, nl), (owner[1], rt, rw, nr)))
+    lc, rc = (np.sqrt(np.bincount(o, np.where((t > rare) & (t <= line), w * w, 0.0), n)) for o, t, w, n in ((owner[0], lt, lw, nl), (owner[1], rt, rw, nr)))
     order = np.argsort(rt, kind="stable")
     order = order[:np.searchsorted(rt[order], rare, "right")]
     names, first = np.unique(rt[order], return_index=True)
     ends, held, weight = np.append(first[1:], len(order)), owner[1][order], rw[order]
     # common terms of the right side by document, for the pairs that need them
-    common = np.flatnonzero(rt > rare)
+    common = np.flatnonzero((rt > rare) & (rt <= line))
     cs = np.concatenate([[0], np.cumsum(np.bincount(owner[1][common], minlength=nr))])
     ct, cw = rt[common] - rare, rw[common]
-    wide = max(int(lt.max(initial=rare)), int(rt.max(initial=rare))) - rare + 1
+    wide = line - rare + 1
     out, step = [], max(1, CHUNK_SCORES // max(1, nr))
     for lo in range(0, nl, step):
         hi = min(lo + step, nl)
@@ -195,7 +224,7 @@ def similar(l, r, rare: int, threshold: float, same: bool):
         at = np.searchsorted(names, t)
         hit = np.flatnonzero((t <= rare) & (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == t)) if len(names) else at[:0]
         sizes = ends[at[hit]] - first[at[hit]]
-        score, parts = np.zeros((hi - lo) * nr), np.cumsum(sizes)
+        score, parts = (dense(o, t, w, hi - lo) @ matrix).reshape(-1), np.cumsum(sizes)
         for a, b in _slices(parts):
             spot = _spans(first[at[hit[a:b]]], sizes[a:b])
             score += np.bincount(np.repeat(o[hit[a:b]] * nr, sizes[a:b]) + held[spot], np.repeat(w[hit[a:b]], sizes[a:b]) * weight[spot], len(score))
@@ -206,7 +235,7 @@ def similar(l, r, rare: int, threshold: float, same: bool):
         for i in np.flatnonzero(near.any(1)):
             j = np.flatnonzero(near[i])
             mine = slice(ls[lo + i], ls[lo + i + 1])
-            keep = lt[mine] > rare
+            keep = (lt[mine] > rare) & (lt[mine] <= line)
             s = score[i, j]
             if keep.any():
                 full = np.bincount(lt[mine][keep] - rare, lw[mine][keep], wide)

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 __all__ = ["cut_lineage", "shared_folder", "written"]
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the one that the session names in
@@ -36,9 +38,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, tidy: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: computed once, however often
-    they are read, in columns, and kept when an executor is lost."""
-    at = shared_folder(df.sparkSession)
-    df.write.mode("append").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    they are read, in columns, and kept when an executor is lost. With ``tidy`` the
+    shuffle files of the job go when it ends, not when the driver collects its garbage."""
+    spark, at = df.sparkSession, shared_folder(df.sparkSession)
+    before = spark.conf.get(TIDY, None)
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.mode("append").parquet(at)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(at)

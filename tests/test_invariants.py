@@ -1,12 +1,14 @@
 """Operators without SQL twin: known answers, brute force, edge frames."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import arima, evaluate, events, models, paths, prep, profiling, quality, selection, series, signal, text, vectors
+from cairn.plans.lineage import written
 from cairn.plans.ordered import running, sequence
 from cairn.plans.quantiles import quantiles
 from cairn.plans.recurrence import affine_scan
@@ -282,6 +284,45 @@ def test_doc_similarity_lists_no_pairs(spark):
     assert len(want) > 300 and {(r["doc1"], r["doc2"]): round(r["cosine"], 7) for r in got.collect()} == {k: round(v, 7) for k, v in want.items()}
 
 
+def test_doc_similarity_sends_no_document_per_tile(spark, monkeypatch):
+    """Whatever the number of tiles, a document is dealt once, and tiles are paired where they are read."""
+    rng = np.random.default_rng(12)
+    docs = [(i, " ".join(rng.choice([f"w{k}" for k in range(80)], 12))) for i in range(300)]
+    f = text.tfidf_transform(df := spark.createDataFrame(docs, "doc_id long, text string"), text.tfidf_fit(df))
+    want = {(r["doc1"], r["doc2"], round(r["cosine"], 9)) for r in text.doc_similarity(f, threshold=0.3, top=4).collect()}
+    monkeypatch.setattr(text, "TILE_ENTRIES", 200)
+    rows = []
+    monkeypatch.setattr(text, "written", lambda table, tidy=False: (rows.append(made := written(table, tidy)), made)[1])
+    got = text.doc_similarity(f, threshold=0.3, top=4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "Broadcast" not in plan
+    tiles = rows[-1].select("tile", F.explode("id").alias("id")).collect()
+    assert len({t.tile for t in tiles}) > 10 and sorted(t.id for t in tiles) == list(range(300))
+    assert len(want) > 100 and {(r["doc1"], r["doc2"], round(r["cosine"], 9)) for r in got.collect()} == want
+
+
+def test_doc_similarity_of_repeated_terms(spark, monkeypatch):
+    """A term that comes twice in a document counts with the sum of its weights, also where it is a common one."""
+    rows = [(d, f"t{k}", 1.0) for d in (1, 2) for k in range(9) for _ in range(2)] + [(d, "other", 1.0) for d in (2, 3)]
+    monkeypatch.setattr(text, "COMMON", 0.0)
+    monkeypatch.setattr(text, "DENSE", 0)
+    got = text.doc_similarity(spark.createDataFrame(rows, "doc_id long, term string, tfidf_value double"), threshold=1.5).collect()
+    assert {(r["doc1"], r["doc2"], round(r["cosine"], 9)) for r in got} == {(1, 2, round(36 / (18 * 19) ** 0.5, 9)), (2, 1, round(36 / (18 * 19) ** 0.5, 9))}
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    files = lambda: sum("shuffle_" in f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before, name = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name)
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")).repartition(5, "n"), tidy=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(name) == kept
+    assert table.agg(F.sum("n")).first()[0] == 1000
+
+
 @pytest.mark.parametrize("rare", [0, 20, 60])
 def test_similar_in_a_tile(monkeypatch, rare):
     """Any line between rare and common terms gives the same pairs, and so do short slices."""
